@@ -35,7 +35,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
-    return encode(read_table(spark, sf_dir, "documents")).drop("piece_ids")
+    return encode(read_table(spark, sf_dir, "documents"), with_ids=False).drop("piece_ids")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
