@@ -29,7 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,8 @@ s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::BIGINT AS left_words, (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::BIGINT AS left_weight FROM s1
        WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, coalesce(min(CASE WHEN cap / weight > left_words / left_weight THEN left_words / left_weight END) OVER (), 0) AS level FROM s2),
+s2b AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS turn, left_words / left_weight AS own_level FROM s2),
+s3 AS (SELECT *, coalesce((SELECT own_level FROM s2b WHERE cap / weight > own_level ORDER BY turn LIMIT 1), 0) AS level FROM s2b),
 g AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM s3),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM g),
 t AS (SELECT d.*, h.source_size, h.target, h.whole, h.target - h.whole * h.source_size AS rest,
