@@ -43,7 +43,7 @@ from .shingles import byte_chunks, shingle_sets, signatures
 
 PERCENT = 75
 EXTRA = 0.15  # share of a set that the prefix holds beyond the shortest one
-NARROW = 2_000_000  # prefix members in one packed batch
+NARROW = 1_000_000  # prefix members in one packed batch
 INDEX = "kind int, doc_id long, s1 long, s2 long, n long, batch string, ix int, bucket int, data binary"
 
 
@@ -87,7 +87,7 @@ def _index(docs: DataFrame, buckets: int, shingle: int) -> DataFrame:
         held, rows, members = [], 0, 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in byte_chunks(batch):
+            for first, texts in byte_chunks(batch, most=1_000_000):
                 n, h = shingle_sets(texts, shingle)
                 a, b = signatures(n, h)
                 size = n - least_overlap(n) + extra(n)
@@ -167,17 +167,17 @@ def _set_table(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, s1, s2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for first, texts in byte_chunks(batch):
+            for first, texts in byte_chunks(batch, most=1_000_000):
                 n, h = shingle_sets(texts, shingle)
                 a, b = signatures(n, h)
-                parts = np.split(h, np.cumsum(n)[:-1])
+                parts, marks = np.split(h, np.cumsum(n)[:-1]), _marks(n, h)
                 # a doc_id may stand for several texts; only the class's own text counts
                 good = [i for i in range(len(n)) if a[i] == s1[first + i] and b[i] == s2[first + i]]
-                yield pa.RecordBatch.from_arrays([pa.array([node[first + i] for i in good], pa.int64()), pa.array([int(n[i]) for i in good], pa.int64()), pa.array([parts[i].astype("<u8").tobytes() for i in good], pa.binary())], ["node", "n", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([node[first + i] for i in good], pa.int64()), pa.array([int(n[i]) for i in good], pa.int64()), pa.array([parts[i].astype("<u8").tobytes() for i in good], pa.binary()), pa.array([marks[i] for i in good], pa.binary())], ["node", "n", "members", "mark"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(nodes, texts.doc_id.eqNullSafe(nodes.doc_id)).select("node", "text", "s1", "s2")
-    return rows.mapInArrow(run, "node long, n long, members binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, n long, members binary, mark binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _may_link(n: str, m: str):
     return (100 * F.least(F.col(n), F.col(m)) >= PERCENT * F.greatest(F.col(n), F.col(m)))
 
 
-def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 4_000_000, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 4_000_000, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, node; links: a, b between nodes). node is the class's least doc_id."""
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
@@ -230,37 +230,72 @@ def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 4_000_00
         scratch.drop()
 
 
+def _sieve(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose marks do not rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, n, y, m in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                while len(x) > len(y):
+                    x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                while len(y) > len(x):
+                    y = y[:len(y) // 2] ^ y[len(y) // 2:]
+                # |A - B| + |B - A| is at least the number of marks that differ
+                keep.append((100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * (n + m))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    left = sets.select(F.col("node").alias("a"), F.col("mark").alias("x"), F.col("n").alias("xn"))
+    right = sets.select(F.col("node").alias("b"), F.col("mark").alias("y"), F.col("n").alias("yn"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xn", "y", "yn").mapInArrow(run, "a long, b long")
+
+
+def _marks(n: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: bit i tells whether an odd number of members has the residue i. Halves fold by XOR."""
+    out = []
+    for part in np.split(h, np.cumsum(n)[:-1]):
+        bits = max(64, 1 << int(2 * len(part) - 1).bit_length()) if len(part) else 64
+        odd = np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
 def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
     comp = cut(entries.select("node").distinct().select("node", F.col("node").alias("comp")))
     tried = None  # a, b, common, total of all verified pairs, a < b
     for _ in range(max_rounds):
         open_lists = entries.join(comp, "node")
-        mixed = open_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "n", "comp")).alias("rep")).where("lo <> hi")
-        other = F.max(F.struct("node", "n", "comp")).alias("rep2")
-        mixed = mixed.join(open_lists.groupBy("key").agg(other), "key").select("key", F.explode(F.array("rep", "rep2")).alias("rep"))
+        mixed = open_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "n", "comp")).alias("rep")).where("lo <> hi").select("key", "rep")
         named = open_lists.join(mixed, "key").where(F.col("comp") != F.col("rep.comp")).select("node", "n", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")).where(_may_link("n", "rep_n"))
-        votes = named.groupBy("node", "rep").agg(F.count("*").alias("votes"))
+        votes = named.groupBy(F.greatest("node", "rep").alias("b"), F.least("node", "rep").alias("a"), "node").agg(F.count("*").alias("votes"))
         if tried is not None:
-            done = tried.select(F.col("a").alias("node"), F.col("b").alias("rep")).union(tried.select("b", "a"))
-            votes = votes.join(done, ["node", "rep"], "left_anti")
-        best = votes.groupBy("node").agg(F.max(F.struct("votes", "rep")).alias("best")).select(F.least("node", "best.rep").alias("a"), F.greatest("node", "best.rep").alias("b")).distinct()
+            votes = votes.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        votes = cut(votes)
+        hopeful = _sieve(votes.select("a", "b").distinct(), sets)
+        best = votes.join(hopeful, ["a", "b"]).groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         checked = cut(_verify(best, sets))
-        linked = checked.where(100 * F.col("common") >= PERCENT * F.col("total"))
         tried = checked if tried is None else cut(tried.union(checked))
-        if linked.isEmpty():
+        linked = _accepted(checked)
+        before, new = comp.count(), linked.count()
+        if new:
+            # components of components: only what is newly linked moves
+            steps = linked.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            moved = components(steps).toDF("comp", "to")
+            comp = cut(comp.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        if new <= 0.02 * before:
             break
-        comp = cut(components(_accepted(tried).union(comp.select(F.col("node").alias("a"), F.col("node").alias("b")))))
     # what is left: pairs across components within a list
     known = tried.withColumn("d", 1 - F.col("common") / F.col("total"))
     seen = known.select(F.col("a").alias("node"), F.col("b").alias("rep"), "d").union(known.select("b", "a", "d")).groupBy("node").agg(F.min(F.struct("d", "rep")).alias("near"))
     rows = entries.join(comp, "node").join(seen, "node", "left")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(mixed, "key").select("key", "node", "n", "comp", F.col("near.rep").alias("rep"), F.col("near.d").alias("d"))
+    rows = cut(rows.join(mixed, "key").select("key", "node", "n", "comp", F.col("near.rep").alias("rep"), F.col("near.d").alias("d")))
     x, y = rows.toDF("key", "a", "an", "ac", "ar", "ad"), rows.toDF("key", "b", "bn", "bc", "br", "bd")
     apart = F.coalesce((F.col("ar") == F.col("br")) & (F.abs(F.col("ad") - F.col("bd")) > (100 - PERCENT) / 100 + 1e-9), F.lit(False))
     left = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _may_link("an", "bn") & ~apart).select("a", "b").distinct()
-    rest = cut(_verify(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets))
-    return cut(_accepted(tried.union(rest)))
+    hopeful = cut(_sieve(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets))
+    return cut(_accepted(tried.union(_verify(hopeful, sets))))
 
 
 def _accepted(checked: DataFrame) -> DataFrame:
@@ -279,3 +314,14 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The documents without near duplicates: of each component the row with the least doc_id stays.
+
+    Rows without doc_id and texts without words stay as well.
+    """
+    found = near_duplicate_classes(docs, shingle)
+    keep = cut(found.where("doc_id = component_id").select("doc_id").distinct())
+    named = docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
