@@ -127,10 +127,13 @@ class ToxicityModel:
 
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray, max_features: int = 20_000, rounds: int = 30) -> None:
         tokens = [TOKEN.findall(t.lower()) for t in texts]
-        in_doc = [{f for w in set(x) for f in features(w)} for x in tokens]
         toxic, other = Counter(), Counter()
-        for f, label in zip(in_doc, y):
-            (toxic if label else other).update(f)
+        for x, label in sorted(zip(tokens, y), key=lambda p: -p[1]):
+            own = {f for w in set(x) for f in features(w)}
+            if label:
+                toxic.update(own)
+            else:  # only features of toxic documents can become a weight
+                other.update(f for f in own if f in toxic)
         n1, n0 = float((y == 1).sum()), float((y == 0).sum())
         odds = {}
         for f, a in toxic.items():
@@ -180,7 +183,7 @@ class ToxicityModel:
             self.doc = self.doc + np.linalg.solve(h, x.T @ (weight * (y - q)) - 0.05 * self.doc)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_chars: int = 20_000, folds: int = 4, held: int = 2) -> ToxicityModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int = 6_000, folds: int = 4, held: int = 2) -> ToxicityModel | None:
     """None without labels of both kinds."""
     known = labels.where("toxic is not null and doc_id is not null").where(crc_mod(F.col("doc_id"), folds) != held).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
