@@ -179,3 +179,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fo
 
     held_out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out.alias("held_out")).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+    model = fit_quality(docs, labels)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [batch.schema.get_field_index(c) for c in ("doc_id", "text")]
+            pair = pa.RecordBatch.from_arrays([batch.column(at[0]), batch.column(at[1]).cast(pa.binary())], ["doc_id", "text"])
+            keep = []
+            for _, texts in text_chunks(pair):
+                n, x = passages(texts)
+                keep.append(np.round(model.score(x.astype(np.float64), n), 9) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(keep), pa.bool_())) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, buckets_for, cut
 from .induced import suffix_array
@@ -203,7 +204,7 @@ def _contexts(rows: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for f1, f2, text, own in zip(batch.column(0), batch.column(1), batch.column(3), batch.column(4)):
+            for f1, f2, text, own in zip(batch.column(0), batch.column(1), batch.column(3), batch.column(batch.num_columns - 1)):
                 text = text.as_py() or b""
                 for r in own.as_py():
                     out.append((f1.as_py(), f2.as_py(), r["anchor"], r["lo"], text[r["lo"]:r["hi"] + span]))
@@ -250,25 +251,31 @@ def _sorted_shard(span: int, memory: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 8_000_000, shard_runs: int = 6000, memory: int = 64_000_000) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(keyed docs: f1, f2, doc_id, text; spans: f1, f2, spans; scratch tables to drop when done)."""
+def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 8_000_000, shard_runs: int = 6000, memory: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
+    """(keyed docs: f1, f2, doc_id, text, the other columns; spans: f1, f2, spans)."""
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("f1"), F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))).alias("f2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    packed = scratch.keep(_anchors(keyed, buckets, span))
-    flags = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_compare, "batch string, bucket int, data binary")
-    none = F.lit(None).cast("array<long>")
-    both = flags.select("batch", "bucket", "data", none.alias("f1"), none.alias("f2")).unionByName(packed.where("kind = 0").select("batch", "bucket", "data", "f1", "f2"))
-    marks = both.groupBy("batch").applyInPandas(_marks(span), MARKS)
-    marks = scratch.keep(marks.groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("open")).alias("open")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    f1, f2 = F.xxhash64(text), F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id"), F.lit(-1)), text)
+    others = [F.col(c).alias(f"own_{c}") for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.select(f1.alias("f1"), f2.alias("f2"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *others)
+    try:
+        packed = scratch.keep(_anchors(keyed, buckets, span))
+        flags = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_compare, "batch string, bucket int, data binary")
+        none = F.lit(None).cast("array<long>")
+        both = flags.select("batch", "bucket", "data", none.alias("f1"), none.alias("f2")).unionByName(packed.where("kind = 0").select("batch", "bucket", "data", "f1", "f2"))
+        marks = both.groupBy("batch").applyInPandas(_marks(span), MARKS)
+        marks = cut(marks.groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("open")).alias("open")))
+    finally:
+        scratch.drop()
     shards = max(1, int(marks.agg(F.sum(F.size("open"))).first()[0] or 0) // shard_runs)
-    opened = keyed.join(marks.where(F.size("open") > 0).select("f1", "f2", "open"), ["f1", "f2"]).select("f1", "f2", "doc_id", "text", "open")
+    # the texts are dealt by the same key here and in remove_repeats, so that Spark shuffles them once
+    opened = keyed.join(marks.where(F.size("open") > 0).select("f1", "f2", "open"), ["f1", "f2"]).select(*keyed.columns, "open")
     pieces = _contexts(opened, span).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = pieces.groupBy("shard").applyInPandas(_sorted_shard(span, memory), "f1 long, f2 long, lo int, hi int")
     more = found.groupBy("f1", "f2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = marks.where(F.size("spans") > 0).select("f1", "f2", "spans").unionByName(more).groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return keyed, spans, scratch
+    return keyed, spans
 
 
 def whole_characters(text: bytes, lo: int, hi: int) -> tuple[int, int]:
@@ -280,49 +287,57 @@ def whole_characters(text: bytes, lo: int, hi: int) -> tuple[int, int]:
     return lo, hi
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+def _kept(text: bytes, union: list[tuple[int, int]]) -> bytes:
+    at, parts = 0, []
+    for lo, hi in union:
+        parts.append(text[at:max(at, lo)])
+        at = max(at, hi)
+    return b"".join(parts) + text[at:]
 
-    kept_text (null unless asked for) also drops the characters that a span cuts; the digest is
-    over exactly the bytes that no repeated string covers.
-    """
-    keyed, spans, scratch = repeated_spans(docs, span)
+
+def _union(own) -> list[tuple[int, int]]:
+    own = own.as_py() or []
+    return joined_spans(np.array([s["lo"] for s in own], np.int64), np.array([s["hi"] for s in own], np.int64))
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (over the bytes that are left)."""
+    keyed, spans = repeated_spans(docs.select("doc_id", "text"), span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
+            out = []
             for key, text, own in zip(batch.column(2), batch.column(3), batch.column(4)):
-                text, own = text.as_py() or b"", own.as_py() or []
-                union = joined_spans(np.array([s["lo"] for s in own], np.int64), np.array([s["hi"] for s in own], np.int64))
-                at, kept = 0, []
-                for lo, hi in union:
-                    kept.append(text[at:lo])
-                    at = hi
-                kept.append(text[at:])
-                kept = b"".join(kept)
-                shown = None
-                if with_text:
-                    at, parts = 0, []
-                    for lo, hi in (whole_characters(text, *s) for s in union):
-                        parts.append(text[at:max(at, lo)])
-                        at = max(at, hi)
-                    shown = (b"".join(parts) + text[at:]).decode("utf-8", "ignore")
-                out.append((key.as_py(), len(text), len(text) - len(kept), len(union), hashlib.sha256(kept).hexdigest(), shown))
-                size += len(shown or "")
-                if size > 4_000_000:
-                    yield _results(out)
-                    out, size = [], 0
-            if out:
-                yield _results(out)
+                text, union = text.as_py() or b"", _union(own)
+                kept = _kept(text, union)
+                out.append((key.as_py(), len(text), len(text) - len(kept), len(union), hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return keyed.join(spans, ["f1", "f2"], "left").select(*keyed.columns, "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    try:
-        out = keyed.join(spans, ["f1", "f2"], "left").select("f1", "f2", "doc_id", "text", "spans").mapInArrow(run, schema)
-        return cut(out)
-    finally:
-        scratch.drop()
 
+def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The documents without their repeated strings, whole characters going where a span cuts one.
 
-def _results(out: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+    n_chars follows the text. Documents of which nothing is left go; those that were empty stay.
+    """
+    keyed, spans = repeated_spans(docs, span)
+    schema = docs.schema
+    names = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"own_{c}" for c in docs.columns]
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes, keep = [], [], []
+            for text, own in zip(batch.column(3), batch.column(batch.num_columns - 1)):
+                text, union = text.as_py() or b"", _union(own)
+                left = _kept(text, [whole_characters(text, *s) for s in union]).decode("utf-8", "ignore") if union else text.decode("utf-8", "ignore")
+                texts.append(left)
+                sizes.append(len(left))
+                keep.append(bool(left) or not text)
+            columns = [pa.array(texts, pa.string()) if n == "text" else pa.array(sizes, pa.int64()) if n == "own_n_chars" else batch.column(batch.schema.get_field_index(n)) for n in names]
+            whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            yield whole.filter(pa.array(keep, pa.bool_()))
+
+    return keyed.join(spans, ["f1", "f2"], "left").select(*keyed.columns, "spans").mapInArrow(run, schema)
