@@ -1,10 +1,853 @@
-"""Queries of the library over the given tables, and the same in SQL."""
+"""Queries of the library over the given tables, and the same in SQL.
+
+German documents give words, frequencies and a stand-in lexicon; spellings that are too rare for it
+play the misspellings. Names begin with the operator's number in the survey.
+"""
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import constants as K
+from .functions import scalars as S
+from .functions import text as T
+from .operators import candidates as C
+from .operators import context as X
+from .operators import corpus, detect, results, synth
+from .operators import lexicon as L
+from .operators import ranking as R
+from .plans.check import check_text, stand_in_lexicon
+from .sharing import cut
+from .sources import readers
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# ---- shared inputs ---------------------------------------------------------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def german(spark, d) -> DataFrame:
+    return table(spark, d, "documents").where("lang = 'de'").select("doc_id", "text")
+
+
+def words(spark, d) -> DataFrame:
+    return german(spark, d).select("doc_id", F.explode(T.words_of(F.col("text"))).alias("word"))
+
+
+def lexicon(spark, d) -> DataFrame:
+    return stand_in_lexicon(words(spark, d))
+
+
+def freq(spark, d) -> DataFrame:
+    return corpus.word_frequencies(words(spark, d))
+
+
+def full_freq(spark, d) -> DataFrame:
+    return corpus.frequency_table(T.tokenize(german(spark, d)))
+
+
+def rare(spark, d) -> DataFrame:
+    """Spellings that are not in the lexicon."""
+    return words(spark, d).groupBy("word").agg(F.count("*").alias("n")).where("n < 3").select("word", F.lit(False).alias("is_first"))
+
+
+def typos(spark, d) -> DataFrame:
+    """A typo table from the corpus: mutated words of the lexicon."""
+    made = synth.mutate(lexicon(spark, d).where(F.col("word").rlike(r"^\p{L}{5,}$")))
+    return made.groupBy(F.lower("typo").alias("typo")).agg(F.min("word").alias("correction"))
+
+
+def scratch_path(spark, name: str) -> str:
+    cut(spark.range(1))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+TOK = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}]+(?:[-''‘’][\p{L}\p{M}\d]+)*')) AS word FROM documents WHERE lang = 'de')"""
+LEX = TOK + r""", cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+lex AS (SELECT word, (CASE WHEN regexp_full_match(word, '\p{Lu}\p{Ll}+') THEN 1 ELSE 0 END + CASE WHEN regexp_full_match(word, '\p{Ll}{2,}en') THEN 2 ELSE 0 END)::INT AS flags FROM cnt WHERE n >= 3),
+rare AS (SELECT word FROM cnt WHERE n < 3), fr AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1)"""
+TITLE = "upper(w[1]) || lower(w[2:])"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def listed(values) -> str:
+    return ", ".join(f"('{v}')" for v in values)
+
+
+# ---- sources and sinks -------------------------------------------------------------------------
+
+
+@query("s01_word_list", "SELECT DISTINCT trim(p_name) AS word, 'parts' AS source FROM part WHERE trim(p_name) <> '' AND NOT starts_with(trim(p_name), '#')")
+def _(spark, d):
+    path = scratch_path(spark, "words")
+    table(spark, d, "part").select("p_name").distinct().write.text(path)
+    return readers.read_word_list(spark, path, "parts")
+
+
+@query("s02_morph_dictionary", f"WITH {LEX} SELECT word AS form, lower(word) AS lemma, 'NN,SIN' AS tags FROM lex WHERE length(word) > 1")
+def _(spark, d):
+    path = scratch_path(spark, "morph")
+    rows = lexicon(spark, d).where(F.length("word") > 1)
+    rows.select(F.concat("word", F.lit("\n"), F.lower("word"), F.lit(" NN,SIN"))).write.text(path)
+    return readers.read_morph_dictionary(spark, path).where("lemma is not null").select("form", "lemma", F.array_join("tags", ",").alias("tags"))
+
+
+@query("s03_frequency_list", f"WITH {LEX} SELECT length(word)::BIGINT AS id, word, n AS freq FROM cnt")
+def _(spark, d):
+    path = scratch_path(spark, "freq")
+    words(spark, d).groupBy("word").agg(F.count("*").alias("n")).select(F.concat_ws("\t", F.length("word").cast("string"), "word", F.col("n").cast("string"))).write.text(path)
+    return readers.read_frequency_list(spark, path)
+
+
+@query("s04_affix_dictionary", f"WITH {LEX} SELECT word AS base, CASE WHEN flags = 1 THEN 'SN' ELSE 'A' END AS flags FROM lex")
+def _(spark, d):
+    path = scratch_path(spark, "affix")
+    lexicon(spark, d).select(F.concat("word", F.lit("/"), F.when(F.col("flags") == 1, "SN").otherwise("A"), F.lit(" # n"))).write.option("encoding", "ISO-8859-1").text(path)
+    return readers.read_affix_dictionary(spark, path, encoding="UTF-8")
+
+
+@query("s05_rule_suggestions", f"WITH {LEX} SELECT word FROM lex WHERE regexp_full_match(word, '\\p{{L}}+') UNION ALL SELECT lower(word) FROM lex WHERE regexp_full_match(word, '\\p{{L}}+')")
+def _(spark, d):
+    path = scratch_path(spark, "rules")
+    rows = lexicon(spark, d).where(F.col("word").rlike(r"^\p{L}+$"))
+    rows.select(F.array(F.struct(F.lit("x").alias("_VALUE"), F.lower("word").alias("_correction"))).alias("example"), F.array("word").alias("suggestion")).write.option("rowTag", "rule").option("rootTag", "rules").format("xml").save(path)
+    return readers.read_rule_suggestions(spark, path)
+
+
+@query("s06_language_data", f"WITH {LEX} SELECT word, n FROM fr")
+def _(spark, d):
+    path = scratch_path(spark, "language")
+    freq(spark, d).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("words"), F.sum("n").alias("totalCount")).select(F.struct("words", "totalCount", F.array().cast("array<string>").alias("lowercaseWords"), F.array().cast("array<string>").alias("titlecaseWords")).alias("corpus")).write.json(path)
+    return readers.read_language_data(spark, path)["freq"].select("word", "n")
+
+
+@query("s07_user_lists", "SELECT DISTINCT p_brand AS word, 'user' AS list_type FROM part UNION ALL SELECT DISTINCT p_type, 'ignored' FROM part")
+def _(spark, d):
+    path, part = scratch_path(spark, "lists"), table(spark, d, "part")
+    readers.write_user_lists(part.select(F.col("p_brand").alias("word"), F.lit("user").alias("list_type")).union(part.select("p_type", F.lit("ignored"))), path)
+    return readers.read_user_lists(spark, path)
+
+
+@query("s08_canonical_list", f"WITH {LEX} SELECT word, row_number() OVER (ORDER BY lower(word), word) AS place FROM lex")
+def _(spark, d):
+    path = scratch_path(spark, "list")
+    readers.write_word_list(lexicon(spark, d), path)
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).withColumnRenamed("value", "word")
+    return lines.withColumn("place", F.row_number().over(Window.orderBy(F.lower("word"), "word")).cast("long"))
+
+
+@query("s09_known_typos", f"WITH {LEX} SELECT word || 'x' AS typo FROM lex")
+def _(spark, d):
+    path = scratch_path(spark, "typos")
+    lexicon(spark, d).select(F.concat("word", F.lit("x")).alias("typo")).write.json(path)
+    return spark.read.schema("typo string").json(path).where("typo is not null")
+
+
+@query("s10_typo_corpus", f"WITH {LEX} SELECT label, count(*) AS n FROM (SELECT 'real' AS label FROM lex UNION ALL SELECT 'typo' FROM rare) GROUP BY label")
+def _(spark, d):
+    path = scratch_path(spark, "corpus")
+    none = F.lit(None).cast("string")
+    rows = lexicon(spark, d).select("word", F.lit("real").alias("label"), none.alias("base"), none.alias("kind")).union(rare(spark, d).select("word", F.lit("typo"), none, none))
+    readers.write_typo_corpus(rows, path)
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# ---- lexicon -----------------------------------------------------------------------------------
+
+PLAIN_SQL = "[A-Za-zÄÖÜäöüß''-]"
+
+
+@query("l01_filter_words", f"WITH {LEX} SELECT word FROM cnt WHERE regexp_full_match(word, '{PLAIN_SQL}+') AND length(word) BETWEEN 3 AND 30 AND NOT regexp_matches(word, '^-|-$')")
+def _(spark, d):
+    return L.filter_words(words(spark, d).select("word").distinct(), min_len=3, max_len=30, inner_hyphen=True)
+
+
+AFFIX = "CASE WHEN flags = 1 THEN 'SFEN' WHEN flags = 2 THEN 'A' ELSE 'P' END"
+
+
+def affixes(spark, d) -> DataFrame:
+    return lexicon(spark, d).select(F.col("word").alias("base"), F.when(F.col("flags") == 1, "SFEN").when(F.col("flags") == 2, "A").otherwise("P").alias("flags"))
+
+
+@query("l02_expand_affixes", f"""WITH {LEX}, b AS (SELECT word AS w, {AFFIX} AS f FROM lex WHERE regexp_full_match(word, '{PLAIN_SQL}+') AND length(word) >= 2)
+SELECT DISTINCT word FROM (SELECT w AS word FROM b UNION ALL SELECT w || e FROM b, (VALUES ('s'), ('e'), ('n'), ('in'), ('innen')) v(e) WHERE f = 'SFEN'
+UNION ALL SELECT w || e FROM b, (VALUES ('r'), ('s'), ('n'), ('m')) v(e) WHERE f IN ('A', 'P') AND ends_with(w, 'e')
+UNION ALL SELECT w || e FROM b, (VALUES ('e'), ('er'), ('es'), ('en'), ('em')) v(e) WHERE f IN ('A', 'P') AND NOT ends_with(w, 'e'))""")
+def _(spark, d):
+    return L.expand_affixes(affixes(spark, d))
+
+
+@query("l03_expand_affixes_frami", f"""WITH {LEX}, b AS (SELECT word AS w, flags, regexp_matches(word, '^[A-ZÄÖÜ]') AS up FROM lex WHERE regexp_full_match(word, '[A-Za-zÄÖÜäöüß-]+') AND length(word) >= 2
+AND NOT (NOT regexp_matches(word, '^[A-ZÄÖÜ]') AND (flags = 1 OR regexp_matches(word, '(?:ung|heit|keit|schaft|tion|tät)$'))))
+SELECT DISTINCT word FROM (SELECT w AS word FROM b UNION ALL SELECT w || e FROM b, (VALUES ('s'), ('e'), ('n')) v(e) WHERE flags = 1 UNION ALL SELECT w || e FROM b, (VALUES ('in'), ('innen')) v(e) WHERE flags = 1 AND up)""")
+def _(spark, d):
+    return L.expand_affixes(affixes(spark, d), profile="frami")
+
+
+@query("l04_genitive_s", f"WITH {LEX} SELECT DISTINCT word FROM (SELECT word FROM lex UNION ALL SELECT word || 's' FROM lex WHERE regexp_matches(word, '^[A-ZÄÖÜ]') AND NOT regexp_matches(word, '[sß]$'))")
+def _(spark, d):
+    return L.add_genitive_s(lexicon(spark, d))
+
+
+@query("l05_swiss_variants", f"WITH {LEX} SELECT word, bit_or(flags)::INT AS flags FROM (SELECT * FROM lex UNION ALL SELECT replace(word, 'ß', 'ss'), flags FROM lex WHERE contains(word, 'ß')) GROUP BY word")
+def _(spark, d):
+    return L.add_swiss_variants(lexicon(spark, d))
+
+
+FUNCTION_SQL = f"CASE WHEN lower(word) IN ({quoted(K.FUNCTION_WORDS)}) AND word <> upper(word) THEN lower(word) ELSE word END"
+
+
+@query("l06_function_words", f"WITH {LEX} SELECT {FUNCTION_SQL} AS word, sum(n)::BIGINT AS n FROM cnt GROUP BY 1")
+def _(spark, d):
+    return L.normalize_function_words(words(spark, d)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("l06b_demote_function_words", f"WITH {LEX} SELECT CASE WHEN word IN ({quoted(w.capitalize() for w in K.FUNCTION_WORDS)}) THEN lower(word) ELSE word END AS word, CASE WHEN word IN ({quoted(w.capitalize() for w in K.FUNCTION_WORDS)}) THEN word END AS removed FROM cnt")
+def _(spark, d):
+    return L.demote_capitalized_function_words(words(spark, d).select("word").distinct())
+
+
+@query("l07_canonical_casing", "SELECT coalesce(b.brand, p.word) AS word, count(*) AS n FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS word FROM part) p LEFT JOIN (SELECT DISTINCT lower(p_brand) AS key, p_brand AS brand FROM part UNION ALL VALUES ('red', 'Red'), ('blue', 'Blue')) b ON p.word = b.key GROUP BY 1")
+def _(spark, d):
+    part = table(spark, d, "part")
+    brands = part.select(F.lower("p_brand").alias("key"), F.col("p_brand").alias("brand")).distinct().union(spark.createDataFrame([("red", "Red"), ("blue", "Blue")], "key string, brand string"))
+    rows = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return L.apply_canonical_casing(rows, brands).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("l08_filter_frequent", f"WITH {LEX} SELECT word FROM cnt WHERE n >= 15 AND length(word) >= 3 AND regexp_full_match(word, '{PLAIN_SQL}+') AND word NOT IN (SELECT word FROM lex WHERE flags = 1)")
+def _(spark, d):
+    counted = words(spark, d).groupBy("word").agg(F.count("*").alias("freq"))
+    return L.filter_frequent(counted, lexicon(spark, d).where("flags = 1"))
+
+
+@query("l09_harvest_names", f"""WITH p AS (SELECT c_name AS w FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_brand FROM part UNION ALL SELECT text[1:60] FROM documents),
+q AS (SELECT trim(w) AS w FROM p UNION ALL SELECT regexp_replace(unnest(string_split_regex(trim(w), '[ \\t\\n\\r\\f\\v]+')), '^[ ,.;:!?"''()\\[\\]{{}}«»]+|[ ,.;:!?"''()\\[\\]{{}}«»]+$', '', 'g') FROM p)
+SELECT DISTINCT w AS word FROM q WHERE regexp_full_match(w, '[A-ZÄÖÜ][A-Za-zÄÖÜäöüß-]{{1,29}}') AND w NOT IN ({quoted(K.LEGAL_WORDS)})""")
+def _(spark, d):
+    t = partial(table, spark, d)
+    labels = t("customer").select(F.col("c_name").alias("label")).union(t("nation").select("n_name")).union(t("supplier").select("s_name")).union(t("part").select("p_brand")).union(t("documents").select(F.substring("text", 1, 60)))
+    return L.harvest_names(labels)
+
+
+@query("l09b_harvest_titles", f"WITH {LEX}, t AS (SELECT DISTINCT word FROM cnt WHERE regexp_full_match(word, '{PLAIN_SQL}+') AND length(word) >= 2) SELECT DISTINCT word FROM (SELECT word FROM t UNION ALL SELECT word || 's' FROM t WHERE regexp_matches(word, '^[A-ZÄÖÜ]') AND NOT regexp_matches(word, '[sß]$'))")
+def _(spark, d):
+    return L.harvest_titles(words(spark, d).select(F.col("word").alias("title")).distinct())
+
+
+TAGS_SQL = "CASE WHEN flags = 1 THEN ['NN', 'SIN'] WHEN flags = 2 THEN ['V', 'inf'] WHEN length(word) % 2 = 0 THEN ['ADJ', 'POS'] ELSE ['V', 'imp'] END"
+FLAG_SQL = "CASE WHEN t[1] IN ('NN', 'NNP') THEN 1 WHEN t[1] = 'ADJ' THEN 2 WHEN t[1] = 'V' AND list_has_any(t[2:], ['inf', 'ppast', 'ppres', 'zu']) THEN 2 ELSE 0 END"
+
+
+def morph(spark, d) -> DataFrame:
+    tags = F.when(F.col("flags") == 1, F.array(F.lit("NN"), F.lit("SIN"))).when(F.col("flags") == 2, F.array(F.lit("V"), F.lit("inf"))).when(F.length("word") % 2 == 0, F.array(F.lit("ADJ"), F.lit("POS"))).otherwise(F.array(F.lit("V"), F.lit("imp")))
+    return lexicon(spark, d).select(F.col("word").alias("form"), F.lower("word").alias("lemma"), tags.alias("tags"))
+
+
+@query("l10_flags_from_tags", f"WITH {LEX}, m AS (SELECT word, {TAGS_SQL} AS t FROM lex) SELECT word, ({FLAG_SQL})::INT AS flag FROM m")
+def _(spark, d):
+    return morph(spark, d).select(F.col("form").alias("word"), L.flags_from_tags(F.col("tags")).alias("flag"))
+
+
+@query("l11_build_lexicon", f"""WITH {LEX}, m AS (SELECT word, {TAGS_SQL} AS t FROM lex), r AS (SELECT word, ({FLAG_SQL})::INT AS f FROM m UNION ALL SELECT lower(word), ({FLAG_SQL})::INT FROM m),
+e AS (SELECT {FUNCTION_SQL} AS word FROM (SELECT word FROM cnt WHERE n = 2) WHERE length(word) >= 2), z AS (SELECT DISTINCT word FROM e WHERE lower(word) IN ({quoted(K.FUNCTION_WORDS)})),
+x AS (SELECT word, f FROM r UNION ALL SELECT word, CASE WHEN regexp_matches(word, '^\\p{{Lu}}') AND NOT (word = upper(word) AND word <> lower(word)) THEN 1 ELSE 0 END FROM e WHERE lower(word) NOT IN ({quoted(K.FUNCTION_WORDS)})),
+g AS (SELECT word, bit_or(f) AS f FROM x WHERE word NOT IN (SELECT word FROM z) GROUP BY word UNION ALL SELECT word, 0 FROM z),
+s AS (SELECT word, bit_or(f) AS f FROM (SELECT * FROM g UNION ALL SELECT replace(word, 'ß', 'ss'), f FROM g WHERE contains(word, 'ß')) GROUP BY word)
+SELECT word, f::INT AS flags FROM s UNION ALL SELECT word, (CASE WHEN regexp_matches(word, '^\\p{{Lu}}') AND NOT (word = upper(word) AND word <> lower(word)) THEN 1 ELSE 0 END)::INT FROM cnt WHERE n = 1 AND word NOT IN (SELECT word FROM s)""")
+def _(spark, d):
+    counted = words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
+    return L.build_lexicon(morph(spark, d), counted.where("n = 2").select("word"), counted.where("n = 1").select("word"))
+
+
+@query("l12_lexicon_counts", f"WITH {LEX} SELECT count(DISTINCT word) AS forms, count(DISTINCT lower(word)) AS lemmas, (SELECT count(*) FROM lex) AS vocabulary FROM lex")
+def _(spark, d):
+    return L.lexicon_counts(morph(spark, d), lexicon(spark, d))
+
+
+@query("l13_merge_sources", f"WITH {LEX}, s AS (SELECT word, 'nouns' AS source, 0 AS p FROM lex WHERE flags = 1 UNION ALL SELECT word, 'lexicon', 1 FROM lex UNION ALL SELECT word, 'corpus', 2 FROM cnt), f AS (SELECT word, arg_min(source, p) AS source FROM s GROUP BY word) SELECT source, count(*) AS new_words FROM f GROUP BY source")
+def _(spark, d):
+    lex = lexicon(spark, d)
+    named = lambda df, n: df.select("word", F.lit(n).alias("source"))
+    return L.merge_sources([named(lex.where("flags = 1"), "nouns"), named(lex, "lexicon"), named(words(spark, d).distinct(), "corpus")])[1]
+
+
+@query("l14_missing_names", f"WITH {LEX}, a AS (SELECT list(DISTINCT c) AS al FROM (SELECT unnest(string_split(word, '')) AS c FROM lex)) SELECT word FROM rare, a WHERE regexp_full_match(word, '[\\p{{L}}''-]+') AND length(word) BETWEEN 2 AND 60 AND list_has_all(al, string_split(word, ''))")
+def _(spark, d):
+    return L.missing_names(rare(spark, d), lexicon(spark, d))
+
+
+@query("l15_verify_lexicon", f"WITH {LEX}, e AS (SELECT word, n >= 2 AS expected FROM cnt) SELECT e.word, e.expected, l.word IS NOT NULL AS present, (l.word IS NOT NULL) = e.expected AS ok FROM e LEFT JOIN lex l USING (word)")
+def _(spark, d):
+    counted = words(spark, d).groupBy("word").agg(F.count("*").alias("n")).select("word", (F.col("n") >= 2).alias("expected"))
+    return L.verify_lexicon(lexicon(spark, d), counted)
+
+
+@query("l16_adjective_like", f"""WITH {LEX}, w AS (SELECT word FROM lex WHERE length(word) >= 3 AND NOT regexp_full_match(word, 'ein|eine|einer|einem|eines|einen|der|die|das|dem|den|des')),
+s AS (SELECT DISTINCT word, unnest([word, CASE WHEN ends_with(word, 'e') THEN word[:-2] END, CASE WHEN regexp_matches(word, 'e[lr]$') THEN regexp_replace(word, 'e([lr])$', '\\1') END]) AS stem FROM w),
+h AS (SELECT s.word, s.stem, list(DISTINCT e.k) AS k FROM s, (VALUES ('er', 'er'), ('er', 'r'), ('es', 'es'), ('es', 's'), ('em', 'em'), ('em', 'm')) e(k, x) WHERE s.stem IS NOT NULL AND s.stem || e.x IN (SELECT word FROM lex) GROUP BY 1, 2)
+SELECT DISTINCT word FROM h WHERE list_contains(k, 'er') AND (list_contains(k, 'es') OR list_contains(k, 'em')) OR list_contains(k, 'es') AND list_contains(k, 'em') UNION SELECT word FROM w WHERE word = 'hoch'""")
+def _(spark, d):
+    return L.adjective_like(lexicon(spark, d))
+
+
+# ---- corpus ------------------------------------------------------------------------------------
+
+
+@query("c01_word_frequencies", f"WITH {LEX} SELECT word, n FROM fr")
+def _(spark, d):
+    return freq(spark, d)
+
+
+@query("c01_totals", f"WITH {LEX} SELECT sum(n)::BIGINT AS total, count(*) AS types FROM fr")
+def _(spark, d):
+    return corpus.totals(freq(spark, d))
+
+
+@query("c02_case_evidence")
+def _(spark, d):
+    return corpus.case_evidence(T.tokenize(german(spark, d)))
+
+
+@query("c03_log_prior", f"WITH {LEX}, t AS (SELECT sum(n) AS total, count(*) AS types FROM fr) SELECT c.word, round(ln(CASE WHEN coalesce(f.n, 0) > 0 THEN f.n::DOUBLE ELSE 0.1 END) - ln(greatest(1.0, total + 0.1 * greatest(1, types + 1))), 6) AS log_prior FROM (SELECT word FROM cnt UNION ALL SELECT word || 'x' FROM lex) c LEFT JOIN fr f ON lower(c.word) = f.word, t")
+def _(spark, d):
+    rows = words(spark, d).select("word").distinct().union(lexicon(spark, d).select(F.concat("word", F.lit("x"))))
+    return corpus.log_prior(rows, freq(spark, d)).select("word", F.round("log_prior", 6).alias("log_prior"))
+
+
+# ---- text --------------------------------------------------------------------------------------
+
+
+@query("t01_normalize_word", f"WITH {LEX} SELECT word, translate(nfc_normalize(word), '‘’ʼ‐‑‒–—―−', '''''''-------') AS normal FROM cnt")
+def _(spark, d):
+    return words(spark, d).select("word").distinct().select("word", T.normalize_word(F.col("word")).alias("normal"))
+
+
+@query("t02_words", f"WITH {TOK} SELECT doc_id, count(*) AS n, count(DISTINCT word) AS types FROM tok GROUP BY doc_id")
+def _(spark, d):
+    return words(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("types"))
+
+
+@query("t02_tokens")
+def _(spark, d):
+    return T.tokenize(german(spark, d))
+
+
+@query("t03_protected_ranges")
+def _(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", F.substring("html", 1, 100000)).alias("text"))
+    return rows.select("page_id", F.inline(T.protected_ranges(F.col("text"))))
+
+
+@query("t05_sentence_starts")
+def _(spark, d):
+    return T.tokenize(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count(F.when(F.col("is_first"), 1)).alias("starts"))
+
+
+@query("t06_sentences", r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?…\r\n]+(?:[.!?…]+|[\r\n]+|$)')) AS text FROM documents WHERE lang = 'de') SELECT doc_id, text, count(*) AS n FROM s WHERE regexp_matches(text, '\p{L}') GROUP BY ALL""")
+def _(spark, d):
+    return T.sentences(german(spark, d)).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+
+
+@query("t07_foreign_sentences", r"""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^.!?…\r\n]+(?:[.!?…]+|[\r\n]+|$)')) AS text FROM documents) SELECT text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) < length(regexp_replace(text, '[^\p{L}]', '', 'g')) / 2 AS is_foreign FROM s WHERE regexp_matches(text, '\p{L}')""")
+def _(spark, d):
+    return T.is_foreign(T.sentences(table(spark, d, "documents"))).select("text", F.col("foreign").alias("is_foreign")).distinct()
+
+
+@query("t08_german_tokens")
+def _(spark, d):
+    said = T.sentences(table(spark, d, "documents").where("lang <> 'de'")).select("text", F.lit("en").alias("language"), F.lit(99.0).alias("percentage"), F.lit(True).alias("reliable"))
+    return T.german_tokens(table(spark, d, "documents"), said).groupBy("doc_id").agg(F.count("*").alias("tokens"))
+
+
+@query("t09_local_context")
+def _(spark, d):
+    rows = T.tokenize(german(spark, d)).where("is_first").join(german(spark, d), "doc_id")
+    return rows.withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end"))).select("doc_id", "start", "word", F.col("c.text").alias("context"), F.col("c.start").alias("at"))
+
+
+# ---- detection ---------------------------------------------------------------------------------
+
+
+@query("d01_ignored", f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+')) AS w FROM documents) SELECT w AS word, length(w) <= 1 OR regexp_matches(w, '^[\\d.,%€$+\\-]+$') OR regexp_matches(w, '(?i)^(https?://|www\\.)') OR regexp_matches(w, '^[^ @]+@[^ @]+\\.[^ @]+$') OR regexp_matches(w, '[\\\\/_#@<>{{}}\\d]') OR lower(w) IN ({quoted(K.ABBREVIATIONS)}) AS ignored FROM w""")
+def _(spark, d):
+    rows = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
+    return rows.select("word", detect.is_ignored(F.col("word")).alias("ignored"))
+
+
+@query("d02_matches_list", f"WITH {LEX} SELECT word FROM cnt WHERE lower(word) IN (SELECT lower(word) FROM lex WHERE flags = 1)")
+def _(spark, d):
+    return detect.matches_list(words(spark, d).select("word").distinct(), lexicon(spark, d).where("flags = 1"))
+
+
+LOOKUP_SQL = "p.w IN (SELECT word FROM lex) OR (p.f AND p.w[1] = upper(p.w[1]) AND p.w[1] <> lower(p.w[1]) AND lower(p.w[1]) || p.w[2:] IN (SELECT word FROM lex)) OR (p.w = upper(p.w) AND p.w <> lower(p.w) AND (upper(p.w[1]) || lower(p.w[2:]) IN (SELECT word FROM lex) OR lower(p.w) IN (SELECT word FROM lex)))"
+
+
+@query("d03_unknown_words", f"WITH {LEX} SELECT word, n FROM cnt WHERE length(word) > 1 AND word NOT IN (SELECT word FROM lex) AND NOT (word = upper(word) AND word <> lower(word) AND (upper(word[1]) || lower(word[2:]) IN (SELECT word FROM lex) OR lower(word) IN (SELECT word FROM lex))) AND lower(word) NOT IN ({quoted(K.ABBREVIATIONS)}) AND NOT regexp_matches(word, '\\d')")
+def _(spark, d):
+    """Which words of the German documents are not in the lexicon, and how often do they occur?"""
+    counted = words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
+    rows = counted.where(~detect.is_ignored(F.col("word"))).withColumn("is_first", F.lit(False))
+    known = detect.lookup_words(rows, counted.where("n >= 3"))
+    return rows.join(known, ["word", "is_first"], "left_anti").select("word", "n")
+
+
+@query("d03_lookup_words", f"WITH {LEX}, p AS (SELECT word AS w, true AS f FROM cnt UNION ALL SELECT upper(word), false FROM cnt WHERE n = 2) SELECT DISTINCT w AS word, f AS is_first FROM p WHERE {LOOKUP_SQL}")
+def _(spark, d):
+    counted = words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
+    rows = counted.select("word", F.lit(True).alias("is_first")).union(counted.where("n = 2").select(F.upper("word"), F.lit(False)))
+    return detect.lookup_words(rows, lexicon(spark, d))
+
+
+@query("d04_apostrophe", f"WITH {LEX}, p AS (SELECT word AS w, false AS f FROM cnt WHERE length(word) >= 2) SELECT w || '''s' AS word, f AS is_first FROM p WHERE {LOOKUP_SQL}")
+def _(spark, d):
+    rows = words(spark, d).select(F.concat("word", F.lit("'s")).alias("word"), F.lit(False).alias("is_first")).where(F.length("word") >= 4).distinct()
+    return detect.valid_apostrophe(rows, lexicon(spark, d))
+
+
+PLAINEST = r"regexp_full_match(word, '\p{L}{2,}')"
+
+
+@query("d05_hyphenated", f"WITH {LEX}, g AS (SELECT word, word IN (SELECT word FROM lex) OR lower(word) IN ({quoted(K.ABBREVIATIONS)}) OR (word = upper(word) AND word <> lower(word) AND (upper(word[1]) || lower(word[2:]) IN (SELECT word FROM lex) OR lower(word) IN (SELECT word FROM lex))) AS ok FROM cnt WHERE {PLAINEST}) SELECT word || '-' || lower(word) || '-2a' AS word, false AS is_first FROM g WHERE (ok OR (word[1] = upper(word[1]) AND lower(word) IN (SELECT word FROM lex WHERE flags > 0))) AND (lower(word) IN (SELECT word FROM lex) OR lower(word) IN ({quoted(K.ABBREVIATIONS)}))")
+def _(spark, d):
+    rows = words(spark, d).where(F.col("word").rlike(r"^\p{L}{2,}$")).select(F.concat("word", F.lit("-"), F.lower("word"), F.lit("-2a")).alias("word"), F.lit(False).alias("is_first")).distinct()
+    return detect.valid_hyphenated(rows, lexicon(spark, d))
+
+
+@query("d06_trailing_hyphen", f"WITH {LEX}, p AS (SELECT word AS w, false AS f FROM cnt) SELECT w || '-' AS word, f AS is_first FROM p WHERE {LOOKUP_SQL} OR lower(p.w) IN (SELECT word FROM lex)")
+def _(spark, d):
+    rows = words(spark, d).select(F.concat("word", F.lit("-")).alias("word"), F.lit(False).alias("is_first")).distinct()
+    return detect.valid_trailing_hyphen(rows, lexicon(spark, d))
+
+
+PREFIX_SQL = r"""pre AS (SELECT DISTINCT p FROM (SELECT lower(word) AS p FROM lex WHERE flags > 0 AND (word = lower(word) OR word = upper(word[1]) || lower(word[2:]))
+UNION ALL SELECT lower(word[:-2]) FROM lex WHERE flags & 1 <> 0 AND regexp_matches(word, '[^e]e$') UNION ALL SELECT word[:-3] FROM lex WHERE flags & 2 <> 0 AND ends_with(word, 'en') UNION ALL SELECT word[:-2] FROM lex WHERE flags & 2 <> 0 AND ends_with(word, 'n')) WHERE length(p) >= 3)"""
+COMPOUND_SQL = PREFIX_SQL + r""", comp(word, rest, cap, lvl) AS (SELECT word, word, word[1] = upper(word[1]) AND word[1] <> lower(word[1]), 0 FROM inp WHERE length(word) >= 6
+UNION SELECT word, CASE WHEN cap THEN upper(r[1]) || lower(r[2:]) ELSE lower(r) END, cap, lvl + 1 FROM (
+ SELECT c.word, c.cap, c.lvl, c.rest[i + length(l) + 1:] AS r FROM comp c, range(3, 60) t(i), (VALUES (''), ('s'), ('es'), ('en'), ('n')) v(l), pre
+ WHERE length(c.rest) >= 6 AND c.lvl < 5 AND i <= length(c.rest) - 3 AND pre.p = lower(c.rest[1:i]) AND starts_with(c.rest[i + 1:], l)
+ AND NOT (l = '' AND regexp_matches(lower(c.rest[1:i]), '(?:heit|keit|schaft|tät|ling|ion|ung)$') AND NOT regexp_matches(lower(c.rest[1:i]), '(?:sprung|schwung|dung)$'))) WHERE length(r) >= 3)"""
+COMPOUND_OK = "SELECT DISTINCT c.word FROM comp c JOIN lex l ON l.word = c.rest WHERE c.lvl > 0 AND l.flags & (CASE WHEN c.cap THEN 1 ELSE 2 END) <> 0"
+
+
+@query("d07_compounds", f"WITH RECURSIVE {LEX}, inp AS (SELECT word FROM rare), {COMPOUND_SQL} {COMPOUND_OK}")
+def _(spark, d):
+    return detect.valid_compounds(rare(spark, d), lexicon(spark, d))
+
+
+@query("d08_known_typos", f"WITH {LEX}, t AS (SELECT lower(word) || 'x' AS typo FROM lex UNION ALL SELECT lower(word) FROM lex WHERE flags = 1), p AS (SELECT word AS w, false AS f FROM cnt UNION ALL SELECT word || 'x', false FROM cnt) SELECT DISTINCT w AS word, f AS is_first FROM p WHERE lower(w) IN (SELECT typo FROM t) AND NOT ({LOOKUP_SQL})")
+def _(spark, d):
+    lex = lexicon(spark, d)
+    listed = lex.select(F.concat(F.lower("word"), F.lit("x")).alias("typo")).union(lex.where("flags = 1").select(F.lower("word"))).distinct()
+    rows = words(spark, d).select("word").distinct()
+    rows = rows.union(rows.select(F.concat("word", F.lit("x")))).select("word", F.lit(False).alias("is_first"))
+    return detect.known_nonword_typos(rows, listed, lex).distinct()
+
+
+@query("d09_suspicious_compounds")
+def _(spark, d):
+    return detect.suspicious_compounds(detect.valid_compounds(rare(spark, d), lexicon(spark, d)), lexicon(spark, d), full_freq(spark, d))
+
+
+@query("d10_verdicts", f"WITH RECURSIVE {LEX}, inp AS (SELECT word FROM rare UNION SELECT lower(word[1]) || word[2:] FROM rare), {COMPOUND_SQL}, ok AS ({COMPOUND_OK}) SELECT w AS word, f AS is_first, length(w) <= 1 OR lower(w) IN ({quoted(K.ABBREVIATIONS)}) OR regexp_matches(w, '\\d') OR ({LOOKUP_SQL}) OR w IN (SELECT word FROM ok) OR (f AND lower(w[1]) || w[2:] IN (SELECT word FROM ok)) AS correct FROM (SELECT word AS w, true AS f FROM cnt WHERE NOT contains(word, '-') AND NOT contains(word, '''')) p")
+def _(spark, d):
+    rows = words(spark, d).select("word").distinct().where(~F.col("word").rlike("[-']")).withColumn("is_first", F.lit(True))
+    return detect.verdicts(rows, lexicon(spark, d))
+
+
+@query("d11_must_be_capitalized")
+def _(spark, d):
+    return detect.must_be_capitalized(words(spark, d).select("word").distinct(), lexicon(spark, d), full_freq(spark, d))
+
+
+@query("d12_check_text")
+def _(spark, d):
+    """The first document of each source stands for its source's corpus: whole texts, all errors, with suggestions."""
+    lex = cut(lexicon(spark, d))
+    return check_text(german(spark, d), lex, cut(full_freq(spark, d)))
+
+
+# ---- candidates --------------------------------------------------------------------------------
+
+
+@query("k01_fuzzy_join_1", f"WITH {LEX} SELECT r.word, l.word AS cand, damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:])::INT AS distance FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:]) <= 1")
+def _(spark, d):
+    return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1)
+
+
+@query("k01_fuzzy_join_2")
+def _(spark, d):
+    return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 2, 120)
+
+
+@query("k02_search_forms", f"WITH {LEX} SELECT DISTINCT word, unnest(CASE WHEN length(word) > 1 AND word = upper(word) AND word <> lower(word) OR length(word) <= 20 THEN [word, lower(word), upper(word[1]) || lower(word[2:])] ELSE [word] END) AS form FROM cnt")
+def _(spark, d):
+    return C.search_forms(words(spark, d))
+
+
+@query("k03_rewrites")
+def _(spark, d):
+    return C.rewrite_candidates(rare(spark, d), lexicon(spark, d))
+
+
+@query("k04_known_corrections", f"WITH {LEX}, t AS (SELECT lower(word) || 'x' AS typo, min(word) AS correction FROM lex GROUP BY 1), p AS (SELECT word || 'x' AS w, true AS f FROM cnt) SELECT w AS word, f AS is_first, CASE WHEN w = upper(w) AND w <> lower(w) THEN upper(correction) ELSE upper(correction[1]) || correction[2:] END AS cand, 0.05::DOUBLE AS cost FROM p JOIN t ON lower(w) = typo WHERE NOT ({LOOKUP_SQL})")
+def _(spark, d):
+    lex = lexicon(spark, d)
+    listed = lex.groupBy(F.concat(F.lower("word"), F.lit("x")).alias("typo")).agg(F.min("word").alias("correction"))
+    rows = words(spark, d).select(F.concat("word", F.lit("x")).alias("word")).distinct().withColumn("is_first", F.lit(True))
+    return C.known_corrections(rows, listed, lex)
+
+
+@query("k05_compound_synthesis")
+def _(spark, d):
+    return C.synthesize_compounds(rare(spark, d), lexicon(spark, d), freq(spark, d))
+
+
+@query("k06_fuzzy_join_3")
+def _(spark, d):
+    rows = rare(spark, d).where(F.length("word").between(6, 16))
+    near = C.fuzzy_join(rows, lexicon(spark, d), 2)
+    few = rows.join(near.groupBy("word").agg(F.count("*").alias("n")), "word", "left").where("coalesce(n, 0) < 4").select("word")
+    return C.fuzzy_join(few, lexicon(spark, d), 3, 120).join(near.select("word", "cand"), ["word", "cand"], "left_anti")
+
+
+@query("k07_user_list")
+def _(spark, d):
+    return C.user_list_candidates(rare(spark, d), lexicon(spark, d).where("flags = 1").select("word"))
+
+
+@query("k08_case_candidates", f"WITH {LEX}, b AS (SELECT DISTINCT word, unnest([upper(word[1]) || word[2:], lower(word)]) AS w, false AS f FROM rare) SELECT word, f AS is_first, w AS cand, 0.2::DOUBLE AS cost FROM b p WHERE {LOOKUP_SQL}")
+def _(spark, d):
+    return C.case_candidates(rare(spark, d), lexicon(spark, d))
+
+
+UMLAUT_SQL = "(VALUES ('ae', 'ä'), ('oe', 'ö'), ('ue', 'ü'), ('ss', 'ß'), ('ä', 'ae'), ('ö', 'oe'), ('ü', 'ue'), ('ß', 'ss')) v(a, b)"
+
+
+@query("k09_umlaut_forms", f"WITH {LEX}, r AS (SELECT word, replace(lower(word), a, b) AS rep FROM rare, {UMLAUT_SQL} WHERE contains(lower(word), a)), b AS (SELECT DISTINCT word, unnest([rep, upper(rep[1]) || rep[2:]]) AS w, false AS f FROM r) SELECT word, f AS is_first, w AS cand, 0.4::DOUBLE AS cost FROM b p WHERE {LOOKUP_SQL}")
+def _(spark, d):
+    return C.umlaut_candidates(rare(spark, d), lexicon(spark, d))[0]
+
+
+@query("k10_transpositions", f"WITH {LEX}, b AS (SELECT DISTINCT word, word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:] AS w, false AS f FROM rare, range(1, 60) t(i) WHERE i < length(word)) SELECT word, f AS is_first, w AS cand, 0.5::DOUBLE AS cost FROM b p WHERE {LOOKUP_SQL}")
+def _(spark, d):
+    return C.transposition_candidates(rare(spark, d), lexicon(spark, d))
+
+
+@query("k11_short_insertions", f"WITH {LEX}, b AS (SELECT DISTINCT word, lower(word)[1:i] || c || lower(word)[i + 1:] AS ins FROM rare, range(0, 5) t(i), (SELECT unnest(string_split('{K.LETTERS}', '')) AS c) WHERE length(word) <= 4 AND i <= length(word)) SELECT DISTINCT word, cand, 1.0::DOUBLE AS cost FROM (SELECT word, unnest([ins, upper(ins[1]) || ins[2:]]) AS cand FROM b) WHERE cand IN (SELECT word FROM lex)")
+def _(spark, d):
+    return C.short_insertions(rare(spark, d), lexicon(spark, d))
+
+
+@query("k12_candidates")
+def _(spark, d):
+    return C.collect_candidates(rare(spark, d), cut(lexicon(spark, d)), freq(spark, d))
+
+
+# ---- scalars -----------------------------------------------------------------------------------
+
+KEYS_SQL = "keys AS (SELECT * FROM (VALUES ('1234567890ß', 1.0, 1.0), ('qwertzuiopü', 1.5, 2.0), ('asdfghjklöä', 1.75, 3.0), ('yxcvbnm', 2.25, 4.0)) r(k, x0, y))"
+
+
+@query("m01_keyboard_distance", f"""WITH {LEX}, {KEYS_SQL}, c AS (SELECT DISTINCT unnest(string_split(word, '')) AS ch FROM cnt), p AS (SELECT c.ch, x0 + instr(k, lower(ch)) - 1 AS x, y FROM c LEFT JOIN keys ON length(lower(ch)) = 1 AND instr(k, lower(ch)) > 0)
+SELECT a.ch AS a, b.ch AS b, (CASE WHEN a.ch = b.ch THEN 0 WHEN a.x IS NULL OR b.x IS NULL THEN 1 WHEN sqrt((a.x - b.x)^2 + (a.y - b.y)^2) <= 1.15 THEN 0.35 WHEN sqrt((a.x - b.x)^2 + (a.y - b.y)^2) <= 1.55 THEN 0.65 ELSE 1 END)::DOUBLE AS cost FROM p a, p b""")
+def _(spark, d):
+    ch = words(spark, d).select(F.explode(F.split("word", "")).alias("a")).distinct()
+    return ch.crossJoin(F.broadcast(ch.withColumnRenamed("a", "b"))).select("a", "b", S.keyboard_distance(F.col("a"), F.col("b")).alias("cost"))  # letters of an alphabet
+
+
+@query("m02_weighted_distance")
+def _(spark, d):
+    return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1).select("word", "cand", F.round(S.weighted_distance("word", "cand"), 6).alias("cost"))
+
+
+@query("m03_osa_distance")
+def _(spark, d):
+    return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 2).select("word", "cand", S.osa_distance(F.col("word"), F.col("cand")).alias("distance"))
+
+
+@query("m04_cologne_phonetic", rf"""WITH {LEX}, s AS (SELECT word, translate(lower(word), 'äöüß', 'aous') AS s FROM cnt),
+c AS (SELECT word, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN instr('aeijouy', s[i]) > 0 THEN '0' WHEN s[i] = 'b' THEN '1' WHEN s[i] = 'p' THEN CASE WHEN s[i + 1] = 'h' THEN '3' ELSE '1' END
+ WHEN s[i] IN ('d', 't') THEN CASE WHEN s[i + 1] IN ('c', 's', 'z') THEN '8' ELSE '2' END WHEN s[i] IN ('f', 'v', 'w') THEN '3' WHEN s[i] IN ('g', 'k', 'q') THEN '4'
+ WHEN s[i] = 'c' THEN CASE WHEN i = 1 THEN CASE WHEN s[2] <> '' AND instr('ahkloqrux', s[2]) > 0 THEN '4' ELSE '8' END WHEN s[i - 1] IN ('s', 'z') THEN '8' WHEN s[i + 1] <> '' AND instr('ahkoqux', s[i + 1]) > 0 THEN '4' ELSE '8' END
+ WHEN s[i] = 'x' THEN '48' WHEN s[i] = 'l' THEN '5' WHEN s[i] IN ('m', 'n') THEN '6' WHEN s[i] = 'r' THEN '7' WHEN s[i] IN ('s', 'z') THEN '8' ELSE '' END), '') AS c FROM s),
+r AS (SELECT word, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '0+', '0', 'g'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), '7+', '7', 'g'), '8+', '8', 'g') AS r FROM c)
+SELECT word, r[1] || replace(r[2:], '0', '') AS code FROM r""")
+def _(spark, d):
+    return words(spark, d).select("word").distinct().select("word", S.cologne_phonetic(F.col("word")).alias("code"))
+
+
+@query("m05_inflection_variants", f"WITH {LEX} SELECT a.word AS a, b.word AS b FROM lex a, lex b WHERE a.word <> b.word AND (b.word IN (a.word || 'e', a.word || 'en', a.word || 'er', a.word || 'n', a.word || 's', a.word || 'es') OR a.word IN (b.word || 'e', b.word || 'en', b.word || 'er', b.word || 'n', b.word || 's', b.word || 'es'))")
+def _(spark, d):
+    w = lexicon(spark, d).select("word")
+    stems = w.select(F.col("word").alias("a"), F.explode(F.array(*[F.concat("word", F.lit(e)) for e in K.INFLECTIONS])).alias("b")).join(w.select(F.col("word").alias("b")), "b", "left_semi")
+    pairs = stems.select("a", "b").union(stems.select("b", "a"))
+    return pairs.where(S.inflection_variants(F.col("a"), F.col("b"))).select("a", "b")
+
+
+@query("m06_linking_s", f"WITH {LEX} SELECT word, length(word) >= 3 AND (word IN ({quoted(K.LINK_S_STEMS)}) OR (regexp_matches(word, '{K.DERIVED}') AND NOT regexp_matches(word, '{K.NOT_DERIVED}'))) AS wants_s FROM (SELECT DISTINCT lower(word) AS word FROM cnt)")
+def _(spark, d):
+    return words(spark, d).select(F.lower("word").alias("word")).distinct().select("word", S.prefers_linking_s(F.col("word"), F.lit(4)).alias("wants_s"))
+
+
+@query("m07_common_lengths", f"WITH {LEX}, p AS (SELECT lower(r.word) AS a, lower(l.word) AS b, r.word, l.word AS cand FROM rare r JOIN lex l ON lower(r.word[1:3]) = lower(l.word[1:3]) AND length(r.word) = length(l.word)) SELECT word, cand, coalesce(list_min(list_filter(range(1, length(a) + 1), lambda i: a[i] <> b[i])) - 1, length(a))::DOUBLE AS prefix FROM p")
+def _(spark, d):
+    key = lambda c: F.concat(F.lower(F.substring(c, 1, 3)), F.length(c).cast("string"))
+    pairs = rare(spark, d).select("word", key("word").alias("k")).join(lexicon(spark, d).select(F.col("word").alias("cand"), key("word").alias("k")), "k")
+    return pairs.select("word", "cand", S.common_prefix_len(F.lower("word"), F.lower("cand")).alias("prefix"))
+
+
+@query("m08_key_bounce", f"WITH {LEX}, w AS (SELECT word, list_min(list_filter(range(2, length(word) + 1), lambda i: word[i] = word[i - 1])) AS i FROM rare) SELECT word, word[1:i - 1] || word[i + 1:] AS cand FROM w WHERE i IS NOT NULL AND word[1:i - 1] || word[i + 1:] IN (SELECT word FROM lex)")
+def _(spark, d):
+    rows = rare(spark, d).where(F.col("word").rlike(r"(.)\1")).select("word", F.regexp_replace("word", r"^(.*?)(.)\2", "$1$2").alias("cand"))
+    return rows.join(lexicon(spark, d).select(F.col("word").alias("cand")), "cand", "left_semi").where(S.key_bounce(F.col("word"), F.col("cand"))).select("word", "cand")
+
+
+@query("m09_match_case", f"WITH {LEX} SELECT word, CASE WHEN word = upper(word) AND word <> lower(word) THEN upper(lower(word) || 'en') ELSE upper(word[1]) || lower(word[2:]) || 'en' END AS cased FROM cnt")
+def _(spark, d):
+    rows = words(spark, d).select("word").distinct()
+    return rows.select("word", S.match_case(F.concat(F.lower("word"), F.lit("en")), F.col("word"), F.lit(True)).alias("cased"))
+
+
+# ---- ranking -----------------------------------------------------------------------------------
+
+
+def ranked(spark, d, limit: int = 10) -> DataFrame:
+    lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
+    rows = rare(spark, d)
+    found = C.collect_candidates(rows, lex, fr)
+    return R.score_candidates(rows.withColumn("noun_signal", F.lit(False)), found, lex, fr)
+
+
+@query("r02_log_posterior")
+def _(spark, d):
+    return ranked(spark, d).select("word", "cand", F.round("log_error", 6).alias("log_error"), F.round("log_posterior", 6).alias("log_posterior"), "confidence")
+
+
+@query("r03_ranked_candidates")
+def _(spark, d):
+    return R.rank_candidates(ranked(spark, d), 5).select("word", "suggestion", "rank")
+
+
+@query("r05_user_list_view", "WITH l AS (SELECT DISTINCT p_type AS word, 'user' AS list_type FROM part UNION ALL SELECT DISTINCT p_brand, 'ignored' FROM part), n AS (SELECT list_type, count(*) AS entries FROM l GROUP BY 1) SELECT l.list_type, l.word, n.entries FROM l JOIN n USING (list_type) WHERE contains(lower(l.word), 'an')")
+def _(spark, d):
+    part = table(spark, d, "part")
+    lists = part.select(F.col("p_type").alias("word"), F.lit("user").alias("list_type")).union(part.select("p_brand", F.lit("ignored"))).distinct()
+    return R.user_list_view(lists, "an")
+
+
+# ---- context -----------------------------------------------------------------------------------
+
+
+@query("x01_noun_signal")
+def _(spark, d):
+    rows = T.tokenize(german(spark, d)).join(german(spark, d), "doc_id").withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end")))
+    return rows.select("doc_id", "start", "word", X.noun_signal(F.col("c.text"), F.col("c.start")).alias("signal"))
+
+
+@query("x02_participle_or_adverb", f"WITH {LEX} SELECT word, word IN ({quoted(K.NO_ADJECTIVES)}) OR (starts_with(word, 'ge') AND regexp_matches(word, '(?:en|t|et)$') AND NOT regexp_matches(word, '(?:enes|enem|ener|ene|enen|etes|etem|eter|ete|eten)$')) AS excluded FROM (SELECT DISTINCT lower(word) AS word FROM cnt)")
+def _(spark, d):
+    return words(spark, d).select(F.lower("word").alias("word")).distinct().select("word", X.participle_or_adverb(F.col("word")).alias("excluded"))
+
+
+@query("x03_viable_heads", f"WITH {LEX} SELECT word FROM cnt WHERE length(word) >= 3 AND (lower(word) IN (SELECT word FROM fr WHERE n >= 2) OR regexp_matches(lower(word), '{K.HEADS}') OR (length(word) >= 4 AND ends_with(lower(word), 'er') AND upper(word[1]) || lower(word[2:]) IN (SELECT word FROM lex WHERE flags & 1 <> 0)))")
+def _(spark, d):
+    seen = freq(spark, d).where("n >= 2").select("word", "n", F.lit(False).alias("has_lower"), F.lit(False).alias("has_title"))
+    return X.viable_head(words(spark, d), lexicon(spark, d), seen)
+
+
+PAIRS_SQL = ", ".join(f"('{w.lower()}', '{a}')" for pair in K.CONFUSION_PAIRS for w in pair for a in pair)
+
+
+@query("x04_confusion_groups", f"WITH {LEX} SELECT c.word, v.alternative FROM (SELECT word FROM cnt UNION SELECT key FROM (VALUES {PAIRS_SQL}) k(key, alternative)) c JOIN (VALUES {PAIRS_SQL}) v(key, alternative) ON lower(c.word) = v.key")
+def _(spark, d):
+    own = spark.createDataFrame([(w.lower(),) for pair in K.CONFUSION_PAIRS for w in pair], "word string")
+    return X.confusion_group(words(spark, d).select("word").union(own))
+
+
+@query("x05_wordpieces")
+def _(spark, d):
+    parts = lexicon(spark, d).select(F.explode(F.array(F.substring("word", 1, 2), F.substring("word", 1, 1), F.concat(F.lit("##"), F.substring("word", 2, 1)), F.concat(F.lit("##"), F.substring("word", 3, 2)))).alias("piece")).where("piece <> '##' and piece <> ''").distinct()
+    vocab = parts.select("piece", F.pmod(F.crc32(F.col("piece").cast("binary")), F.lit(1 << 30)).cast("int").alias("id"))
+    return X.wordpiece_encode(words(spark, d).select("word").distinct(), vocab)
+
+
+@query("x06_masked_inputs")
+def _(spark, d):
+    rows = german(spark, d).select(F.col("doc_id").alias("occ_id"), T.words_of(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    ids = F.transform("w", lambda x: F.length(x))
+    half = (F.size("w") / 2).cast("int")
+    rows = rows.select("occ_id", F.slice(ids, F.lit(1), half).alias("pieces_before"), F.slice(ids, half + 2, F.size("w")).alias("pieces_after"), F.lit(2).alias("n"))
+    return X.masked_inputs(rows, 103)
+
+
+def scores(spark, d) -> DataFrame:
+    """A table scorer from the corpus: log frequency of the candidate."""
+    return freq(spark, d).select(F.col("word").alias("key"), F.log(F.col("n").cast("double")).alias("log_score"))
+
+
+def occurrences(spark, d) -> DataFrame:
+    near = C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1)
+    rows = near.join(scores(spark, d), F.lower("cand") == F.col("key"), "left")
+    return rows.select(F.col("word").alias("occ_id"), F.col("cand").alias("word"), (1 / (1 + F.col("distance"))).alias("edit_score"), (-2.2 * F.col("distance")).alias("log_posterior"), F.when(F.length("cand") % 3 > 0, F.col("log_score")).alias("log_score"), F.lit(False).alias("from_user"))
+
+
+@query("x07_score_in_context", f"WITH {LEX} SELECT r.word AS context, 0 AS start, l.word AS candidate, round(ln(f.n::DOUBLE), 6) AS log_score FROM rare r JOIN lex l ON l.word = r.word || 'en' LEFT JOIN fr f ON lower(l.word) = f.word")
+def _(spark, d):
+    lex = lexicon(spark, d).select(F.col("word").alias("candidate"))
+    pairs = rare(spark, d).select(F.col("word").alias("context"), F.lit(0).alias("start"), F.concat("word", F.lit("en")).alias("candidate")).join(lex, "candidate", "left_semi").select("context", "start", "candidate")
+    known = pairs.join(scores(spark, d), F.lower("candidate") == F.col("key")).select("context", "start", "candidate", "log_score")
+    return X.score_in_context(pairs, known).select("context", "start", "candidate", F.round("log_score", 6).alias("log_score"))
+
+
+@query("x08_fuse_scores", f"""WITH {LEX}, p AS (SELECT r.word AS occ_id, l.word AS word, damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:]) AS dist FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:]) <= 1),
+q AS (SELECT p.*, lower(p.word) AS fam, 1.0 / (1 + dist) AS es, -2.2 * dist AS lp, CASE WHEN length(p.word) % 3 > 0 THEN ln(f.n::DOUBLE) END AS ls FROM p LEFT JOIN fr f ON lower(p.word) = f.word),
+a AS (SELECT *, count(ls) OVER o > 0 AS has_score, max(lp) OVER fo AS mlp, CASE WHEN ls IS NULL THEN 0 ELSE exp(ls - max(ls) OVER o) END AS e FROM q WINDOW o AS (PARTITION BY occ_id), fo AS (PARTITION BY occ_id, fam)),
+b AS (SELECT *, CASE WHEN has_score THEN max(mlp + 0.35 * ls) OVER (PARTITION BY occ_id, fam) ELSE mlp END AS fs, 0.30 * coalesce(CASE WHEN has_score THEN e / sum(e) OVER (PARTITION BY occ_id) END, 0) + 0.70 * es AS ss FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY occ_id, fam ORDER BY ss DESC, lp DESC, word) AS r FROM b)
+SELECT occ_id, word, round(fs, 6) AS family_score, round(ss, 6) AS surface_score FROM c WHERE r = 1""")
+def _(spark, d):
+    return X.fuse_scores(occurrences(spark, d)).select("occ_id", "word", F.round("family_score", 6).alias("family_score"), F.round("surface_score", 6).alias("surface_score"))
+
+
+@query("x09_context_errors")
+def _(spark, d):
+    tokens = T.tokenize(german(spark, d)).join(german(spark, d), "doc_id").withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end"))).select("doc_id", "word", "start", "end", "is_first", F.col("c.text").alias("context"), F.col("c.start").alias("at"))
+    lex = lexicon(spark, d)
+    groups = C.fuzzy_join(lex.where("flags = 2"), lex, 1).where("distance = 1").select("word", F.explode(F.array("word", "cand")).alias("alternative")).distinct()
+    none = spark.createDataFrame([], "doc_id long, start int")
+    pairs = tokens.join(groups, "word").select("context", F.col("at").alias("start"), S.match_case(F.col("alternative"), F.col("word"), F.col("is_first")).alias("candidate")).distinct()
+    known = pairs.join(scores(spark, d), F.lower("candidate") == F.col("key")).select("context", "start", "candidate", "log_score")
+    return X.check_context(tokens, groups, known, none, none)
+
+
+@query("x10_accepted_words", f"WITH {TOK} SELECT word, count(*) AS n FROM tok WHERE lower(word) IN (SELECT lower(word) FROM tok GROUP BY word HAVING count(*) >= 50) GROUP BY word")
+def _(spark, d):
+    w = words(spark, d)
+    lists = w.groupBy("word").agg(F.count("*").alias("n")).where("n >= 50")
+    return X.accepted_words(w, lists, check_case=False).groupBy("word").agg(F.count("*").alias("n"))
+
+
+# ---- document results --------------------------------------------------------------------------
+
+
+def errors(spark, d) -> DataFrame:
+    """Tokens that are not in the lexicon, with their lower-cased form as the suggestion."""
+    lex = lexicon(spark, d).select("word")
+    rows = T.tokenize(german(spark, d)).join(lex, "word", "left_anti")
+    return rows.select("doc_id", "start", "end", "word", "is_first", F.lit("spelling").alias("kind"), F.upper("word").alias("suggestion"))
+
+
+@query("w01_merge_errors")
+def _(spark, d):
+    spelling = errors(spark, d)
+    context = T.tokenize(german(spark, d)).where("is_first").select("doc_id", "start", "end", "word", "is_first", F.lit("context").alias("kind"), F.lower("word").alias("suggestion"))
+    return results.merge_errors(spelling, context)
+
+
+@query("w02_error_still_matches")
+def _(spark, d):
+    rows = errors(spark, d).join(german(spark, d), "doc_id")
+    at = [results.error_still_matches(F.col("text"), F.col("start") + k, F.col("end") + k, F.col("word")).alias(f"at_{k}") for k in (0, 1)]
+    return rows.select("doc_id", "start", "word", *at)
+
+
+@query("w03_apply_corrections")
+def _(spark, d):
+    return results.apply_corrections(german(spark, d), errors(spark, d))
+
+
+@query("w04_carry_errors")
+def _(spark, d):
+    old = german(spark, d)
+    return results.carry_errors(old, old.select("doc_id", F.concat(F.lit("Neu. "), "text").alias("text")), errors(spark, d))
+
+
+@query("w05_update_user_lists")
+def _(spark, d):
+    part = table(spark, d, "part")
+    lists = part.select(F.col("p_brand").alias("word"), F.lit("user").alias("list_type")).distinct()
+    changes = table(spark, d, "conversations").select(((F.col("conv_id") * 100) + F.col("turn")).alias("seq"), F.when(F.col("turn") % 2 == 0, "add").otherwise("remove").alias("action"), "text")
+    return results.update_user_lists(lists, changes)
+
+
+@query("w06_clear_word")
+def _(spark, d):
+    return results.clear_word(errors(spark, d), words(spark, d).groupBy("word").agg(F.count("*").alias("n")).where("n = 2"))
+
+
+# ---- typo corpora and measures -----------------------------------------------------------------
+
+
+@query("b01_mutate")
+def _(spark, d):
+    return synth.mutate(lexicon(spark, d))
+
+
+@query("b02_sample_words", rf"WITH {LEX} SELECT word FROM (SELECT word, row_number() OVER (ORDER BY md5(word || '|42'), word) AS r FROM cnt WHERE regexp_full_match(word, '\p{{L}}{{4,}}')) WHERE r <= 1000")
+def _(spark, d):
+    return synth.sample_words(words(spark, d), 1000)
+
+
+@query("b03_typo_corpus")
+def _(spark, d):
+    lex = lexicon(spark, d)
+    known = rare(spark, d).select(F.col("word").alias("typo")).where(F.length("typo") > 25)
+    return synth.typo_corpus(lex, lex, known, 2000)
+
+
+@query("b04_recognition_rate", f"WITH {LEX}, p AS (SELECT word AS w, false AS f FROM cnt), v AS (SELECT {LOOKUP_SQL} AS correct FROM p) SELECT count(*) AS words, count(*) FILTER (correct) AS accepted, round(avg(CASE WHEN correct THEN 1.0 ELSE 0 END), 6) AS rate FROM v")
+def _(spark, d):
+    rows = words(spark, d).select("word").distinct().withColumn("is_first", F.lit(False))
+    known = detect.lookup_words(rows, lexicon(spark, d)).withColumn("correct", F.lit(True))
+    return synth.recognition_rate(rows.join(known, ["word", "is_first"], "left").withColumn("correct", F.coalesce("correct", F.lit(False))))
+
+
+@query("b05_suggestion_hit_rate")
+def _(spark, d):
+    """Mutated words of the lexicon: is the intended word among the first five suggestions?"""
+    lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
+    made = synth.mutate(lex.where(F.col("word").rlike(r"^\p{L}{5,12}$"))).join(lex.select(F.col("word").alias("typo")), "typo", "left_anti")
+    rows = made.select(F.col("typo").alias("word"), F.lit(False).alias("is_first")).distinct()
+    found = R.suggest(rows.withColumn("noun_signal", F.lit(False)), C.collect_candidates(rows, lex, fr), lex, fr)
+    rank = found.select(F.col("word").alias("typo"), F.lower("suggestion").alias("low"), "rank").groupBy("typo", "low").agg(F.min("rank").alias("rank"))
+    return synth.suggestion_hit_rate(made.withColumn("low", F.lower("word")).join(rank, ["typo", "low"], "left"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("b06_expectations")
+def _(spark, d):
+    counted = words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
+    cases = counted.select("word", (F.col("n") >= 3).alias("is_correct"), F.lit(None).cast("string").alias("expected_top1"))
+    actual = detect.verdicts(counted.select("word", F.lit(False).alias("is_first")), lexicon(spark, d)).select("word", "correct", F.lit(None).cast("string").alias("top1"))
+    return synth.check_expectations(cases, actual).groupBy("is_correct", "correct", "ok").agg(F.count("*").alias("n"))
