@@ -39,7 +39,7 @@ def fuzzy_join(words: DataFrame, lexicon: DataFrame, d: int, n: int | None = Non
     near = F.abs(F.length("word") - F.length("cand")) <= d
     pairs = left.join(right, "key").where(near).select("word", "cand").distinct()
     # a swap counts as two built-in edits, another case of the first letter as one
-    pairs = pairs.where(F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d) >= 0)
+    pairs = pairs.where(F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d + 1) >= 0)
     found = pairs.withColumn("distance", osa_any("word", "cand")).where(F.col("distance") <= d)
     if n is None:
         return found

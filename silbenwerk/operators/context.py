@@ -145,7 +145,7 @@ def fuse_scores(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("family", F.lower("word")).withColumn("lp", F.coalesce("log_posterior", -3 * F.greatest(F.lit(0.1), 1 / F.col("edit_score") - 1)))
     rows = rows.withColumn("any_score", F.count("log_score").over(occ) > 0).withColumn("top", F.max("log_score").over(occ))
     weight = F.when(F.col("log_score").isNotNull(), F.exp(F.col("log_score") - F.col("top"))).otherwise(0.0)
-    rows = rows.withColumn("share", weight / F.sum(weight).over(occ))
+    rows = rows.withColumn("share", F.try_divide(weight, F.sum(weight).over(occ)))
     bonus = F.when(F.col("from_user"), 0.35).otherwise(0.0)
     member = F.max("lp").over(fam) + 0.35 * F.col("log_score") + bonus
     rows = rows.withColumn("family_score", F.when(F.col("any_score"), F.max(member).over(fam)).otherwise(F.max("lp").over(fam)))

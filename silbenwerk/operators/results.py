@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import common_prefix
+from ..functions.scalars import shared_head
 
 
 def merge_errors(spelling: DataFrame, context: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def carry_errors(old: DataFrame, new: DataFrame, errors: DataFrame, old_sents: D
     Context errors stay only if their sentence is in the new text too.
     """
     pair = old.select("doc_id", F.col("text").alias("old")).join(new.select("doc_id", F.col("text").alias("new")), "doc_id")
-    head = common_prefix(F.col("old"), F.col("new"))
+    head = shared_head("old", "new")
     room = F.least(F.length("old"), F.length("new")) - F.col("head")
-    pair = pair.withColumn("head", head).withColumn("tail", F.least(common_prefix(F.reverse("old"), F.reverse("new")), room)).withColumn("shift", F.length("new") - F.length("old"))
+    pair = pair.withColumn("head", head).withColumn("tail", F.least(shared_head(F.reverse("old"), F.reverse("new")), room)).withColumn("shift", F.length("new") - F.length("old"))
     rows = errors.join(pair, "doc_id")
     stays, moves = F.col("end") <= F.col("head"), F.col("start") >= F.length("old") - F.col("tail")
     by = F.when(stays, 0).when(moves, F.col("shift"))

@@ -92,7 +92,10 @@ TOK = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}]+(
 LEX = TOK + r""", cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
 lex AS (SELECT word, (CASE WHEN regexp_full_match(word, '\p{Lu}\p{Ll}+') THEN 1 ELSE 0 END + CASE WHEN regexp_full_match(word, '\p{Ll}{2,}en') THEN 2 ELSE 0 END)::INT AS flags FROM cnt WHERE n >= 3),
 rare AS (SELECT word FROM cnt WHERE n < 3), fr AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1)"""
-TITLE = "upper(w[1]) || lower(w[2:])"
+#: The other engine's edit distance counts bytes: letters beyond ASCII become single signs first.
+BYTES = "translate({}, 'äöüßÄÖÜẞéèêëáàâíìîóòôúùûñçÉÈÊÁÀÂÓÚÑÇ', '0123456789!#$%&*+/:;<=>?@[]^_`{{|}}~()')"
+#: The typed word's first letter may be in either case.
+EDIT = "least(" + ", ".join(f"damerau_levenshtein({BYTES.format(f'{case}(r.word[1]) || r.word[2:]')}, {BYTES.format('l.word')})" for case in ("lower", "upper")) + ")"
 
 
 def quoted(values) -> str:
@@ -423,10 +426,10 @@ def _(spark, d):
     return rows.join(known, ["word", "is_first"], "left_anti").select("word", "n")
 
 
-@query("d03_lookup_words", f"WITH {LEX}, p AS (SELECT word AS w, true AS f FROM cnt UNION ALL SELECT upper(word), false FROM cnt WHERE n = 2) SELECT DISTINCT w AS word, f AS is_first FROM p WHERE {LOOKUP_SQL}")
+@query("d03_lookup_words", f"WITH {LEX}, p AS (SELECT word AS w, true AS f FROM cnt UNION ALL SELECT upper(replace(word, 'ß', 'ss')), false FROM cnt WHERE n = 2) SELECT DISTINCT w AS word, f AS is_first FROM p WHERE {LOOKUP_SQL}")
 def _(spark, d):
     counted = words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
-    rows = counted.select("word", F.lit(True).alias("is_first")).union(counted.where("n = 2").select(F.upper("word"), F.lit(False)))
+    rows = counted.select("word", F.lit(True).alias("is_first")).union(counted.where("n = 2").select(F.upper(F.replace("word", F.lit("ß"), F.lit("ss"))), F.lit(False)))
     return detect.lookup_words(rows, lexicon(spark, d))
 
 
@@ -501,7 +504,7 @@ def _(spark, d):
 # ---- candidates --------------------------------------------------------------------------------
 
 
-@query("k01_fuzzy_join_1", f"WITH {LEX} SELECT r.word, l.word AS cand, damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:])::INT AS distance FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:]) <= 1")
+@query("k01_fuzzy_join_1", f"WITH {LEX} SELECT r.word, l.word AS cand, {EDIT}::INT AS distance FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1")
 def _(spark, d):
     return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1)
 
@@ -511,7 +514,7 @@ def _(spark, d):
     return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 2, 120)
 
 
-@query("k02_search_forms", f"WITH {LEX} SELECT DISTINCT word, unnest(CASE WHEN length(word) > 1 AND word = upper(word) AND word <> lower(word) OR length(word) <= 20 THEN [word, lower(word), upper(word[1]) || lower(word[2:])] ELSE [word] END) AS form FROM cnt")
+@query("k02_search_forms", f"WITH {LEX} SELECT DISTINCT word, unnest(CASE WHEN length(word) > 1 AND word = upper(word) AND word <> lower(word) OR length(word) <= 20 THEN [word, lower(word), replace(upper(word[1]), 'ẞ', 'SS') || lower(word[2:])] ELSE [word] END) AS form FROM cnt")
 def _(spark, d):
     return C.search_forms(words(spark, d))
 
@@ -521,7 +524,7 @@ def _(spark, d):
     return C.rewrite_candidates(rare(spark, d), lexicon(spark, d))
 
 
-@query("k04_known_corrections", f"WITH {LEX}, t AS (SELECT lower(word) || 'x' AS typo, min(word) AS correction FROM lex GROUP BY 1), p AS (SELECT word || 'x' AS w, true AS f FROM cnt) SELECT w AS word, f AS is_first, CASE WHEN w = upper(w) AND w <> lower(w) THEN upper(correction) ELSE upper(correction[1]) || correction[2:] END AS cand, 0.05::DOUBLE AS cost FROM p JOIN t ON lower(w) = typo WHERE NOT ({LOOKUP_SQL})")
+@query("k04_known_corrections", f"WITH {LEX}, t AS (SELECT lower(word) || 'x' AS typo, min(word) AS correction FROM lex GROUP BY 1), p AS (SELECT word || 'x' AS w, true AS f FROM cnt) SELECT w AS word, f AS is_first, CASE WHEN w = upper(w) AND w <> lower(w) THEN replace(upper(correction), 'ẞ', 'SS') ELSE replace(upper(correction[1]), 'ẞ', 'SS') || correction[2:] END AS cand, 0.05::DOUBLE AS cost FROM p JOIN t ON lower(w) = typo WHERE NOT ({LOOKUP_SQL})")
 def _(spark, d):
     lex = lexicon(spark, d)
     listed = lex.groupBy(F.concat(F.lower("word"), F.lit("x")).alias("typo")).agg(F.min("word").alias("correction"))
@@ -634,7 +637,7 @@ def _(spark, d):
     return rows.join(lexicon(spark, d).select(F.col("word").alias("cand")), "cand", "left_semi").where(S.key_bounce(F.col("word"), F.col("cand"))).select("word", "cand")
 
 
-@query("m09_match_case", f"WITH {LEX} SELECT word, CASE WHEN word = upper(word) AND word <> lower(word) THEN upper(lower(word) || 'en') ELSE upper(word[1]) || lower(word[2:]) || 'en' END AS cased FROM cnt")
+@query("m09_match_case", f"WITH {LEX} SELECT word, CASE WHEN word = upper(word) AND word <> lower(word) THEN replace(upper(lower(word) || 'en'), 'ẞ', 'SS') ELSE replace(upper(word[1]), 'ẞ', 'SS') || lower(word[2:]) || 'en' END AS cased FROM cnt")
 def _(spark, d):
     rows = words(spark, d).select("word").distinct()
     return rows.select("word", S.match_case(F.concat(F.lower("word"), F.lit("en")), F.col("word"), F.lit(True)).alias("cased"))
@@ -731,7 +734,7 @@ def _(spark, d):
     return X.score_in_context(pairs, known).select("context", "start", "candidate", F.round("log_score", 6).alias("log_score"))
 
 
-@query("x08_fuse_scores", f"""WITH {LEX}, p AS (SELECT r.word AS occ_id, l.word AS word, damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:]) AS dist FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE damerau_levenshtein(lower(r.word[1]) || r.word[2:], lower(l.word[1]) || l.word[2:]) <= 1),
+@query("x08_fuse_scores", f"""WITH {LEX}, p AS (SELECT r.word AS occ_id, l.word AS word, {EDIT} AS dist FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1),
 q AS (SELECT p.*, lower(p.word) AS fam, 1.0 / (1 + dist) AS es, -2.2 * dist AS lp, CASE WHEN length(p.word) % 3 > 0 THEN ln(f.n::DOUBLE) END AS ls FROM p LEFT JOIN fr f ON lower(p.word) = f.word),
 a AS (SELECT *, count(ls) OVER o > 0 AS has_score, max(lp) OVER fo AS mlp, CASE WHEN ls IS NULL THEN 0 ELSE exp(ls - max(ls) OVER o) END AS e FROM q WINDOW o AS (PARTITION BY occ_id), fo AS (PARTITION BY occ_id, fam)),
 b AS (SELECT *, CASE WHEN has_score THEN max(mlp + 0.35 * ls) OVER (PARTITION BY occ_id, fam) ELSE mlp END AS fs, 0.30 * coalesce(CASE WHEN has_score THEN e / sum(e) OVER (PARTITION BY occ_id) END, 0) + 0.70 * es AS ss FROM a),
