@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder until nothing refers to them."""
+ROWS_A_FILE = 200_000
+
+
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """The rows of df, computed once and kept in the shared folder until nothing refers to them.
+
+    most_rows, where a bound is known: small tables then fill a few files, not one per task.
+    """
     shared_dir(df.sparkSession)
+    if most_rows is not None:
+        df = df.coalesce(most_rows // ROWS_A_FILE + 1)
     return df.checkpoint()
 
 
@@ -37,10 +46,11 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """by: columns with a folder for each value, so that a reader opens only what it needs."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -48,6 +58,10 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def no_rows(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df, used to choose how many hash buckets the work is split into."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -75,7 +89,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
     nodes = both.select(F.col("a").alias("node")).union(both.select(F.col("b"))).distinct()
     cur = cut(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    seen, size = None, cur.count()
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked with u's least neighbour
         sym = cur.union(cur.select("b", "a"))
@@ -84,7 +98,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours are linked with the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
-        cur = cut(small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        cur = cut(small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), 2 * size)
         now = cur.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
         if now == seen:
             break

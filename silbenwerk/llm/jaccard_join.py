@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, components, cut
+from .common import Scratch, buckets_for, components, cut, no_rows
 from .shingles import byte_chunks, shingle_sets, signatures
 
 PERCENT = 75
@@ -81,7 +81,7 @@ def _index(docs: DataFrame, buckets: int, shingle: int) -> DataFrame:
         ends = np.append(start[1:], len(place))
         data = [hashes[a:b].tobytes() + ix[a:b].tobytes() for a, b in zip(start, ends)]
         yield _rows(1, len(found), batch=[batch] * len(found), bucket=found.tolist(), data=data)
-        yield _rows(1, 1, batch=[batch], bucket=[-1], data=[size.astype("<i8").tobytes()])
+        yield _rows(2, 1, batch=[batch], bucket=[-1], data=[size.astype("<i8").tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, members = [], 0, 0
@@ -132,7 +132,7 @@ def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
         keep = own >= 2
         if keep.any():
             out.append((batch, bucket, h[keep].tobytes() + ix[keep].tobytes() + own[keep].tobytes()))
-    return pd.DataFrame(out, columns=["batch", "bucket", "data"])
+    return pd.DataFrame(out, columns=["batch", "bucket", "data"]) if out else no_rows("batch", "bucket", "data")
 
 
 def _rare_first(group: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +148,7 @@ def _rare_first(group: pd.DataFrame) -> pd.DataFrame:
             key.append(h.astype(np.int64) | (np.int64(bucket) << 32))
             count.append(c.astype(np.int64))
     if not ix or not len(size):
-        return pd.DataFrame({"batch": [], "ix": [], "keys": []})
+        return no_rows("batch", "ix", "keys")
     ix, key, count = np.concatenate(ix), np.concatenate(key), np.concatenate(count)
     order = np.lexsort((key, count, ix))
     ix, key = ix[order], key[order]
@@ -157,8 +157,10 @@ def _rare_first(group: pd.DataFrame) -> pd.DataFrame:
     rank = np.arange(len(ix)) - (np.cumsum(shared) - shared)[ix]
     keep = rank < room[ix]
     ix, key = ix[keep], key[keep]
+    if not len(ix):
+        return no_rows("batch", "ix", "keys")
     found, start = np.unique(ix, return_index=True)
-    return pd.DataFrame({"batch": [group["batch"].iloc[0]] * len(found), "ix": found.astype(np.int32), "keys": np.split(key, start[1:]) if len(found) else []})
+    return pd.DataFrame({"batch": [group["batch"].iloc[0]] * len(found), "ix": found.astype(np.int32), "keys": np.split(key, start[1:])})
 
 
 def _set_table(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -205,18 +207,18 @@ def _may_link(n: str, m: str):
     return (100 * F.least(F.col(n), F.col(m)) >= PERCENT * F.greatest(F.col(n), F.col(m)))
 
 
-def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 4_000_000, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, node; links: a, b between nodes). node is the class's least doc_id."""
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
     try:
-        packed = scratch.keep(_index(docs, buckets, shingle))
+        packed = scratch.keep(_index(docs, buckets, shingle), "kind")
         slim = packed.where("kind = 0").select("doc_id", "s1", "s2", "n", "batch", "ix")
         lead = slim.groupBy("s1", "s2").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "batch", "ix")).alias("lead"))
         lead = cut(lead.select("s1", "s2", "n", F.col("lead.doc_id").alias("doc_id"), F.coalesce("lead.doc_id", "s1").alias("node"), "lead.batch", "lead.ix"))
         members = cut(slim.select("doc_id", "s1", "s2", "n").join(lead.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "n", "node"))
-        shared = packed.where("kind = 1 and bucket >= 0").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_frequencies, "batch string, bucket int, data binary")
-        sizes = packed.where("kind = 1 and bucket < 0").select("batch", "bucket", "data")
+        shared = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_frequencies, "batch string, bucket int, data binary")
+        sizes = packed.where("kind = 2").select("batch", "bucket", "data")
         index = shared.union(sizes).groupBy("batch").applyInPandas(_rare_first, "batch string, ix int, keys array<long>")
         lists = scratch.keep(index.join(lead, ["batch", "ix"]).select("node", "doc_id", "s1", "s2", "n", "keys"))
         entries = lists.select("node", "n", F.explode("keys").alias("key"))
@@ -263,6 +265,8 @@ def _marks(n: np.ndarray, h: np.ndarray) -> list[bytes]:
 
 def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
     comp = cut(entries.select("node").distinct().select("node", F.col("node").alias("comp")))
+    size = comp.count()
+    comp = cut(comp, size)
     tried = None  # a, b, common, total of all verified pairs, a < b
     for _ in range(max_rounds):
         open_lists = entries.join(comp, "node")
@@ -274,16 +278,16 @@ def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
         votes = cut(votes)
         hopeful = _sieve(votes.select("a", "b").distinct(), sets)
         best = votes.join(hopeful, ["a", "b"]).groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-        checked = cut(_verify(best, sets))
-        tried = checked if tried is None else cut(tried.union(checked))
+        checked = cut(_verify(best, sets), size)  # one pair for each class at most
+        tried = checked if tried is None else tried.union(checked)
         linked = _accepted(checked)
-        before, new = comp.count(), linked.count()
+        new = linked.count()
         if new:
             # components of components: only what is newly linked moves
             steps = linked.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             moved = components(steps).toDF("comp", "to")
-            comp = cut(comp.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-        if new <= 0.02 * before:
+            comp = cut(comp.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), size)
+        if new <= 0.02 * size:
             break
     # what is left: pairs across components within a list
     known = tried.withColumn("d", 1 - F.col("common") / F.col("total"))

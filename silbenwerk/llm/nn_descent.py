@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, no_rows
 
 FOUND = "u long, v long, sim double"
 
@@ -74,7 +74,7 @@ def _start(k: int, block: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         x, ids = _unit(group["unit"].tolist()), group["node"].to_numpy()
         if len(ids) < 2:
-            return pd.DataFrame({"u": [], "v": [], "sim": []})
+            return no_rows("u", "v", "sim")
         u, v, s = _best(x @ x.T, ids, k)
         return pd.DataFrame({"u": u, "v": v, "sim": s})
 
@@ -87,7 +87,7 @@ def _local_join(k: int):
         group = group.drop_duplicates("node").sort_values("node")
         ids, x = group["node"].to_numpy(), _unit(group["unit"].tolist())
         if len(ids) < 2:
-            return pd.DataFrame({"u": [], "v": [], "sim": []})
+            return no_rows("u", "v", "sim")
         u, v, s = _best(x @ x.T, ids, max(2, k // 2))
         return pd.DataFrame({"u": u, "v": v, "sim": s})
 
