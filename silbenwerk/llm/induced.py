@@ -129,7 +129,7 @@ def suffix_types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
     after = np.minimum(end + 1, n - 1)
     rises = (end + 1 < n) & (text[after] > text)
-    return rises, end - np.arange(n) + 1
+    return rises, (end - np.arange(n) + 1).astype(np.int32)
 
 
 def induced_order(text: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, run: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def seed_order(text: np.ndarray, seeds: np.ndarray, run: np.ndarray, depth: int,
     is_seed = np.zeros(len(text), bool)
     is_seed[seeds] = True
     first = sa[is_seed[sa]]  # ordered by their substrings up to the next S*
-    rank_of = np.zeros(len(text), np.int64)
+    rank_of = np.zeros(len(text), np.int32)
     rank_of[seeds] = np.arange(m)
     place = rank_of[first]  # index in text order
     ends = np.append(seeds[1:], len(text) - 1)

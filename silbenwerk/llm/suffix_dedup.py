@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, buckets_for, cut
+from .common import Scratch, buckets_for, cut, no_rows
 from .induced import suffix_array
 from .pieces import mix64
 from .shingles import byte_chunks, powers
 
-SPAN, GRAM = 200, 16
-NARROW = 500_000  # runs in one packed batch
+SPAN, GRAM = 200, 96
+NARROW = 150_000  # runs in one packed batch
 PACKED = "kind int, batch string, bucket int, data binary, ids array<long>, f1 array<long>, f2 array<long>"
 SPANS = "array<struct<lo:int,hi:int>>"
 
@@ -106,7 +106,7 @@ def _anchors(docs: DataFrame, buckets: int, span: int) -> DataFrame:
         held, rows, runs = [], 0, 0
         for batch in batches:
             f1, f2, ids = (batch.column(i).to_pylist() for i in range(3))
-            for first, texts in byte_chunks(batch, 3):
+            for first, texts in byte_chunks(batch, 3, 1_000_000):
                 doc, h, g, lo, hi = runs_of(texts, span)
                 if held and runs + len(doc) > NARROW:
                     yield pack(held)
@@ -149,7 +149,7 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     out = []
     for o, s, e in zip(found.tolist(), start, np.append(start[1:], len(at))):
         out.append((group["batch"].iloc[o], bucket, ix[at[s:e]].astype("<u4").tobytes() + l[keep[s:e]].astype("<u4").tobytes() + flag[keep[s:e]].astype("<u1").tobytes()))
-    return pd.DataFrame(out, columns=["batch", "bucket", "data"])
+    return pd.DataFrame(out, columns=["batch", "bucket", "data"]) if out else no_rows("batch", "bucket", "data")
 
 
 def joined_spans(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -170,7 +170,7 @@ def _marks(span: int):
         """One batch: repeated spans of its texts, and the runs that need comparing."""
         base = group[group["bucket"] < 0]
         rest = group[group["bucket"] >= 0]
-        empty = pd.DataFrame({"f1": [], "f2": [], "spans": [], "open": []})
+        empty = no_rows("f1", "f2", "spans", "open")
         if not len(base) or not len(rest):
             return empty
         doc, lo, hi = np.frombuffer(base["data"].iloc[0], "<u4").reshape(3, -1).astype(np.int64)
@@ -193,7 +193,7 @@ def _marks(span: int):
             full, part = own[(kind & 1) > 0], (kind & 2) > 0
             spans = joined_spans(lo[full], hi[full] + span)
             rows.append((f1[d], f2[d], [{"lo": a, "hi": b} for a, b in spans], [{"anchor": int(k), "lo": int(lo[i]), "hi": int(hi[i])} for k, i in zip(anchor[s:e][part], own[part])]))
-        return pd.DataFrame(rows, columns=["f1", "f2", "spans", "open"])
+        return pd.DataFrame(rows, columns=["f1", "f2", "spans", "open"]) if rows else empty
 
     return run
 
@@ -251,7 +251,7 @@ def _sorted_shard(span: int, memory: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 8_000_000, shard_runs: int = 6000, memory: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1_000_000, shard_runs: int = 10_000, memory: int = 64_000_000) -> tuple[DataFrame, DataFrame]:
     """(keyed docs: f1, f2, doc_id, text, the other columns; spans: f1, f2, spans)."""
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
@@ -260,7 +260,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 8_000_
     others = [F.col(c).alias(f"own_{c}") for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.select(f1.alias("f1"), f2.alias("f2"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *others)
     try:
-        packed = scratch.keep(_anchors(keyed, buckets, span))
+        packed = scratch.keep(_anchors(keyed, buckets, span), "kind")
         flags = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_compare, "batch string, bucket int, data binary")
         none = F.lit(None).cast("array<long>")
         both = flags.select("batch", "bucket", "data", none.alias("f1"), none.alias("f2")).unionByName(packed.where("kind = 0").select("batch", "bucket", "data", "f1", "f2"))
