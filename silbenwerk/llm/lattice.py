@@ -11,6 +11,8 @@ import os
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 DEFAULT_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 
@@ -30,11 +32,27 @@ class Vocabulary:
         self.pieces = {p: (i, logp[i]) for p, i in self.ids.items()}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_logp = -math.log(len(ranked) + 3) - total
-        #: Ends of pieces: a candidate grows to the left only while it still is the end of some piece.
-        self.ends = {p[k:] for p in self.ids for k in range(len(p))}
+        #: Ends of pieces, () where they are none themselves: a candidate grows to the left only
+        #: while it still is the end of some piece.
+        self.ends: dict[str, tuple] = {p[k:]: () for p in self.ids for k in range(len(p))}
+        self.ends.update(self.pieces)
+        self.longest = max(map(len, self.pieces))
+        self._table = None
         self.texts: dict[int, bytes] = {i: p.encode() for p, i in self.ids.items()}
         self.texts.update({i: bytes([b]) for b, i in enumerate(self.byte_ids)})
 
+    def ends_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all ends of pieces, ascending, with the piece (-1: none) and its log-probability."""
+        if self._table is None:
+            with np.errstate(over="ignore"):
+                rows = []
+                for end, hit in self.ends.items():
+                    run, _ = running_hash(np.array([ord(c) for c in end], np.uint64))
+                    rows.append((int(run[-1] + np.uint64(len(end))), *(hit or (-1, 0.0))))
+            rows.sort()
+            self._table = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+        return self._table
+
     def decode(self, ids) -> str:
         """The exact text of a sequence of piece ids."""
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "surrogatepass")
@@ -64,23 +82,22 @@ class CountTrie:
 
     def insert(self, token: str) -> int:
         following, score, count, spelled = self.next, self.score, self.count, self.spelled
-        pieces, ends = self.vocab.pieces, self.vocab.ends
+        ends = self.vocab.ends
         node, path = 0, [0]
         for at, ch in enumerate(token, 1):
             child = following.get((node, ch))
             if child is None:
-                # spelling by bytes is open only where the character itself is no piece
                 best, n, b = -math.inf, 0, 0
-                if ch not in pieces:
+                # spelling by bytes is open only where the character itself is no piece
+                if not ends.get(ch):
                     k = len(ch.encode("utf-8", "surrogatepass"))
                     best, n, b = score[node] + k * self.vocab.byte_logp, count[node] + k, spelled[node] + k
                 start = at - 1
                 while start >= 0:
-                    part = token[start:at]
-                    if part not in ends:
+                    hit = ends.get(token[start:at])
+                    if hit is None:
                         break
-                    hit = pieces.get(part)
-                    if hit is not None:
+                    if hit:
                         up = path[start]
                         s = score[up] + hit[1]
                         if s > best or (s == best and count[up] + 1 < n):
@@ -106,64 +123,84 @@ class CountTrie:
         return out
 
 
-class SampleTrie:
-    """Forward-filtered lattices of pre-tokens, sharing prefixes; edges are kept for backward sampling.
+class Lattice:
+    """Forward-filtered lattices of many pre-tokens over one trie, built level by level as arrays.
 
-    Node v has the edges (parent, piece) of the pieces that end there, with the cumulative
-    probabilities of arriving by them. piece < 0 spells the character -piece as bytes.
+    Node v stands for a prefix of some pre-tokens. Its edges (parent, piece) are the pieces that end
+    there; `upto` holds v plus their cumulative shares of the mass that arrives, so that the array
+    ascends over all nodes. piece < 0 spells the character -piece - 1 as bytes. Node 0 is the root.
     """
 
-    def __init__(self, vocab: Vocabulary, theta: float = 1.0, max_nodes: int = 400_000):
-        self.vocab, self.theta, self.max_nodes = vocab, theta, max_nodes
-        self.clear()
-
-    def clear(self) -> None:
-        self.next: dict[tuple[int, str], int] = {}
-        self.alpha = array("d", [0.0])
-        self.first = array("q", [0, 0])  # edges of node v: first[v] .. first[v + 1]
-        self.parent, self.piece, self.upto = array("q"), array("q"), array("d")
-        self.unit: dict[str, int] = {}
-
-    def full(self) -> bool:
-        return len(self.alpha) > self.max_nodes
-
-    def node(self, token: str) -> int:
-        known = self.unit.get(token)
-        if known is not None:
-            return known
-        following, alpha, pieces, ends, theta = self.next, self.alpha, self.vocab.pieces, self.vocab.ends, self.theta
-        node, path = 0, [0]
-        for at, ch in enumerate(token, 1):
-            child = following.get((node, ch))
-            if child is None:
-                edges = []
-                if ch not in pieces:
-                    edges.append((alpha[node] + theta * self.vocab.byte_logp * len(ch.encode("utf-8", "surrogatepass")), node, -ord(ch) - 1))
-                start = at - 1
-                while start >= 0:
-                    part = token[start:at]
-                    if part not in ends:
-                        break
-                    hit = pieces.get(part)
-                    if hit is not None:
-                        up = path[start]
-                        edges.append((alpha[up] + theta * hit[1], up, hit[0]))
-                    start -= 1
-                top = max(e[0] for e in edges)
-                weights = [math.exp(e[0] - top) for e in edges]
-                mass = sum(weights)
-                child = len(alpha)
-                alpha.append(top + math.log(mass))
-                run = 0.0
-                for w, (_, up, piece) in zip(weights, edges):
-                    run += w / mass
-                    self.parent.append(up)
-                    self.piece.append(piece)
-                    self.upto.append(child + min(run, 1.0))
-                self.upto[-1] = child + 1.0
-                self.first.append(len(self.parent))
-                following[(node, ch)] = child
-            node = child
-            path.append(node)
-        self.unit[token] = node
-        return node
+    def __init__(self, vocab: Vocabulary, theta: float, tokens: list[str]):
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        chars = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        run, down = running_hash(chars)
+        start = (np.cumsum(sizes) - sizes)[order]
+        alive = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), "right")  # tokens of d and more characters
+        keys, values, logps = vocab.ends_table()
+        alpha, paths = [np.zeros(1)], [np.zeros(len(tokens), np.int64)]
+        parents, pieces, upto, total = [], [], [], 1
+        self.node = np.zeros(len(tokens), np.int64)
+        scores = np.zeros(1)
+        for depth, k in enumerate(alive.tolist(), 1):
+            end = start[:k] + depth
+            ch = chars[end - 1].astype(np.int64)
+            _, first, which = np.unique(paths[depth - 1][:k] << 21 | ch, return_index=True, return_inverse=True)
+            n = len(first)
+            at, ups, ids, masses = end[first], [], [], []
+            live = np.arange(n)
+            for length in range(1, min(depth, vocab.longest) + 1):
+                h = (run[at[live]] - run[at[live] - length]) * down[at[live] - length] + np.uint64(length)
+                spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                found = keys[spot] == h
+                up = paths[depth - length][first[live]]
+                value, mass, parent = np.full(n, NONE), np.full(n, -np.inf), np.zeros(n, np.int64)
+                hit = found & (values[spot] >= 0)
+                if length == 1:
+                    # spelling by bytes is open only where the character itself is no piece
+                    c = ch[first]
+                    width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+                    value, mass, parent = -c - 1, scores[up] + theta * vocab.byte_logp * width, up.copy()
+                own = live[hit]
+                value[own], parent[own] = values[spot[hit]], up[hit]
+                mass[own] = scores[up[hit]] + theta * logps[spot[hit]]
+                ups.append(parent), ids.append(value), masses.append(mass)
+                live = live[found]
+                if not len(live):
+                    break
+            mass = np.stack(masses, 1)
+            top = mass.max(1)
+            share = np.exp(mass - top[:, None])
+            scores = np.append(scores, top + np.log(share.sum(1)))
+            part = np.cumsum(share, 1) / share.sum(1)[:, None]
+            there = mass > -np.inf
+            last = there.shape[1] - 1 - np.argmax(there[:, ::-1], 1)
+            part[np.arange(n), last] = 1.0
+            new = total + np.arange(n)
+            upto.append((np.minimum(part, 1.0) + new[:, None])[there])
+            parents.append(np.stack(ups, 1)[there])
+            pieces.append(np.stack(ids, 1)[there])
+            paths.append(new[which])
+            total += n
+        for depth, k in enumerate(alive.tolist(), 1):
+            self.node[order[:k]] = paths[depth][:k]
+        none = np.zeros(0, np.int64)
+        self.parent = np.concatenate(parents) if parents else none
+        self.piece = np.concatenate(pieces) if pieces else none
+        self.upto = np.concatenate(upto) if upto else np.zeros(0)
+
+
+NONE = np.iinfo(np.int64).min
+BASE = 0x9E3779B97F4A7C15
+
+
+def running_hash(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of chars times powers, and inverse powers, modulo 2**64: hashes of all substrings."""
+    from .shingles import powers
+
+    up, down = powers(len(chars) + 1)
+    run = np.zeros(len(chars) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((chars + np.uint64(1)) * up[:len(chars)], out=run[1:])
+    return run, down

@@ -1,8 +1,8 @@
 """SentencePiece encoding by sampling, and lossless decoding.
 
 The lattice of a pre-token holds all ways to cut it into pieces of the vocabulary. Forward
-filtering sums their probabilities from the left, once for each prefix in a task's trie; backward
-sampling then walks from a pre-token's last node to the root, choosing each piece with its share
+filtering sums their probabilities from the left, once for each prefix of a chunk's distinct
+pre-tokens, level by level; backward sampling then walks from a pre-token's last node to the root, choosing each piece with its share
 of the mass that arrives. The walks of all pre-tokens of a batch advance together, as arrays. The
 random numbers are a hash of the seed, the row's key, the pre-token's place and the step, so a
 row's pieces do not depend on how rows are dealt to tasks or on a task being run again.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lattice import DEFAULT_MODEL, SampleTrie, vocabulary
+from .lattice import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 UNIT = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
 SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, piece_sha256 string, decoded_sha256 string, lossless boolean, piece_ids array<int>"
@@ -46,9 +46,9 @@ def uniform(keys: np.ndarray, places: np.ndarray, step: int, seed: int) -> np.nd
     return (x >> np.uint64(11)) * (1.0 / (1 << 53))
 
 
-def sample_paths(trie: SampleTrie, nodes: np.ndarray, keys: np.ndarray, places: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sample_paths(lattice: Lattice, nodes: np.ndarray, keys: np.ndarray, places: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Backward walks from nodes to the root: (unit, step, piece) of every piece, steps from the right."""
-    upto, parent, piece = np.frombuffer(trie.upto), np.frombuffer(trie.parent, np.int64), np.frombuffer(trie.piece, np.int64)
+    upto, parent, piece = lattice.upto, lattice.parent, lattice.piece
     at, live, step = nodes.copy(), np.flatnonzero(nodes), 0
     units, steps, found = [], [], []
     while len(live):
@@ -66,23 +66,22 @@ def sample_paths(trie: SampleTrie, nodes: np.ndarray, keys: np.ndarray, places:
     return (np.concatenate(units), np.concatenate(steps), np.concatenate(found)) if units else (none, none, none)
 
 
-def encode_texts(texts: list[str], keys: list[int], trie: SampleTrie, seed: int) -> list[np.ndarray]:
+def encode_texts(texts: list[str], keys: list[int], vocab: Vocabulary, theta: float, seed: int) -> list[np.ndarray]:
     """Piece ids of every text."""
-    vocab = trie.vocab
-    if trie.full():
-        trie.clear()
-    known, add = trie.unit, trie.node
+    number: dict[str, int] = {}
+    of = number.setdefault
     ids, sizes = [], []
     for text in texts:
         units = UNIT.findall(text)
-        ids.append(np.fromiter((known[u] if u in known else add(u) for u in units), np.int64, len(units)))
+        ids.append(np.fromiter((of(u, len(number)) for u in units), np.int64, len(units)))
         sizes.append(len(units))
-    nodes = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    lattice = Lattice(vocab, theta, list(number))
+    nodes = lattice.node[np.concatenate(ids)] if number else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(texts)), sizes)
     with np.errstate(over="ignore"):
         key = np.asarray(keys, np.int64).astype(np.uint64)[row]
     place = (np.arange(len(nodes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
-    unit, step, piece = sample_paths(trie, nodes, key, place, seed)
+    unit, step, piece = sample_paths(lattice, nodes, key, place, seed)
     # units ascending, steps descending: the pieces in the order of the text
     order = np.lexsort((-step, unit))
     unit, piece = unit[order], piece[order]
@@ -100,14 +99,6 @@ def encode_texts(texts: list[str], keys: list[int], trie: SampleTrie, seed: int)
     return np.split(piece.astype(np.int32), ends[:-1]) if len(texts) else []
 
 
-_tries: dict = {}
-
-
-def task_trie(model: str, theta: float) -> SampleTrie:
-    """A worker process keeps its trie from task to task: it holds nothing but the vocabulary's lattices."""
-    return _tries.setdefault((model, theta), SampleTrie(vocabulary(model), theta))
-
-
 def chunks(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) of some rows at a time; a text that alone is longer makes a chunk of its own."""
     keys, texts, size = [], [], 0
@@ -127,13 +118,12 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = 1.0, seed
     """One row per document: counts, digests of the pieces and of the decoded text, and piece_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = task_trie(model, theta)
-        vocab = trie.vocab
+        vocab = vocabulary(model)
         is_byte = np.zeros(max(vocab.texts) + 1, bool)
         is_byte[vocab.byte_ids] = True
         for batch in batches:
             for keys, texts in chunks(batch):
-                found = encode_texts(texts, [k or 0 for k in keys], trie, seed)
+                found = encode_texts(texts, [k or 0 for k in keys], vocab, theta, seed)
                 decoded = [b"".join(map(vocab.texts.__getitem__, ids.tolist())) for ids in found]
                 raw = [t.encode("utf-8", "surrogatepass") for t in texts]
                 yield pa.RecordBatch.from_arrays([
