@@ -739,9 +739,9 @@ q AS (SELECT p.*, lower(p.word) AS fam, 1.0 / (1 + dist) AS es, -2.2 * dist AS l
 a AS (SELECT *, count(ls) OVER o > 0 AS has_score, max(lp) OVER fo AS mlp, CASE WHEN ls IS NULL THEN 0 ELSE exp(ls - max(ls) OVER o) END AS e FROM q WINDOW o AS (PARTITION BY occ_id), fo AS (PARTITION BY occ_id, fam)),
 b AS (SELECT *, CASE WHEN has_score THEN max(mlp + 0.35 * ls) OVER (PARTITION BY occ_id, fam) ELSE mlp END AS fs, 0.30 * coalesce(CASE WHEN has_score THEN e / sum(e) OVER (PARTITION BY occ_id) END, 0) + 0.70 * es AS ss FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY occ_id, fam ORDER BY ss DESC, lp DESC, word) AS r FROM b)
-SELECT occ_id, word, round(fs, 6) AS family_score, round(ss, 6) AS surface_score FROM c WHERE r = 1""")
+SELECT occ_id, word, round(fs, 6) AS family_score, round(ss, 4) AS surface_score FROM c WHERE r = 1""")
 def _(spark, d):
-    return X.fuse_scores(occurrences(spark, d)).select("occ_id", "word", F.round("family_score", 6).alias("family_score"), F.round("surface_score", 6).alias("surface_score"))
+    return X.fuse_scores(occurrences(spark, d)).select("occ_id", "word", F.round("family_score", 6).alias("family_score"), F.round("surface_score", 4).alias("surface_score"))
 
 
 @query("x09_context_errors")
