@@ -11,9 +11,10 @@ and size, and a set that is very similar to an answered one takes over its answe
 3. `_rare_first`: a set with fewer than `need` shared members has no partner and is skipped whole.
    The others put their members in the order of frequency and enter the index lists with the first
    ones only: what stands behind cannot be the first common member.
-4. Star rounds: each list names one representative; a set is verified against the representative
-   that most of its lists name. Linked sets are one component from then on, and lists within one
-   component are skipped. Rounds go on while they link anything, so thousands of near copies
+4. Star rounds: each list names one representative, another in each round; a set is verified
+   against a likely one of those that most of its lists name. Linked sets are one component from
+   then on, and lists within one
+   component are skipped. Rounds go on while they link any and many pairs are open, so thousands of near copies
    collapse without their pairs being formed.
 5. The pairs that remain, between components within a list, in size blocks that may link: a pair
    with a common representative is skipped where the triangle inequality of the Jaccard distance
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets_for, components, cut, no_rows
@@ -207,7 +208,7 @@ def _may_link(n: str, m: str):
     return (100 * F.least(F.col(n), F.col(m)) >= PERCENT * F.greatest(F.col(n), F.col(m)))
 
 
-def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, node; links: a, b between nodes). node is the class's least doc_id."""
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
@@ -268,14 +269,20 @@ def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
     size = comp.count()
     comp = cut(comp, size)
     tried = None  # a, b, common, total of all verified pairs, a < b
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         open_lists = entries.join(comp, "node")
-        mixed = open_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "n", "comp")).alias("rep")).where("lo <> hi").select("key", "rep")
+        # another representative in each round, drawn by hash: stars of one group soon share members
+        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "comp")).alias("rep")
+        mixed = cut(open_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), drawn).where("lo <> hi").select("key", "members", "rep"))
+        pairs = mixed.agg(F.sum(F.col("members") * F.col("members")).alias("n")).first().n or 0
+        if turn and (pairs <= 4 * size or not new):
+            break
         named = open_lists.join(mixed, "key").where(F.col("comp") != F.col("rep.comp")).select("node", "n", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")).where(_may_link("n", "rep_n"))
         votes = named.groupBy(F.greatest("node", "rep").alias("b"), F.least("node", "rep").alias("a"), "node").agg(F.count("*").alias("votes"))
         if tried is not None:
             votes = votes.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        votes = cut(votes)
+        few = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), F.xxhash64("a", "b")))
+        votes = cut(votes.withColumn("r", few).where("r <= 3").drop("r"), 3 * size)
         hopeful = _sieve(votes.select("a", "b").distinct(), sets)
         best = votes.join(hopeful, ["a", "b"]).groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         checked = cut(_verify(best, sets), size)  # one pair for each class at most
@@ -287,8 +294,6 @@ def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
             steps = linked.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             moved = components(steps).toDF("comp", "to")
             comp = cut(comp.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), size)
-        if new <= 0.02 * size:
-            break
     # what is left: pairs across components within a list
     known = tried.withColumn("d", 1 - F.col("common") / F.col("total"))
     seen = known.select(F.col("a").alias("node"), F.col("b").alias("rep"), "d").union(known.select("b", "a", "d")).groupBy("node").agg(F.min(F.struct("d", "rep")).alias("near"))
