@@ -13,9 +13,8 @@ and size, and a set that is very similar to an answered one takes over its answe
    ones only: what stands behind cannot be the first common member.
 4. Star rounds: each list names one representative, another in each round; a set is verified
    against a likely one of those that most of its lists name. Linked sets are one component from
-   then on, and lists within one
-   component are skipped. Rounds go on while they link any and many pairs are open, so thousands of near copies
-   collapse without their pairs being formed.
+   then on, and lists within one component are skipped. Rounds go on while they link any and many
+   pairs are open, so thousands of near copies collapse before pairs are formed.
 5. The pairs that remain, between components within a list, in size blocks that may link: a pair
    with a common representative is skipped where the triangle inequality of the Jaccard distance
    rules it out; the rest are verified.
@@ -208,7 +207,7 @@ def _may_link(n: str, m: str):
     return (100 * F.least(F.col(n), F.col(m)) >= PERCENT * F.greatest(F.col(n), F.col(m)))
 
 
-def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, node; links: a, b between nodes). node is the class's least doc_id."""
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
@@ -275,7 +274,7 @@ def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
         drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "comp")).alias("rep")
         mixed = cut(open_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), drawn).where("lo <> hi").select("key", "members", "rep"))
         pairs = mixed.agg(F.sum(F.col("members") * F.col("members")).alias("n")).first().n or 0
-        if turn and (pairs <= 4 * size or not new):
+        if turn and (pairs <= 200 * size or not new):
             break
         named = open_lists.join(mixed, "key").where(F.col("comp") != F.col("rep.comp")).select("node", "n", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")).where(_may_link("n", "rep_n"))
         votes = named.groupBy(F.greatest("node", "rep").alias("b"), F.least("node", "rep").alias("a"), "node").agg(F.count("*").alias("votes"))
@@ -286,7 +285,7 @@ def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
         hopeful = _sieve(votes.select("a", "b").distinct(), sets)
         best = votes.join(hopeful, ["a", "b"]).groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         checked = cut(_verify(best, sets), size)  # one pair for each class at most
-        tried = checked if tried is None else tried.union(checked)
+        tried = checked if tried is None else cut(tried.union(checked), (turn + 1) * size)
         linked = _accepted(checked)
         new = linked.count()
         if new:
