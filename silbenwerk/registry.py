@@ -95,7 +95,8 @@ rare AS (SELECT word FROM cnt WHERE n < 3), fr AS (SELECT lower(word) AS word, c
 #: The other engine's edit distance counts bytes: letters beyond ASCII become single signs first.
 BYTES = "translate({}, 'äöüßÄÖÜẞéèêëáàâíìîóòôúùûñçÉÈÊÁÀÂÓÚÑÇ', '0123456789!#$%&*+/:;<=>?@[]^_`{{|}}~()')"
 #: The typed word's first letter may be in either case.
-EDIT = "least(" + ", ".join(f"damerau_levenshtein({BYTES.format(f'{case}(r.word[1]) || r.word[2:]')}, {BYTES.format('l.word')})" for case in ("lower", "upper")) + ")"
+EDIT = "least(damerau_levenshtein(r.a, l.t), damerau_levenshtein(r.b, l.t))"
+KEYED = "rk AS (SELECT word, " + BYTES.format("lower(word[1]) || word[2:]") + " AS a, " + BYTES.format("upper(word[1]) || word[2:]") + " AS b FROM rare), lk AS (SELECT word, " + BYTES.format("word") + " AS t FROM lex)"
 
 
 def quoted(values) -> str:
@@ -504,7 +505,7 @@ def _(spark, d):
 # ---- candidates --------------------------------------------------------------------------------
 
 
-@query("k01_fuzzy_join_1", f"WITH {LEX} SELECT r.word, l.word AS cand, {EDIT}::INT AS distance FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1")
+@query("k01_fuzzy_join_1", f"WITH {LEX}, {KEYED} SELECT r.word, l.word AS cand, {EDIT}::INT AS distance FROM rk r JOIN lk l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1")
 def _(spark, d):
     return C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1)
 
@@ -734,7 +735,7 @@ def _(spark, d):
     return X.score_in_context(pairs, known).select("context", "start", "candidate", F.round("log_score", 6).alias("log_score"))
 
 
-@query("x08_fuse_scores", f"""WITH {LEX}, p AS (SELECT r.word AS occ_id, l.word AS word, {EDIT} AS dist FROM rare r JOIN lex l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1),
+@query("x08_fuse_scores", f"""WITH {LEX}, {KEYED}, p AS (SELECT r.word AS occ_id, l.word AS word, {EDIT} AS dist FROM rk r JOIN lk l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1),
 q AS (SELECT p.*, lower(p.word) AS fam, 1.0 / (1 + dist) AS es, -2.2 * dist AS lp, CASE WHEN length(p.word) % 3 > 0 THEN ln(f.n::DOUBLE) END AS ls FROM p LEFT JOIN fr f ON lower(p.word) = f.word),
 a AS (SELECT *, count(ls) OVER o > 0 AS has_score, max(lp) OVER fo AS mlp, CASE WHEN ls IS NULL THEN 0 ELSE exp(ls - max(ls) OVER o) END AS e FROM q WINDOW o AS (PARTITION BY occ_id), fo AS (PARTITION BY occ_id, fam)),
 b AS (SELECT *, CASE WHEN has_score THEN max(mlp + 0.35 * ls) OVER (PARTITION BY occ_id, fam) ELSE mlp END AS fs, 0.30 * coalesce(CASE WHEN has_score THEN e / sum(e) OVER (PARTITION BY occ_id) END, 0) + 0.70 * es AS ss FROM a),
