@@ -1,8 +1,10 @@
 """N-gram Jaccard join: sets of word shingles, linked where 100·|A∩B| >= 75·|A∪B|, exactly.
 
 Equal sets are one class; links are sought between classes only. The join follows the idea of
-skipping by set relations (Wang et al. 2017): lists of the index are skipped in blocks by position
-and size, and a set that is very similar to an answered one takes over its answers.
+skipping by set relations (Wang et al. 2017): sets enter the lists of the index with their first
+positions only, pairs of a list are skipped by size, and a set that is linked with an answered one
+joins its component without forming pairs there. That leaves links inside a component unformed, so
+each component counts its own links afterwards.
 
 1. `_index`: every set in hash order, cut after the positions that any partner must share at least
    `need` members of. The members go to hash buckets, packed: one row holds all members that one
@@ -18,6 +20,9 @@ and size, and a set that is very similar to an answered one takes over its answe
 5. The pairs that remain, between components within a list, in size blocks that may link: a pair
    with a common representative is skipped where the triangle inequality of the Jaccard distance
    rules it out; the rest are verified.
+6. `_link_counts`: every link lies within a component, so the links of each class are counted over
+   all pairs of its component, in pairs of blocks as products of matrices: exact, and quadratic in
+   the size of a component.
 
 Every link is decided on the whole 64-bit shingle sets. Positions and frequencies use short
 hashes: a collision there costs time, never a link.
@@ -44,6 +49,7 @@ from .shingles import byte_chunks, shingle_sets, signatures
 PERCENT = 75
 EXTRA = 0.15  # share of a set that the prefix holds beyond the shortest one
 NARROW = 1_000_000  # prefix members in one packed batch
+BLOCK_SETS, BLOCK_MEMBERS = 1_500, 200_000  # about so much of a component is compared at once
 INDEX = "kind int, doc_id long, s1 long, s2 long, n long, batch string, ix int, bucket int, data binary"
 
 
@@ -207,8 +213,11 @@ def _may_link(n: str, m: str):
     return (100 * F.least(F.col(n), F.col(m)) >= PERCENT * F.greatest(F.col(n), F.col(m)))
 
 
-def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, node; links: a, b between nodes). node is the class's least doc_id."""
+def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_000, max_rounds: int = 4, counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(members: doc_id, n, node; comp: node, comp of linked nodes; counts: node, others).
+
+    node is the class's least doc_id; others is the number of rows in the classes that it is linked with.
+    """
     scratch = Scratch(docs.sparkSession)
     buckets = buckets_for(docs, bucket_bytes)
     try:
@@ -226,8 +235,9 @@ def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_00
         entries = scratch.keep(entries.join(busy, "key").select("key", "node", "n"))
         wanted = entries.select("node").distinct()
         sets = scratch.keep(_set_table(docs, lists.select("node", "doc_id", "s1", "s2").join(wanted, "node", "left_semi"), shingle))
-        links = _links(entries, sets, max_rounds)
-        return members, links
+        comp = cut(components(_links(entries, sets, max_rounds)))
+        weights = members.where("n > 0").groupBy("node").agg(F.count("*").alias("weight"))
+        return members, comp, cut(_link_counts(comp.join(weights, "node"), sets)) if counted else None
     finally:
         scratch.drop()
 
@@ -264,6 +274,7 @@ def _marks(n: np.ndarray, h: np.ndarray) -> list[bytes]:
 
 
 def _links(entries: DataFrame, sets: DataFrame, max_rounds: int) -> DataFrame:
+    """Links a, b between nodes: enough of them to connect every component, not all within one."""
     comp = cut(entries.select("node").distinct().select("node", F.col("node").alias("comp")))
     size = comp.count()
     comp = cut(comp, size)
@@ -310,18 +321,94 @@ def _accepted(checked: DataFrame) -> DataFrame:
     return checked.where(100 * F.col("common") >= PERCENT * F.col("total")).select("a", "b")
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id.
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b, as a matrix."""
+    n, m = len(a), len(b)
+    row = np.repeat(np.arange(n + m), [len(x) for x in a + b])
+    _, column = np.unique(np.concatenate(a + b), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left = row < n
+    held = np.bincount(column[left], minlength=column[-1] + 1), np.bincount(column[~left], minlength=column[-1] + 1)
+    out = np.zeros((n, m), np.int64)
+    # members that few sets hold: their pairs one by one
+    dense = held[0] * held[1] > 64
+    rare = ~dense & (held[0] > 0) & (held[1] > 0)
+    x, y = row[left & rare[column]], row[~left & rare[column]] - n
+    each, other = held[0][rare], held[1][rare]
+    times = np.repeat(other, each)  # partners of each entry of x
+    first = np.repeat(np.cumsum(other) - other, each)
+    partner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+    out += np.bincount(np.repeat(x, times) * m + y[partner], minlength=n * m).reshape(n, m)
+    # the others: a product of matrices, some columns at a time
+    number = np.cumsum(dense) - 1
+    keep = dense[column]
+    row, column = row[keep], number[column[keep]]
+    for lo in range(0, int(dense.sum()), 4096):
+        at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        held = np.zeros((n + m, int(min(4096, dense.sum() - lo))), np.float32)
+        held[row[at], column[at] - lo] = 1
+        out += (held[:n] @ held[n:].T).astype(np.int64)  # at most 4096: exact
+    return out
+
 
-    Sets of size 0 form no component: such a row's component_id is its own doc_id.
+def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Two blocks of one component (or one block with itself): for each set the rows that it is linked with."""
+    same = bool((group["i"] == group["j"]).iloc[0])
+    members = [np.frombuffer(x, "<u8") for x in group["members"]]
+    block, node, weight = (group[c].to_numpy() for c in ("block", "node", "weight"))
+    a = np.flatnonzero(block == group["i"].iloc[0])
+    b = a if same else np.flatnonzero(block == group["j"].iloc[0])
+    if not len(a) or not len(b):
+        return no_rows("node", "others")
+    size = np.array([len(x) for x in members], np.int64)
+    common = _common([members[k] for k in a], [members[k] for k in b])
+    linked = 100 * common >= PERCENT * (size[a][:, None] + size[b][None, :] - common)
+    if same:
+        np.fill_diagonal(linked, False)
+        return pd.DataFrame({"node": node[a], "others": linked @ weight[b]})
+    return pd.DataFrame({"node": np.concatenate([node[a], node[b]]), "others": np.concatenate([linked @ weight[b], linked.T @ weight[a]])})
+
+
+def _link_counts(comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """comp(node, comp, weight) -> node, others: the weight of all classes that a class is linked with."""
+    rows = comp.join(sets.select("node", "n"), "node")
+    whole = rows.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.sum("weight").alias("total"))
+    rows = cut(rows.join(whole, "comp"))
+    # a component of two classes is one link
+    two = rows.where("k = 2").select("node", (F.col("total") - F.col("weight")).alias("others"))
+    rows = rows.where("k > 2").withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("k") / BLOCK_SETS)).cast("int"))
+    # components of one block share it with others: sets of different components are not linked
+    small = rows.where("blocks = 1").agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
+    groups = max(int(small.n or 0) // BLOCK_MEMBERS, small.k // BLOCK_SETS) + 1
+    one = F.lit(0)
+    dealt = rows.where("blocks = 1").select("node", "weight", F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("place"), one.alias("block"), one.alias("other"), F.lit(False).alias("large"))
+    large = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.select("node", "weight", F.col("comp").alias("place"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.lit(True).alias("large"))
+    pairs = dealt.union(large).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = pairs.join(sets.select("node", "members"), "node").groupBy("large", "place", "i", "j").applyInPandas(_block_links, "node long, others long")
+    return two.union(found.groupBy("node").agg(F.sum("others").alias("others")))
+
+
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, counted: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_links, component_id, class_id.
+
+    n_links is the number of other rows whose sets link with the row's own, equal ones included
+    (without counted, the column is left out). Sets of size 0 form no component: such a row's
+    component_id is its own doc_id.
     """
-    members, links = link_classes(docs, shingle)
-    comp = components(links)
+    members, comp, counts = link_classes(docs, shingle, counted=counted)
+    links = []
+    if counted:
+        own = members.where("n > 0").groupBy("node").agg((F.count("*") - 1).alias("copies"))
+        counts = own.join(counts, "node", "left").select("node", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links"))
+        members = members.join(counts, "node", "left").withColumn("n_links", F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long"))
+        links = ["n_links"]
     out = members.join(comp, "node", "left").withColumn("label", F.coalesce("comp", "node"))
     # a label may stand for a row without doc_id; the least doc_id of its rows is what counts
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *links, F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -329,7 +416,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Rows without doc_id and texts without words stay as well.
     """
-    found = near_duplicate_classes(docs, shingle)
+    found = near_duplicate_classes(docs, shingle, counted=False)
     keep = cut(found.where("doc_id = component_id").select("doc_id").distinct())
     named = docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
     return named.unionByName(docs.where("doc_id is null"))

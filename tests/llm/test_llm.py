@@ -114,6 +114,27 @@ def test_near_duplicate_classes(docs, spark):
     assert jaccard_join.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicate_links(docs, spark, monkeypatch):
+    """All links of a component count, also where blocks of it are compared with one another."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    extra = [(100 + i, " ".join([f"v{j}" if j not in (7 * i % 90, 90 + i % 41, 140 - i) else "x" for j in range(150 + i % 5)]), "de", "s", 0) for i in range(40)]
+    chain = [(200 + i, " ".join(f"c{j}" for j in range(8 * i, 8 * i + 100)), "de", "s", 0) for i in range(6)]
+    table = docs.union(spark.createDataFrame(extra + extra[:3] + chain, DOCS))
+    rows = [(r.doc_id, shingles(r.text)) for r in table.collect()]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = collections.Counter((k, sum(linked(a, b) for i, (_, b) in enumerate(rows) if i != own)) for own, (k, a) in enumerate(rows))
+    assert len({n for _, n in want}) > 5  # neither none nor all
+    assert collections.Counter((r.doc_id, r.n_links) for r in jaccard_join.near_duplicate_classes(table).collect()) == want
+
+
+def test_common_members():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 10**4, 60)])).astype("<u8") for _ in range(30)]
+    assert jaccard_join._common(sets[:13], sets[13:]).tolist() == [[len(set(a) & set(b)) for b in sets[13:]] for a in sets[:13]]
+    assert jaccard_join._common(sets[:1], sets[:1]).tolist() == [[len(sets[0])]]
+
+
+
 # -- tokens and pieces
 
 
