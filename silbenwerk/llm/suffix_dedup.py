@@ -12,10 +12,14 @@ windows with the same anchor form a run, whose context is the text that they cov
    anchors with different contexts: the ends of repeats.
 3. Those contexts, one of each kind, go to shards by anchor. A shard is a text of some megabytes
    whose suffix array is built by external induced sorting (`induced`); two neighbours in it with a
-   common prefix of `span` bytes and more are repeated windows.
+   common prefix of `span` bytes and more are repeated windows. An anchor with more contexts than a
+   shard should hold (the edge of a passage that many documents have) is not brought together:
+   `_windows` gives each of its windows as a digest, and digests that occur twice are repeated.
 4. Each text gets the union of its repeated windows, and the rest is what is kept.
 
-Memory is bounded by the shard and bucket sizes, whose numbers follow the input.
+Shards are sorted in memory, which their size bounds: their number follows the input, and no anchor
+adds more than `shard_runs` contexts to one. The queue of the induction spills, its results do not.
+Buckets grow with the occurrences of an anchor, 16 bytes for each.
 
 Defined results: a null text is an empty one; texts shorter than `span` keep everything; of equal
 texts of at least `span` bytes nothing is kept in any; rows that repeat a doc_id are documents of
@@ -218,6 +222,25 @@ def _contexts(rows: DataFrame, span: int) -> DataFrame:
     return rows.mapInArrow(run, "f1 long, f2 long, anchor long, lo int, piece binary")
 
 
+def _windows(pieces: DataFrame, span: int) -> DataFrame:
+    """pieces(f1, f2, anchor, lo, piece) -> f1, f2, lo, digest of every window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            f1, f2, lo = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            for first in range(0, batch.num_rows, 1_000):
+                texts = [t.as_py() for t in batch.column(4)[first:first + 1_000]]
+                many = np.array([len(t) - span + 1 for t in texts], np.int64)
+                own = np.repeat(np.arange(len(texts)), many)
+                at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+                digests = [hashlib.blake2b(t[k:k + span], digest_size=16).digest() for t in texts for k in range(len(t) - span + 1)]
+                own += first
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((f1[own], f2[own], lo[own] + at, digests), kinds)], ["f1", "f2", "lo", "digest"])
+
+    return pieces.select("f1", "f2", "anchor", "lo", "piece").mapInArrow(run, "f1 long, f2 long, lo int, digest binary")
+
+
 def _context_rows(out: list) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["f1", "f2", "anchor", "lo", "piece"])
@@ -271,8 +294,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1_000_
     shards = max(1, int(marks.agg(F.sum(F.size("open"))).first()[0] or 0) // shard_runs)
     # the texts are dealt by the same key here and in remove_repeats, so that Spark shuffles them once
     opened = keyed.join(marks.where(F.size("open") > 0).select("f1", "f2", "open"), ["f1", "f2"]).select(*keyed.columns, "open")
-    pieces = _contexts(opened, span).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    pieces = _contexts(opened, span)
+    hot = cut(marks.select(F.explode("open.anchor").alias("anchor")).groupBy("anchor").count().where(F.col("count") > shard_runs).select("anchor"))
+    more = None
+    if not hot.isEmpty():
+        pieces = cut(pieces)
+        windows = cut(_windows(pieces.join(F.broadcast(hot), "anchor", "left_semi"), span))
+        # rows of equal documents share f1 and f2: their windows are repeated in any case
+        twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        more = windows.join(twice, "digest").select("f1", "f2", "lo", (F.col("lo") + span).cast("int").alias("hi"))
+        pieces = pieces.join(F.broadcast(hot), "anchor", "left_anti").select("f1", "f2", "anchor", "lo", "piece")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = pieces.groupBy("shard").applyInPandas(_sorted_shard(span, memory), "f1 long, f2 long, lo int, hi int")
+    if more is not None:
+        found = found.union(more)
     more = found.groupBy("f1", "f2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = marks.where(F.size("spans") > 0).select("f1", "f2", "spans").unionByName(more).groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return keyed, spans

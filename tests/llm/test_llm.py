@@ -77,6 +77,29 @@ def test_remove_repeats(docs):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_hot_anchor_is_dealt(spark, monkeypatch):
+    """Contexts of one anchor beyond a shard's size do not meet in one group, and nothing repeated is missed."""
+    passage = words(60, 9, 10**6)
+    rows = [(i, f"{words(40, 100 + i, 10**6)} {'same edge ' if i % 3 == 0 else ''}{passage} {words(40, 300 + i, 10**6)}") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sort, most = suffix_dedup._sorted_shard, 30
+
+    def guarded(span, memory):
+        inner = sort(span, memory)
+
+        def run(group):
+            assert len(group) <= most, f"{len(group)} contexts in one group"
+            return inner(group)
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shard", guarded)
+    keyed, spans = suffix_dedup.repeated_spans(table, shard_runs=10)
+    got = {r.doc_id: suffix_dedup.joined_spans(np.array([s.lo for s in r.spans or []]), np.array([s.hi for s in r.spans or []])) for r in keyed.join(spans, ["f1", "f2"], "left").collect()}
+    for (k, text), (size, gone, parts, _) in zip(rows, repeats([t.encode() for _, t in rows])):
+        assert sum(b - a for a, b in got[k]) == gone > 0 and len(got[k]) == parts
+
+
 # -- n-gram Jaccard join
 
 
