@@ -370,7 +370,7 @@ def _(spark, d):
 
 @query("t03_protected_ranges")
 def _(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", F.substring("html", 1, 100000)).alias("text"))
+    rows = table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
     return rows.select("page_id", F.inline(T.protected_ranges(F.col("text"))))
 
 

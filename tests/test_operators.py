@@ -2,6 +2,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from silbenwerk import registry
 from silbenwerk.functions import text as T
 from silbenwerk.operators import candidates as C
 from silbenwerk.operators import context as X
@@ -144,3 +145,13 @@ def test_wordpieces_and_masks(spark):
     occ = spark.createDataFrame([(1, list(range(400)), list(range(400, 900)), 2)], "occ_id int, pieces_before array<int>, pieces_after array<int>, n int")
     r = X.masked_inputs(occ, 103).first()
     assert len(r.input) == 510 and [r.input[i] for i in r.mask_at] == [103, 103]
+
+
+def test_protected_ranges_of_long_pages(spark, tmp_path):
+    pages = [(1, "http://a.de/x", "Wort " * 30_000 + "siehe www.beispiel.de/ende und #marke"), (2, "http://b.de", "kurz an x@y.de"), (3, "http://c.de", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = rows(registry.queries()["t03_protected_ranges"](spark, str(tmp_path)), "page_id", "start", "end")
+    texts = {k: " ".join(x for x in (url, html) if x is not None) for k, url, html in pages}
+    assert found == sorted((k, a, b) for k, t in texts.items() for a, b in T.ranges_in(t))
+    named = [texts[k][a:b] for k, a, b in found if a > 100_000]
+    assert "www.beispiel.de/ende" in named and "#marke" in named
