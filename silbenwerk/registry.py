@@ -840,9 +840,9 @@ def _(spark, d):
 
 @query("b05_suggestion_hit_rate")
 def _(spark, d):
-    """Mutated words of the lexicon: is the intended word among the first five suggestions?"""
+    """All words of the lexicon, mutated: is the intended word among the first five suggestions?"""
     lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
-    made = synth.mutate(lex.where(F.col("word").rlike(r"^\p{L}{5,12}$"))).join(lex.select(F.col("word").alias("typo")), "typo", "left_anti")
+    made = synth.mutate(lex).join(lex.select(F.col("word").alias("typo")), "typo", "left_anti")
     rows = made.select(F.col("typo").alias("word"), F.lit(False).alias("is_first")).distinct()
     found = R.suggest(rows.withColumn("noun_signal", F.lit(False)), C.collect_candidates(rows, lex, fr), lex, fr)
     rank = found.select(F.col("word").alias("typo"), F.lower("suggestion").alias("low"), "rank").groupBy("typo", "low").agg(F.min("rank").alias("rank"))

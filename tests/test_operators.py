@@ -155,3 +155,13 @@ def test_protected_ranges_of_long_pages(spark, tmp_path):
     assert found == sorted((k, a, b) for k, t in texts.items() for a, b in T.ranges_in(t))
     named = [texts[k][a:b] for k, a, b in found if a > 100_000]
     assert "www.beispiel.de/ende" in named and "#marke" in named
+
+
+def test_hit_rate_of_all_lengths(spark, tmp_path):
+    words = ["in", "Hof", "Haus", "Zimmer", "Geschwindigkeitsbegrenzung"]
+    spark.createDataFrame([(i, " ".join(words) + ".", "de") for i in range(4)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    lex = registry.lexicon(spark, str(tmp_path))
+    made = [r for r in synth.mutate(lex).collect() if r.typo not in {w.word for w in lex.collect()}]
+    found = {r.kind: r for r in registry.queries()["b05_suggestion_hit_rate"](spark, str(tmp_path)).collect()}
+    assert {r.word for r in made} == set(words) and found["short"].typos == 2
+    assert found[None].typos == len(made) and 0 < found[None].hits <= len(made)
