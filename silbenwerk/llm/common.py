@@ -68,9 +68,13 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, each: int, least: int = 16, most: int = 1 << 16) -> int:
-    """A power of two, growing with the input: about one bucket for `each` bytes."""
-    n, want = least, planned_bytes(df) / each
-    while n < want and n < most:
+    """A power of two, growing with the input: one bucket for about `each` bytes; beyond `most`, for up to 64 times as much.
+
+    The size of rows that come from no file is unknown; 256 buckets then.
+    """
+    size, n = planned_bytes(df), least
+    want = size / each if size < 1 << 60 else 256
+    while n < want and (n < most or want > 64 * n):
         n *= 2
     return n
 

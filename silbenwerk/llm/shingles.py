@@ -92,12 +92,12 @@ def signatures(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def byte_chunks(batch: pa.RecordBatch, column: int = 1, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def byte_chunks(batch: pa.RecordBatch, column: int = 1, most: int = 2_000_000, rows: int = 20_000) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of some rows at a time; a text that alone is longer makes a chunk of its own."""
     texts, first, size = [], 0, 0
     for i, text in enumerate(batch.column(column)):
         text = text.as_py() or b""
-        if texts and size + len(text) > most:
+        if texts and (size + len(text) > most or len(texts) == rows):
             yield first, texts
             texts, first, size = [], i, 0
         texts.append(text)

@@ -133,10 +133,66 @@ def test_near_duplicate_classes(docs, spark):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_classes(table).collect())
     assert got == want
     ids = [r.doc_id for r in jaccard_join.one_of_each(table).collect()]
-    assert {1, 4, 5, 6, 7, 9, 10} <= set(ids) and not {2, 3, 8} & set(ids) and ids.count(9) == 1
+    assert {1, 4, 5, 6, 7, 9, 10} <= set(ids) and not {2, 3, 8} & set(ids) and ids.count(9) == 1 and None not in ids
     assert jaccard_join.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def brute_links(rows):
+    """rows(doc_id, text) -> for each row (doc_id, n_shingles, n_links, component_id)."""
+    data = [(k, shingles(t)) for k, t in rows]
+    near = [[bool(a and b) and i != j and 100 * len(a & b) >= 75 * len(a | b) for j, (_, b) in enumerate(data)] for i, (_, a) in enumerate(data)]
+    comp = list(range(len(data)))
+    for _ in data:
+        comp = [min([comp[i]] + [comp[j] for j in range(len(data)) if near[i][j]]) for i in range(len(data))]
+    least = {}
+    for i, (k, s) in enumerate(data):
+        if k is not None:
+            least[comp[i]] = min(k, least.get(comp[i], k))
+    return collections.Counter((k, len(s), sum(near[i]), least.get(comp[i]) if s else k) for i, (k, s) in enumerate(data))
+
+
+def test_order_of_equal_rows(spark):
+    """Copies in any order, texts that share a doc_id, rows without doc_id: in one batch and in many."""
+    x, z = words(120, 21), words(90, 22)
+    near = " ".join("other" if i == 60 else w for i, w in enumerate(x.split()))
+    rows = [(5, x), (3, x), (1, near), (7, x), (7, z), (9, z), (None, z), (None, words(30, 23)), (2, words(80, 24)), (12, None), (12, "")]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: -(r[0] or 0)), rows[4:] + rows[:4]):
+        for parts in (1, 5):
+            table = spark.createDataFrame(spark.sparkContext.parallelize(order, parts), "doc_id long, text string")
+            got = collections.Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_join.near_duplicate_classes(table).collect())
+            assert got == brute_links(rows), order
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(table).collect())
+    assert kept == collections.Counter({(1, near): 1, (7, z): 1, (None, words(30, 23)): 1, (2, words(80, 24)): 1, (12, None): 1, (12, ""): 1})
+    case = spark.createDataFrame([(1, x), (7, x), (7, z), (9, z)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in jaccard_join.one_of_each(case).collect()} == {(1, x), (7, z)}
+    clash = table.selectExpr("doc_id", "text", "1 AS rows", "2 AS node", "3 AS kept_id", "4 AS n", "null AS whole")
+    assert jaccard_join.one_of_each(clash).columns == clash.columns and jaccard_join.near_duplicate_classes(clash).count() == len(rows)
+
+
+def test_families_in_blocks(spark, monkeypatch):
+    """Long lists, large families with guests, and many rounds of families give the links of brute force."""
+    for name, value in (("BLOCK_SETS", 7), ("BLOCK_MEMBERS", 1500), ("LONG", 3), ("LIST_BLOCK", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        base = words(60 + 40 * g, 30 + g, 10**6).split()
+        for i in range(30):
+            own = list(base)
+            for at in rng.integers(0, len(own), rng.integers(0, 6)):
+                own[at] = f"x{rng.integers(0, 9)}"
+            if i % 4 == 0:
+                own = own[int(rng.integers(0, 20)):] + words(int(rng.integers(1, 20)), 400 + i, 10**6).split()
+            rows.append((len(rows), " ".join(own)))
+    passage = words(40, 77, 10**6)
+    rows += [(len(rows) + i, f"{passage} {words(5 + i % 17, 500 + i, 10**6)}") for i in range(40)]
+    rows += rows[:10]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows)
+    assert len({n for _, _, n, _ in want}) > 10
+    assert collections.Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_join.near_duplicate_classes(table).collect()) == want
+
+
 def test_near_duplicate_links(docs, spark, monkeypatch):
     """All links of a component count, also where blocks of it are compared with one another."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
