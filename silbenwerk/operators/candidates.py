@@ -13,7 +13,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from .. import constants as K
 from ..functions.scalars import is_caps, is_title, lower_first, osa_any, osa_distance, title, upper_first
 from ..sharing import cut
-from .detect import lookup_words, valid_compounds
+from .context import viable_head
+from .detect import compound_prefixes, lookup_words, valid_compounds
 
 PREFIX = 7  # letters of a word from which deletion keys are made
 
@@ -31,15 +32,16 @@ def deletion_keys(w: Column, d: int) -> Column:
 def fuzzy_join(words: DataFrame, lexicon: DataFrame, d: int, n: int | None = None) -> DataFrame:
     """K1: word, cand, distance: lexicon words within restricted edit distance d, first letter in any case.
 
-    Two strings within distance d share a key with at most d letters of their beginnings deleted, so
-    an equi-join finds all pairs; lengths and the built-in distance thin them before the exact test.
+    Two strings within distance d share a key with at most d letters of their beginnings deleted, and
+    their lengths differ by d at most, so an equi-join on key and length finds all pairs: a busy
+    beginning is split by length. The built-in distance thins them before the exact test.
     """
-    left = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), d)).alias("key"))
-    right = lexicon.select(F.col("word").alias("cand")).distinct().select("cand", F.explode(deletion_keys(F.col("cand"), d)).alias("key"))
-    near = F.abs(F.length("word") - F.length("cand")) <= d
-    pairs = left.join(right, "key").where(near).select("word", "cand").distinct()
+    lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("word") - d), F.length("word") + d)).alias("size")
+    left = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), d)).alias("key")).select("word", "key", lengths)
+    right = lexicon.select(F.col("word").alias("cand")).distinct().select("cand", F.length("cand").alias("size"), F.explode(deletion_keys(F.col("cand"), d)).alias("key"))
     # a swap counts as two built-in edits, another case of the first letter as one
-    pairs = pairs.where(F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d + 1) >= 0)
+    near = F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d + 1) >= 0
+    pairs = left.join(right, ["key", "size"]).where(near).select("word", "cand").distinct()
     found = pairs.withColumn("distance", osa_any("word", "cand")).where(F.col("distance") <= d)
     if n is None:
         return found
@@ -54,26 +56,25 @@ def search_forms(words: DataFrame) -> DataFrame:
     return words.select("word").distinct().select("word", F.explode(F.array_distinct(forms)).alias("form"))
 
 
-def rewrites_of(word: str, steps: int = 2, most: int = 96) -> list[tuple[str, float]]:
-    """Forms within some rewrites, breadth first, in the order of rules and places; `most` ends it."""
+def _rewritten_once(form: str, cost: float) -> list[tuple[str, float]]:
+    return [(form[:k] + meant + form[k + len(typed):], cost + extra) for typed, meant, extra in K.REWRITES for k in range(len(form)) if form.startswith(typed, k)]
+
+
+def rewrites_of(word: str, most: int = 96) -> list[tuple[str, float]]:
+    """K3: forms that one or two rewrites make of the lower-cased word, with their least cost.
+
+    One rewrite comes before two, then the order of rules, then of places. The word and its forms are
+    `most` at the most: the forms offered first stay, and what is offered after the last new one does
+    not make any of them cheaper.
+    """
     start = word.lower()
-    costs, wave = {start: 0.0}, [(start, 0.0)]
-    for _ in range(steps):
-        following = []
-        for form, cost in wave:
-            if len(costs) > most:
-                break
-            for typed, meant, extra in K.REWRITES:
-                at = form.find(typed)
-                while at >= 0:
-                    new, total = form[:at] + meant + form[at + len(typed):], cost + extra
-                    if len(costs) < most and total < costs.get(new, 1e9):
-                        costs[new] = total
-                        following.append((new, total))
-                    at = form.find(typed, at + 1)
-        wave = following
-    del costs[start]
-    return list(costs.items())
+    once = _rewritten_once(start, 0.0)
+    offers = [o for o in once + [o for form, cost in once for o in _rewritten_once(form, cost)] if o[0] != start]
+    kept = list(dict.fromkeys(form for form, _ in offers))[:most - 1]
+    if len(kept) == most - 1:
+        offers = offers[:[form for form, _ in offers].index(kept[-1]) + 1]
+    least = dict(sorted(offers, key=lambda o: -o[1]))  # the cheapest offer of a form is the last to be set
+    return [(form, least[form]) for form in kept]
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("form", StringType()), StructField("cost", DoubleType())])))
@@ -87,10 +88,14 @@ def rewrite_forms(words: DataFrame) -> DataFrame:
     return rows.select("word", F.inline(_rewrites("word")))
 
 
+def _in_lexicon(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    either = forms.select("word", "cost", F.explode(F.array("form", upper_first(F.col("form")))).alias("cand"))
+    return either.join(lexicon.select(F.col("word").alias("cand")).distinct(), "cand", "left_semi").groupBy("word", "cand").agg(F.min("cost").alias("cost"))
+
+
 def rewrite_candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """K3: rewritten forms, as they are and capitalized, that the lexicon has."""
-    forms = rewrite_forms(words).select("word", "cost", F.explode(F.array("form", upper_first(F.col("form")))).alias("cand"))
-    return forms.join(lexicon.select(F.col("word").alias("cand")).distinct(), "cand", "left_semi").groupBy("word", "cand").agg(F.min("cost").alias("cost"))
+    return _in_lexicon(rewrite_forms(words), lexicon)
 
 
 def known_corrections(words: DataFrame, typos: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -103,41 +108,59 @@ def known_corrections(words: DataFrame, typos: DataFrame, lexicon: DataFrame) ->
 
 
 def synthesize_compounds(words: DataFrame, lexicon: DataFrame, freq: DataFrame, most: int = 5) -> DataFrame:
-    """K5: long words with one wrong part: the head or the beginning is looked up within distance 2 and joined anew."""
+    """K5: long words with one wrong part: the head or the beginning is looked up within distance 2 and joined anew.
+
+    most: the caller's limit. Beginnings are tried only for words with fewer results than that, from
+    the longest beginning down, until three results are found.
+    """
     w = F.col("word")
     rows = words.select("word").distinct().where(F.length(w) >= 12).withColumn("cap", is_title(w))
     flags = cut(lexicon.groupBy("word").agg(F.bit_or("flags").alias("flags")))
     at = F.sequence(F.lit(4), F.length(w) - 4)
-    splits = rows.select("word", "cap", F.explode(at).alias("i")).select("word", "cap", F.substring(w, F.lit(1), F.col("i")).alias("left"), F.substring(w, F.col("i") + 1, F.lit(1000)).alias("right"))
+    splits = cut(rows.select("word", "cap", F.explode(at).alias("i")).select("word", "cap", "i", F.substring(w, F.lit(1), F.col("i")).alias("left"), F.substring(w, F.col("i") + 1, F.lit(1000)).alias("right")))
     nouns = flags.where(F.col("flags").bitwiseAND(K.NOUN) != 0).select("word")
+    prefixes = compound_prefixes(flags).withColumnRenamed("prefix", "low")
     flagged = flags.where("flags > 0").select(F.lower("word").alias("low")).distinct()
+    known = cut(freq.select(F.col("word").alias("key"), "n"))
+    link = F.explode(F.array(*map(F.lit, K.LINKS))).alias("link")
     # wrong head
-    good_left = splits.withColumn("low", F.lower("left")).join(flagged, "low", "left_semi")
+    good_left = splits.withColumn("low", F.lower("left")).join(prefixes, "low", "left_semi")
     derived = F.col("low").rlike(K.DERIVED) & ~F.col("low").rlike(K.NOT_DERIVED)
-    link = F.explode(F.array(*map(F.lit, K.LINKS))).alias("link")
     heads = good_left.select("word", "cap", "low", "right", link).where(F.expr("startswith(right, link)") & ~(F.col("link").isin("s", "es") & F.col("low").rlike("[sßzx]$")) & ~(derived & (F.col("link") == "")))
-    heads = heads.withColumn("part", title(F.expr("substring(right, length(link) + 1, 1000)"))).where(F.length("part").between(4, 20))
-    found = fuzzy_join(heads.select(F.col("part").alias("word")), flags, 2, 8).join(nouns.select(F.col("word").alias("cand")), "cand", "left_semi")
-    known = freq.select(F.col("word").alias("key"), "n")
-    found = found.withColumn("low_cand", F.lower("cand")).join(known, F.col("low_cand") == F.col("key"), "left")
-    found = found.where((F.coalesce("n", F.lit(0)) >= 1) | F.col("low_cand").rlike(K.HEADS) | F.col("low_cand").rlike("..er$"))
+    heads = cut(heads.withColumn("part", title(F.expr("substring(right, length(link) + 1, 1000)"))).where(F.length("part").between(4, 20)))
+    found = cut(fuzzy_join(heads.select(F.col("part").alias("word")), flags, 2, 8).join(nouns.select(F.col("word").alias("cand")), "cand", "left_semi"))
+    able = viable_head(found.select(F.col("cand").alias("word")), flags, freq, valid_compounds(found.select(F.explode(F.array("cand", F.lower("cand"))).alias("word")), flags))
+    found = found.join(able.withColumnRenamed("word", "cand"), "cand", "left_semi").withColumn("low_cand", F.lower("cand")).join(known, F.col("low_cand") == F.col("key"), "left")
     bonus = F.least(F.length("cand") * 0.06, F.lit(0.6)) + F.when(F.col("low_cand").rlike(K.GOOD_HEADS), 0.35).otherwise(0.0) + F.when(F.coalesce("n", F.lit(0)) > 0, 0.4).otherwise(0.0)
     one = heads.join(found.select(F.col("word").alias("part"), "low_cand", bonus.alias("bonus")), "part")
-    one = one.select("word", F.concat(F.when(F.col("cap"), title(F.col("low"))).otherwise(F.col("low")), "link", "low_cand").alias("cand"), "bonus")
+    one = one.select("word", F.concat(F.when(F.col("cap"), title(F.col("low"))).otherwise(F.col("low")), "link", "low_cand").alias("cand"), "bonus", F.lit(0).alias("i"))
     # wrong beginning
-    good_right = splits.withColumn("tit", title(F.col("right"))).join(nouns.select(F.col("word").alias("tit")), "tit", "left_semi")
-    starts = good_right.select("word", "cap", "left", F.lower("right").alias("right"), link).where(F.expr("endswith(left, link)"))
-    starts = starts.withColumn("part", title(F.expr("substring(left, 1, length(left) - length(link))"))).where(F.length("part").between(3, 18))
+    ends = cut(splits.withColumn("tit", title(F.col("right"))))
+    noun_ends = ends.join(nouns.select(F.col("word").alias("tit")), "tit", "left_semi").select(F.col("tit").alias("word")).distinct()
+    good = viable_head(noun_ends, flags, freq, valid_compounds(noun_ends.select(F.explode(F.array("word", F.lower("word"))).alias("word")), flags))
+    good = good.union(valid_compounds(ends.where(F.length("right") >= 6).select(F.col("tit").alias("word")), flags)).distinct()
+    good_right = cut(ends.join(good.select(F.col("word").alias("tit")), "tit", "left_semi"))
+    starts = good_right.select("word", "cap", "i", "left", F.lower("right").alias("right"), link).where(F.expr("endswith(left, link)"))
+    starts = cut(starts.withColumn("part", title(F.expr("substring(left, 1, length(left) - length(link))"))).where(F.length("part").between(3, 18)))
     begun = fuzzy_join(starts.select(F.col("part").alias("word")), flags, 2, 6).withColumn("low", F.lower("cand")).join(flagged, "low", "left_semi").join(known, F.col("low") == F.col("key"), "left")
     bonus = F.least(F.length("part") * 0.05, F.lit(0.4)) + F.when(F.coalesce("n", F.lit(0)) > 0, 0.4).otherwise(0.0)
     two = starts.join(begun.select(F.col("word").alias("part"), "low", "n"), "part")
-    two = two.select("word", F.concat(F.when(F.col("cap"), title(F.col("low"))).otherwise(F.col("low")), "link", "right").alias("cand"), bonus.alias("bonus"))
-    both = cut(one.withColumn("way", F.lit(1)).union(two.withColumn("way", F.lit(2))).groupBy("word", "cand", "way").agg(F.max("bonus").alias("bonus")).withColumn("dist", osa_distance(F.lower("word"), F.lower("cand"))).where("dist <= 2"))
-    whole = valid_compounds(both.select(F.col("cand").alias("word")), lexicon).union(flags.select("word")).select(F.col("word").alias("cand")).distinct()
-    both = both.join(whole, "cand", "left_semi").join(known.select(F.col("key").alias("kc"), F.col("n").alias("kn")), F.lower("cand") == F.col("kc"), "left")
+    two = two.select("word", F.concat(F.when(F.col("cap"), title(F.col("low"))).otherwise(F.col("low")), "link", "right").alias("cand"), bonus.alias("bonus"), "i")
+    both = one.withColumn("way", F.lit(1)).union(two.withColumn("way", F.lit(2))).groupBy("word", "cand", "way", "i").agg(F.max("bonus").alias("bonus"))
+    both = cut(both.withColumn("dist", osa_distance(F.lower("word"), F.lower("cand"))).where("dist <= 2"))
+    whole = valid_compounds(both.select(F.col("cand").alias("word")), flags).union(flags.select("word")).select(F.col("word").alias("cand")).distinct()
+    both = cut(both.join(whole, "cand", "left_semi"))
+    # how far beginnings are tried
+    begins = both.where("way = 2").groupBy("word", "cand").agg(F.max("i").alias("i"))
+    headed = both.where("way = 1").select("word", "cand").distinct()
+    stop = good_right.groupBy("word").agg(F.max("i").alias("longest")).join(headed.groupBy("word").agg(F.count("*").alias("heads")), "word", "left").withColumn("heads", F.coalesce("heads", F.lit(0)))
+    fresh = begins.join(headed, ["word", "cand"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("i"), "cand")))
+    third = fresh.join(stop, "word").where(F.col("r") == 3 - F.col("heads")).select("word", F.col("i").alias("third"))
+    stop = stop.join(third, "word", "left").select("word", "heads", F.when(F.col("heads") >= 3, F.col("longest")).otherwise(F.coalesce("third", F.lit(0))).alias("stop"))
+    both = both.join(stop, "word", "left").where((F.col("way") == 1) | ((F.col("heads") < most) & (F.col("i") >= F.col("stop"))))
+    both = both.join(known.select(F.col("key").alias("kc"), F.col("n").alias("kn")), F.lower("cand") == F.col("kc"), "left")
     both = both.withColumn("cost", F.col("dist") - F.col("bonus") - F.when(F.coalesce("kn", F.lit(0)) > 0, 0.5).otherwise(0.0))
     own = Window.partitionBy("word")
-    both = both.withColumn("heads", F.size(F.collect_set(F.when(F.col("way") == 1, F.col("cand"))).over(own))).where((F.col("way") == 1) | (F.col("heads") < most))
     both = both.groupBy("word", "cand").agg(F.min("cost").alias("cost"), F.min("dist").alias("dist"))
     both = both.withColumn("least", F.min("dist").over(own)).where((F.col("least") > 1) | (F.col("dist") <= 1)).withColumn("best", F.min("cost").over(own)).where(F.col("cost") - F.col("best") <= 0.35)
     return both.withColumn("r", F.row_number().over(own.orderBy("cost", "cand"))).where(F.col("r") <= most).select("word", "cand", F.round("cost", 6).alias("cost"))
@@ -210,38 +233,60 @@ def _searched(words: DataFrame, lexicon: DataFrame, d: int) -> DataFrame:
     return forms.join(near, "form").groupBy("word", "cand").agg(F.min("distance").cast("double").alias("cost"))
 
 
-def collect_candidates(words: DataFrame, lexicon: DataFrame, freq: DataFrame, typos: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
-    """words(word, is_first) -> word, is_first, cand, cost, rewritten, known, from_user."""
+def collect_candidates(words: DataFrame, lexicon: DataFrame, freq: DataFrame, typos: DataFrame | None = None, listed: DataFrame | None = None, limit: int = 5) -> DataFrame:
+    """words(word, is_first) -> word, is_first, cand, cost, rewritten, known, from_user.
+
+    freq(word, n, has_lower, has_title); limit: how many the caller wants, a bound for K5. rewritten
+    and known hold for a candidate in any case; from_user where the user's list made the offer that won.
+    """
     words = cut(words.select("word", "is_first").distinct())
+    own = ["word", "is_first"]
     keyed = lambda df: words.join(df, "word").select("word", "is_first", "cand", "cost")
-    steps = [(0, "least", keyed(_searched(words, lexicon, 2))), (1, "least", keyed(rewrite_candidates(words, lexicon)))]
+    forms = cut(rewrite_forms(words))
+    steps = [(0, "least", keyed(_searched(words, lexicon, 2))), (1, "least", keyed(_in_lexicon(forms, lexicon)))]
     if typos is not None:
-        steps.append((2, "set", known_corrections(words, typos, lexicon)))
+        corrections = cut(known_corrections(words, typos, lexicon))
+        steps.append((2, "set", corrections))
     stage = cut(_stack(steps))
-    own = ["word", "is_first"]
-    n = words.join(stage.select(*own, "cand").distinct().groupBy(*own).agg(F.count("*").alias("n")), own, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    few = n.where((F.col("n") < 4) & (F.length("word") >= 12)).select(*own)
-    made = few.join(synthesize_compounds(few, lexicon, freq), "word").select(*own, "cand", "cost")
-    stage = cut(stage.union(_stack([(3, "least", made)])))
+    few = cut(_few(words, stage).where(F.length("word") >= 12))
+    if not few.isEmpty():
+        made = few.join(synthesize_compounds(few, lexicon, freq, limit), "word").select(*own, "cand", "cost")
+        stage = cut(stage.union(_stack([(3, "least", made)])))
     # K6: still few: three edits, only what is new
-    n = words.join(stage.select(*own, "cand").distinct().groupBy(*own).agg(F.count("*").alias("n")), own, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    few = cut(n.where((F.col("n") < 4) & F.length("word").between(6, 16)).select(*own))
+    few = cut(_few(words, stage).where(F.length("word").between(6, 16)))
     later = []
     if not few.isEmpty():
         later.append((4, "gap", few.join(_searched(few, lexicon, 3), "word").select(*own, "cand", "cost")))
     if listed is not None:
-        near = keyed(user_list_candidates(words, listed))
+        near = cut(keyed(user_list_candidates(words, listed)))
         later += [(5, "set", near.where("cost = 0.1")), (6, "least", near.where("cost > 0.1"))]
     valid, gaps = umlaut_candidates(words, lexicon)
     later += [(7, "set", case_candidates(words, lexicon)), (8, "set", valid), (9, "gap", gaps), (10, "least", transposition_candidates(words, lexicon)), (11, "gap", keyed(short_insertions(words, lexicon)))]
     rows = stage.union(_stack(later))
     # one fold per pair: the last overwriting step, then what is less after it; gaps only where nothing was before
-    offers = rows.groupBy(*own, "cand").agg(F.sort_array(F.collect_list(F.struct("step", "how", "cost"))).alias("offers"), F.max(F.col("step") == 1).alias("rewritten"), F.max(F.col("step") == 2).alias("known"), F.max(F.col("step").isin(5, 6)).alias("from_user"))
+    offers = rows.groupBy(*own, "cand").agg(F.sort_array(F.collect_list(F.struct("step", "how", "cost"))).alias("offers"))
 
     def fold(acc, x):
         return F.when(acc.isNull() | (x["how"] == "set"), x["cost"]).when(x["how"] == "least", F.least(acc, x["cost"])).otherwise(acc)
 
-    return offers.select(*own, "cand", F.aggregate("offers", F.lit(None).cast("double"), fold).alias("cost"), "rewritten", "known", "from_user")
+    folded = lambda part: F.aggregate(part, F.lit(None).cast("double"), fold)
+    before = folded(F.filter("offers", lambda x: x["step"] < 5))
+    same = F.exists("offers", lambda x: x["step"] == 5)
+    won = F.exists("offers", lambda x: (x["step"] == 6) & (before.isNull() | (x["cost"] < before)))
+    out = offers.select(*own, "cand", folded(F.col("offers")).alias("cost"), (same | won).alias("from_user")).withColumn("low", F.lower("cand"))
+    out = out.join(forms.select("word", F.col("form").alias("low"), F.lit(True).alias("rewritten")).distinct(), ["word", "low"], "left")
+    if typos is None:
+        out = out.withColumn("known", F.lit(False))
+    else:
+        out = out.join(corrections.select(*own, F.lower("cand").alias("low"), F.lit(True).alias("known")).distinct(), [*own, "low"], "left")
+    return out.select(*own, "cand", "cost", F.coalesce("rewritten", F.lit(False)).alias("rewritten"), F.coalesce("known", F.lit(False)).alias("known"), "from_user")
+
+
+def _few(words: DataFrame, stage: DataFrame) -> DataFrame:
+    """Words with fewer than four candidates so far."""
+    own = ["word", "is_first"]
+    enough = stage.select(*own, "cand").distinct().groupBy(*own).agg(F.count("*").alias("n")).where("n >= 4")
+    return words.join(enough, own, "left_anti")
 
 
 def _stack(steps: list[tuple[int, str, DataFrame]]) -> DataFrame:

@@ -136,23 +136,29 @@ def score_in_context(pairs: DataFrame, scorer: Scorer | DataFrame) -> DataFrame:
 
 
 def fuse_scores(pairs: DataFrame) -> DataFrame:
-    """pairs(occ_id, word, edit_score, log_posterior, log_score, from_user) -> occ_id, word, family_score, surface_score, rank.
+    """pairs(occ_id, word, edit_score, log_posterior, log_score, from_user[, rank]) -> occ_id, word, family_score, surface_score, rank.
 
-    A family is a word in any case: its best spelling score and each member's context score count.
-    Without any context score the input order, by spelling, stays.
+    A family is a word in any case: its best spelling score and each member's context score count, and
+    the member that looks best stands for it. The user's own words get a bonus in both. Without any
+    context score the rows stay as they came, in the order of `rank` or else of their spelling score,
+    which is then their family score; the surface score is their edit score.
     """
     occ, fam = Window.partitionBy("occ_id"), Window.partitionBy("occ_id", "family")
     rows = pairs.withColumn("family", F.lower("word")).withColumn("lp", F.coalesce("log_posterior", -3 * F.greatest(F.lit(0.1), 1 / F.col("edit_score") - 1)))
+    came = [F.col("rank")] if "rank" in pairs.columns else [F.desc("lp"), F.col("word")]
+    rows = rows.withColumn("came", F.row_number().over(occ.orderBy(*came)))
     rows = rows.withColumn("any_score", F.count("log_score").over(occ) > 0).withColumn("top", F.max("log_score").over(occ))
     weight = F.when(F.col("log_score").isNotNull(), F.exp(F.col("log_score") - F.col("top"))).otherwise(0.0)
     rows = rows.withColumn("share", F.try_divide(weight, F.sum(weight).over(occ)))
     bonus = F.when(F.col("from_user"), 0.35).otherwise(0.0)
-    member = F.max("lp").over(fam) + 0.35 * F.col("log_score") + bonus
-    rows = rows.withColumn("family_score", F.when(F.col("any_score"), F.max(member).over(fam)).otherwise(F.max("lp").over(fam)))
-    rows = rows.withColumn("surface_score", 0.30 * F.coalesce("share", F.lit(0.0)) + 0.70 * F.col("edit_score"))
-    best = rows.withColumn("r", F.row_number().over(fam.orderBy(F.desc("surface_score"), F.desc("lp"), "word"))).where("r = 1")
-    rank = F.row_number().over(occ.orderBy(F.desc_nulls_last("family_score"), F.desc("surface_score"), "word"))
-    return best.withColumn("rank", rank).select("occ_id", "word", "family_score", "surface_score", "rank")
+    rows = rows.withColumn("spelled", F.max("lp").over(fam))
+    rows = rows.withColumn("family_score", F.max(F.col("spelled") + 0.35 * F.col("log_score") + bonus).over(fam))
+    rows = rows.withColumn("surface_score", 0.30 * F.coalesce("share", F.lit(0.0)) + 0.70 * F.col("edit_score") + bonus)
+    open_ = rows.where("any_score").withColumn("first", F.min("came").over(fam)).withColumn("r", F.row_number().over(fam.orderBy(F.desc("surface_score"), "came"))).where("r = 1")
+    open_ = open_.withColumn("rank", F.row_number().over(occ.orderBy(F.desc_nulls_last("family_score"), "first")))
+    out = ["occ_id", "word", "family_score", "surface_score", "rank"]
+    kept = rows.where("not any_score").select("occ_id", "word", F.col("lp").alias("family_score"), F.col("edit_score").alias("surface_score"), F.col("came").alias("rank"))
+    return open_.select(out).unionByName(kept)
 
 
 def accepted_words(tokens: DataFrame, lists: DataFrame, check_case: bool = True) -> DataFrame:

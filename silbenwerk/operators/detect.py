@@ -129,8 +129,9 @@ def known_nonword_typos(words: DataFrame, typos: DataFrame, lexicon: DataFrame)
 def suspicious_compounds(words: DataFrame, lexicon: DataFrame, freq: DataFrame) -> DataFrame:
     """Compounds that are more likely a misspelling.
 
-    Glued function words, or a lexicon word within one edit or rewrite and a small weighted
-    distance. Neighbours come from deletion keys of words and lexicon, not from probing all edits.
+    Glued function words before a word or compound, or a lexicon word within one edit or rewrite and
+    a small weighted distance; where corpus evidence is asked for, an attested compound will do too.
+    Neighbours come from deletion keys of words and lexicon, not from probing all edits.
     """
     from .candidates import fuzzy_join, rewrite_forms
 
@@ -139,14 +140,20 @@ def suspicious_compounds(words: DataFrame, lexicon: DataFrame, freq: DataFrame)
     attested = freq.select(F.col("word").alias("low"), "n", "has_title")
     rows = rows.join(attested, "low", "left").where((F.coalesce("n", F.lit(0)) < 3) & ~(w.rlike(r"^\p{Lu}") & F.coalesce("has_title", F.lit(False)))).select("word", "low")
     glued = rows.select("word", F.explode(F.array_compact(F.array(*[F.when(F.startswith("low", F.lit(g)) & (F.length("low") - len(g) >= 3), F.substring("low", len(g) + 1, 1000)) for g in K.GLUED]))).alias("tail"))
-    glued = glued.join(lexicon.select(F.col("word").alias("tail")), "tail", "left_semi").select("word")
-    lex = lexicon.select("word").where((w == F.lower(w)) | (w == title(w)))
-    near = fuzzy_join(rows.select(F.col("low").alias("word")), lex.select(F.lower(w).alias("word")).distinct(), 1).select(F.col("word").alias("low"), F.col("cand"), F.lit(True).alias("free"))
-    forms = rewrite_forms(rows.select(F.col("low").alias("word")))
-    rewrites = forms.join(lex.select(F.lower(w).alias("form")).distinct(), "form", "left_semi").select(F.col("word").alias("low"), F.col("form").alias("cand"), ((F.col("cost") <= 0.55) & (F.length("form") != F.length("word"))).alias("free"))
-    pairs = near.union(rewrites).where(~inflection_variants(F.col("low"), F.col("cand")))
-    pairs = pairs.join(freq.select(F.col("word").alias("cand"), F.col("n").alias("cn")), "cand", "left").withColumn("cn", F.coalesce("cn", F.lit(0)))
-    pairs = pairs.where(F.col("free") | (F.col("cn") >= 2))
+    tails = lexicon.select("word").union(valid_compounds(glued.select(F.col("tail").alias("word")), lexicon)).select(F.col("word").alias("tail")).distinct()
+    glued = glued.join(tails, "tail", "left_semi").select("word")
+    lex = lexicon.select("word").where((w == F.lower(w)) | (w == title(w))).select(F.lower(w).alias("form")).distinct()
+    known = freq.select(F.col("word").alias("cand"), F.col("n").alias("cn"))
+    near = fuzzy_join(rows.select(F.col("low").alias("word")), lex.select(F.col("form").alias("word")), 1).select(F.col("word").alias("low"), "cand", F.lit(None).cast("boolean").alias("free"))
+    # a form that a rewrite makes is judged as such, also where a single edit makes it
+    every = cut(rewrite_forms(rows.select(F.col("low").alias("word"))).select(F.col("word").alias("low"), F.col("form").alias("cand"), ((F.col("cost") <= 0.55) & (F.length("form") != F.length("word"))).alias("free")))
+    forms = cut(every.where(~inflection_variants(F.col("low"), F.col("cand"))).join(known, "cand", "left").withColumn("cn", F.coalesce("cn", F.lit(0))).where(F.col("free") | (F.col("cn") >= 2)))
+    # attested compounds will do where corpus evidence is asked for
+    bound = forms.where(~F.col("free")).select("cand").distinct()
+    built = valid_compounds(bound.select(F.explode(F.array("cand", title(F.col("cand")))).alias("word")), lexicon).select(F.lower("word").alias("form")).distinct()
+    listed = forms.join(lex.withColumnRenamed("form", "cand"), "cand", "left_semi").union(forms.where(~F.col("free")).join(built.withColumnRenamed("form", "cand"), "cand", "left_semi")).distinct()
+    single = near.where(~inflection_variants(F.col("low"), F.col("cand"))).join(every.select("low", "cand"), ["low", "cand"], "left_anti").select("low", "cand", F.lit(True).alias("free"), F.lit(0).cast("long").alias("cn"))
+    pairs = listed.select("low", "cand", "free", "cn").union(single)
     limit = F.when(~F.col("free") & (F.col("cn") >= 30), 1.20).otherwise(1.05)
     hit = pairs.where(weighted_distance(F.col("low"), F.col("cand")) <= limit).select("low").distinct()
     return glued.union(rows.join(hit, "low", "left_semi").select("word")).distinct()
@@ -161,11 +168,10 @@ def verdicts(words: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None
         ignored = ignored.union(matches_list(words, listed)).distinct()
     open_ = words.join(ignored, ["word", "is_first"], "left_anti")
     direct = lookup_words(open_, lexicon)
-    if typos is not None:
-        open_ = open_.join(known_nonword_typos(open_, typos, lexicon), ["word", "is_first"], "left_anti")
-    left = cut(open_.join(direct, ["word", "is_first"], "left_anti"))
-    bases = left.select(F.explode(F.array_compact(F.array(w, F.when(F.col("is_first"), lower_first(w)), F.when(F.lit(not check_case), other_case(w)), F.regexp_extract(w, "(?i)^(.{2,})'(?:s|n)$", 1), F.regexp_extract(w, "^(.+)-$", 1)))).alias("word"))
-    parts = left.where(F.contains(w, F.lit("-"))).select(F.explode(F.split(w, "-")).alias("word"))
+    missed = cut(open_.join(direct, ["word", "is_first"], "left_anti"))
+    left = missed if typos is None else cut(missed.join(known_nonword_typos(missed, typos, lexicon), ["word", "is_first"], "left_anti"))
+    bases = missed.select(F.explode(F.array_compact(F.array(w, F.when(F.col("is_first"), lower_first(w)), F.when(F.lit(not check_case), other_case(w)), F.regexp_extract(w, "(?i)^(.{2,})'(?:s|n)$", 1), F.regexp_extract(w, "^(.+)-$", 1)))).alias("word"))
+    parts = missed.where(F.contains(w, F.lit("-"))).select(F.explode(F.split(w, "-")).alias("word"))
     compounds = valid_compounds(bases.union(parts).where("word <> ''"), lexicon)
     good = valid_apostrophe(left, lexicon, compounds).union(valid_hyphenated(left.where(~F.endswith(w, F.lit("-"))), lexicon, compounds, check_case)).union(valid_trailing_hyphen(left, lexicon, compounds))
     whole = left.where(~F.endswith(w, F.lit("-")))
@@ -175,7 +181,8 @@ def verdicts(words: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None
     good = good.union(by_compound)
     if not check_case:
         rest = F.substring("word", 2, 1000)
-        turned = left.where(rest == F.lower(rest)).withColumn("turn", other_case(w))
+        # also of known typos, but not of words that end in a hyphen
+        turned = missed.where((rest == F.lower(rest)) & ~F.endswith(w, F.lit("-"))).withColumn("turn", other_case(w))
         ok = lookup_words(turned.select(F.col("turn").alias("word"), "is_first"), lexicon).select(F.col("word").alias("turn"), "is_first")
         good = good.union(turned.join(ok, ["turn", "is_first"], "left_semi").select("word", "is_first")).union(turned.join(compounds.select(F.col("word").alias("turn")), "turn", "left_semi").select("word", "is_first"))
     correct = ignored.union(direct).union(good).distinct().withColumn("correct", F.lit(True))

@@ -1,12 +1,13 @@
 """Scoring and ranking of candidates."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.scalars import cologne_phonetic, common_prefix_len, common_suffix_len, is_caps, is_title, key_bounce, title, upper_first, weighted_distance
+from ..sharing import cut
+from .context import Scorer, fuse_scores, score_in_context
 from .corpus import log_prior
 from .detect import must_be_capitalized
 
@@ -50,36 +51,28 @@ def shown(w: Column, c: Column, is_first: Column, must_cap: Column, keep_case: b
     return F.when(is_caps(w) & (F.length(w) > 1), F.upper(c)).when(lift, upper_first(c)).otherwise(c)
 
 
-RANKED = "word string, is_first boolean, noun_signal boolean, suggestion string, rank int, log_posterior double, edit_score double, confidence int, from_user boolean"
+RANKED = ["word", "is_first", "noun_signal", "suggestion", "rank", "log_posterior", "edit_score", "confidence", "from_user"]
 
 
 def rank_candidates(scored: DataFrame, limit: int = 5, keep_case: bool = False) -> DataFrame:
     """The first `limit` by posterior, with the skip, stop and duplicate rules.
 
-    What is skipped depends on what has been chosen, so a group's few rows are scanned in order.
+    Of suggestions that are shown alike the best stays. If the best candidate of all shares four
+    letters at the beginning, those with fewer than two stay only among the first three. After the
+    fifth (for words of 16 letters and more: after the first) what lies too far below the best ends the list.
     """
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["log_posterior", "suggestion"], ascending=[False, True])
-        word, best, strong = group["word"].iloc[0], group["log_posterior"].iloc[0], group["prefix"].iloc[0] >= 4
-        long_, seen, out = len(word) >= 16, set(), []
-        for row in group.itertuples(index=False):
-            if strong and row.prefix < 2 and len(out) >= 3:
-                continue
-            gap = 0.95 if long_ and out else 4.5
-            if len(out) >= (1 if long_ else 5) and best - row.log_posterior > gap:
-                break
-            key = row.suggestion if keep_case else row.suggestion.lower()
-            if key in seen:
-                continue
-            seen.add(key)
-            out.append((row.word, row.is_first, row.noun_signal, row.suggestion, len(out) + 1, row.log_posterior, row.edit_score, row.confidence, row.from_user))
-            if len(out) >= limit:
-                break
-        return pd.DataFrame(out, columns=[x.split()[0] for x in RANKED.split(", ")])
-
-    columns = ["word", "is_first", "noun_signal", "suggestion", "prefix", "log_posterior", "edit_score", "confidence", "from_user"]
-    return scored.select(*columns).groupBy("word", "is_first", "noun_signal").applyInPandas(scan, RANKED)
+    own = ["word", "is_first", "noun_signal"]
+    by_score = Window.partitionBy(*own).orderBy(F.desc("log_posterior"), "suggestion")
+    shown_as = F.col("suggestion") if keep_case else F.lower("suggestion")
+    rows = scored.select(*[c for c in RANKED if c != "rank"], "prefix", shown_as.alias("key"))
+    rows = rows.withColumn("best", F.first("log_posterior").over(by_score)).withColumn("strong", F.first("prefix").over(by_score) >= 4)
+    alike = Window.partitionBy(*own, "key").orderBy(F.desc("log_posterior"), "suggestion")
+    rows = rows.withColumn("copy", F.row_number().over(alike)).where("copy = 1")
+    rows = rows.withColumn("place", F.row_number().over(by_score)).where(~F.col("strong") | (F.col("prefix") >= 2) | (F.col("place") <= 3))
+    rows = rows.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= limit)
+    long_ = F.length("word") >= 16
+    free, gap = F.when(long_, 1).otherwise(5), F.when(long_, 0.95).otherwise(4.5)
+    return rows.where((F.col("rank") <= free) | (F.col("best") - F.col("log_posterior") <= gap)).select(RANKED)
 
 
 def score_candidates(occurrences: DataFrame, candidates: DataFrame, lexicon: DataFrame, freq: DataFrame, keep_case: bool = False) -> DataFrame:
@@ -100,6 +93,23 @@ def suggest(occurrences: DataFrame, candidates: DataFrame, lexicon: DataFrame, f
     return rank_candidates(score_candidates(occurrences, candidates, lexicon, freq), limit).where(F.col("rank") <= show)
 
 
+def suggest_in_context(occurrences: DataFrame, candidates: DataFrame, lexicon: DataFrame, freq: DataFrame, scorer: Scorer | DataFrame, limit: int = 16, show: int = 5) -> DataFrame:
+    """R4 with a context scorer: occ_id, suggestion, rank.
+
+    occurrences(occ_id, word, is_first, noun_signal, context, start, end): start and end are places in
+    the context. `limit` candidates in all their cases are scored in the context and fused; where the
+    context holds no letter besides the word, the order by spelling stays.
+    """
+    ranked = rank_candidates(score_candidates(occurrences, candidates, lexicon, freq, keep_case=True), limit, keep_case=True)
+    pairs = occurrences.join(ranked, ["word", "is_first", "noun_signal"])
+    around = F.concat(F.substring("context", F.lit(1), F.col("start").cast("int")), F.substring("context", (F.col("end") + 1).cast("int"), F.lit(1_000_000)))
+    pairs = cut(pairs.withColumn("open", F.coalesce(around.rlike(r"\p{L}"), F.lit(False))))
+    scored = score_in_context(pairs.where("open").select("occ_id", "context", "start", F.col("suggestion").alias("candidate"), "rank", "edit_score", "log_posterior", "from_user"), scorer)
+    fused = fuse_scores(scored.select("occ_id", F.col("candidate").alias("word"), "edit_score", "log_posterior", "log_score", "from_user", "rank"))
+    out = fused.select("occ_id", F.col("word").alias("suggestion"), "rank").unionByName(pairs.where("not open").select("occ_id", "suggestion", "rank"))
+    return out.where(F.col("rank") <= show)
+
+
 def user_list_view(lists: DataFrame, query: str = "") -> DataFrame:
     """Entries that contain the query, in German order, with the size of their list."""
     sized = lists.join(F.broadcast(lists.groupBy("list_type").agg(F.count("*").alias("entries"))), "list_type")  # one row for each list

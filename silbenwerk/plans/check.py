@@ -36,7 +36,7 @@ def check_text(docs: DataFrame, lexicon: DataFrame, freq: DataFrame, typos: Data
     hits = hits.withColumn("c", local).withColumn("noun_signal", noun_signal(F.col("c.text"), F.col("c.start"))).drop("c", "text")
     hits = cut(hits)
     occurrences = hits.select("word", "is_first", "noun_signal").distinct()
-    candidates = collect_candidates(wrong, lexicon, freq, typos, listed)
+    candidates = collect_candidates(wrong, lexicon, freq, typos, listed, limit)
     ranked = suggest(occurrences, candidates, lexicon, freq, limit, 5)
     lists = ranked.groupBy("word", "is_first", "noun_signal").agg(F.sort_array(F.collect_list(F.struct("rank", "suggestion"))).alias("r")).withColumn("suggestions", F.transform("r", lambda x: x["suggestion"])).drop("r")
     out = hits.join(lists, ["word", "is_first", "noun_signal"], "left").withColumn("suggestions", F.coalesce("suggestions", F.array().cast("array<string>")))

@@ -64,14 +64,24 @@ def read_rule_suggestions(spark: SparkSession, path: str, row_tag: str = "rule")
 LANGUAGE_DATA = "corpus struct<words:map<string,bigint>,totalCount:bigint,lowercaseWords:array<string>,titlecaseWords:array<string>>, typos struct<corrections:map<string,string>>, vocab map<string,int>"
 
 
+def write_language_data(parts: DataFrame, path: str) -> None:
+    """parts(bucket, corpus, typos, vocab): files named by bucket, each a JSON array of the bucket's objects."""
+    rows = parts.select("bucket", F.to_json(F.struct("corpus", "typos", "vocab")).alias("object"))
+    arrays = rows.groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("object"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("bucket").text(path)
+
+
 def read_language_data(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables freq(word, n, has_lower, has_title), freq_totals(total, types), typos, vocab."""
+    """The tables freq(word, n, has_lower, has_title), freq_totals(total, types), typos, vocab.
+
+    One JSON object holds all, or several hold parts (of the words, for instance); totals are summed.
+    """
     data = spark.read.schema(LANGUAGE_DATA).json(path, multiLine=True)
     words = data.select(F.explode("corpus.words").alias("word", "n"))
     lower = data.select(F.explode("corpus.lowercaseWords").alias("word")).distinct().withColumn("has_lower", F.lit(True))
     title = data.select(F.explode("corpus.titlecaseWords").alias("word")).distinct().withColumn("has_title", F.lit(True))
     freq = words.join(lower, "word", "full").join(title, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("has_lower", F.lit(False)).alias("has_lower"), F.coalesce("has_title", F.lit(False)).alias("has_title"))
-    totals = data.select(F.col("corpus.totalCount").alias("total"), F.size("corpus.words").cast("long").alias("types"))
+    totals = data.agg(F.sum("corpus.totalCount").alias("total"), F.sum(F.size(F.coalesce("corpus.words", F.create_map().cast("map<string,bigint>")))).cast("long").alias("types"))
     typos = data.select(F.explode("typos.corrections").alias("typo", "correction")).select(F.lower("typo").alias("typo"), "correction")
     return {"freq": freq, "freq_totals": totals, "typos": typos, "vocab": data.select(F.explode("vocab").alias("piece", "id"))}
 

@@ -2,7 +2,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from silbenwerk import constants as K
 from silbenwerk.functions import scalars as S
+from silbenwerk.functions.distance import weighted_pairs
 from silbenwerk.operators.candidates import rewrites_of
 
 
@@ -24,7 +26,7 @@ def test_restricted_distance(pairs):
 
 
 def test_weighted_distance():
-    near = lambda a, b: round(S.weighted(a, b), 6)
+    near = lambda a, b: round(float(weighted_pairs([a], [b])[0]), 6)
     assert near("haus", "haus") == 0
     assert near("kome", "komme") == 0.35  # a doubled letter is missing
     assert near("zeitrraum", "zeitraum") == 0.35
@@ -34,13 +36,66 @@ def test_weighted_distance():
     assert near("lehnrer", "lehrer") == 1.0
     assert near("hasu", "haus") == 0.45
     assert near("gescihtsausdruck", "gesichtsausdruck") == 0.45
-    assert S.weighted("a", "abcdef") == 999
+    assert near("a", "abcdef") == 999
     assert near("arbeitamt", "arbeitsamt") == 1.0
     assert near("leitungrohr", "leitungsrohr") == 0.45
 
 
-def test_keys():
-    assert S.key_cost("v", "b") == 0.35 and S.key_cost("g", "z") == 0.65 and S.key_cost("a", "p") == 1.0 and S.key_cost("é", "e") == 1.0
+def plain_weighted(a, b):
+    """M2 word by word, from the ends backwards, straight from the rules."""
+    from functools import cache
+
+    place = {ch: (x0 + i, y) for y, (row, x0) in enumerate(K.KEY_ROWS) for i, ch in enumerate(row)}
+
+    def key(x, y):
+        if x not in place or y not in place:
+            return 1.0
+        far = ((place[x][0] - place[y][0]) ** 2 + (place[x][1] - place[y][1]) ** 2) ** 0.5
+        return 0.35 if far <= 1.15 else 0.65 if far <= 1.55 else 1.0
+
+    def doubled(w, i):
+        return w[i] in (w[i - 1:i] or "-", w[i + 1:i + 2] or "-")
+
+    def silent(w, i):
+        return w[i] == "h" and 0 < i < len(w) - 1 and w[i - 1] in "aeiouäöü"
+
+    def link(j):
+        head, rest = b[:j], len(b) - j - 1
+        derived = head.endswith(("heit", "keit", "schaft", "tät", "ling", "ion", "ung")) and not head.endswith(("sprung", "schwung", "dung"))
+        return b[j] == "s" and j >= 3 and rest >= 3 and (head in K.LINK_S_STEMS or derived)
+
+    @cache
+    def rest(i, j):
+        if i == len(a) and j == len(b):
+            return 0.0
+        ways = []
+        if i < len(a):
+            ways.append(rest(i + 1, j) + (0.35 if doubled(a, i) else 0.65 if silent(a, i) else 1.0))
+        if j < len(b):
+            ways.append(rest(i, j + 1) + (0.35 if doubled(b, j) else 0.45 if link(j) else 0.28 if silent(b, j) else 0.30 if b[j - 1:j + 2] == "hen" and j else 1.0))
+        if i < len(a) and j < len(b):
+            hard = {a[i], b[j]} in ({"b", "p"}, {"d", "t"}, {"g", "k"}) and a[i + 1:] == b[j + 1:] and a[i + 1:] in ("", "s", "e", "en", "er", "es")
+            ways.append(rest(i + 1, j + 1) + (0.0 if a[i] == b[j] else 0.20 if hard else key(a[i], b[j])))
+            if a[i + 1:i + 2] == b[j] and b[j + 1:j + 2] == a[i]:
+                ways.append(rest(i + 2, j + 2) + 0.45)
+            ways += [rest(i + len(x), j + len(y)) + cost for x, y, cost in K.REWRITES if a[i:].startswith(x) and b[j:].startswith(y)]
+        return min(ways)
+
+    return 999.0 if abs(len(a) - len(b)) > 3 else rest(0, 0)
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.tuples(st.text("aehnstdvfiuckzßöl", max_size=7), st.text("aehnstdvfiuckzßöl", max_size=7)), min_size=1, max_size=12), st.sampled_from(["", "amt", "freiheit", "sprung", "beruf"]))
+def test_weighted_distance_equals_plain(pairs, stem):
+    pairs = [(stem + a, stem + b) for a, b in pairs]
+    got = weighted_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(abs(g - plain_weighted(a, b)) < 1e-9 for g, (a, b) in zip(got, pairs))
+
+
+def test_keys(spark):
+    rows = spark.createDataFrame([("v", "b", 0.35), ("g", "z", 0.65), ("a", "p", 1.0), ("é", "e", 1.0), ("ü", "Ü", 0.35)], "a string, b string, want double")
+    got = [r.got for r in rows.select(S.keyboard_distance(F.col("a"), F.col("b")).alias("got")).collect()]
+    assert got[:4] == [0.35, 0.65, 1.0, 1.0]
 
 
 def test_phonetics_and_case(spark):
