@@ -1,6 +1,8 @@
 """A corpus pipeline: quality, near duplicates, repeated passages, mixing, encoding.
 
-Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet in the
+Null, empty and very long texts, ties, repeated rows, empty tables and clashing columns are handled
+as the operators' docstrings say: null and empty texts pass all stages but the mix, which does not
+take documents without words. Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet in the
 shared folder and read again as the next one's docs.
 """
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from silbenwerk.llm.common import Scratch, read_table
 from silbenwerk.llm.jaccard_join import one_of_each
 from silbenwerk.llm.mixing import mixed
-from silbenwerk.llm.pieces import encode
+from silbenwerk.llm.pieces import encode_copies
 from silbenwerk.llm.quality import keep_good
 from silbenwerk.llm.suffix_dedup import without_repeats
 
@@ -36,8 +38,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every document, with digests and the check that decoding gives the text back."""
-    return encode(docs)
+    """Sampled pieces of every row, with digests and the check that decoding gives the text back.
+
+    Rows that the mix took twice or three times are numbered, and each copy gets a sample of its own.
+    """
+    return encode_copies(docs)
 
 
 STAGES = [
