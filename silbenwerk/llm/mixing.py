@@ -89,7 +89,12 @@ def mix(docs: DataFrame, epochs: int = 3, seed: str = "mix-1") -> DataFrame:
 
 
 def mixed(docs: DataFrame, epochs: int = 3, seed: str = "mix-1") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; texts are not shuffled."""
+    """The documents themselves, each as often as the mix takes it; texts are not shuffled.
+
+    The caller's columns travel as one struct, so their names clash with nothing. Sizes, nulls, ties,
+    repeated rows and empty tables are as for `mix`; documents without words are not taken.
+    """
     plan = source_plan(sizes_of(docs, seed), epochs)
-    rows = with_plan(docs.withColumn("draw", drawn(F.col("doc_id"), seed)), plan).where("repeats > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = with_plan(docs.select(drawn(F.col("doc_id"), seed).alias("draw"), "source", row), plan).where("repeats > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy")).select("row.*")

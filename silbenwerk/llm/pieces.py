@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lattice import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
@@ -114,6 +114,44 @@ def chunks(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[tuple
         yield keys, texts
 
 
+def encode_copies(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = 1.0, seed: int = 1) -> DataFrame:
+    """`encode` for documents that repeat: equal rows (doc_id, text) are numbered, and each copy has a sample of its own.
+
+    The columns are those of `encode` without the ids, and copy (0, 1, ...); the first copy's sample is that of `encode`.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    alike = Window.partitionBy("doc_id", "of_text").orderBy(F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("of_text")).withColumn("copy", F.row_number().over(alike) - 1)
+    key = F.when(F.col("copy") == 0, F.coalesce("doc_id", F.lit(0))).otherwise(F.xxhash64("doc_id", "copy"))
+    ids = F.struct(key.alias("key"), "doc_id", "copy")
+    return _encoded(rows.select(ids.alias("ids"), "text"), model, theta, seed)
+
+
+def _encoded(rows: DataFrame, model: str, theta: float, seed: int) -> DataFrame:
+    """rows(ids: key, doc_id, copy; text)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        is_byte = np.zeros(max(vocab.texts) + 1, bool)
+        is_byte[vocab.byte_ids] = True
+        for batch in batches:
+            for ids, texts in chunks(batch):
+                found = encode_texts(texts, [x["key"] for x in ids], vocab, theta, seed)
+                decoded = [b"".join(map(vocab.texts.__getitem__, x.tolist())) for x in found]
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x["doc_id"] for x in ids], pa.int64()),
+                    pa.array([x["copy"] for x in ids], pa.int32()),
+                    pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([int(is_byte[x].sum()) for x in found], pa.int64()),
+                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                    pa.array([a == b for a, b in zip(raw, decoded)]),
+                ], ["doc_id", "copy", "n_pieces", "n_byte_pieces", "piece_sha256", "decoded_sha256", "lossless"])
+
+    return rows.mapInArrow(run, "doc_id long, copy int, n_pieces long, n_byte_pieces long, piece_sha256 string, decoded_sha256 string, lossless boolean")
+
+
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = 1.0, seed: int = 1, with_ids: bool = True) -> DataFrame:
     """One row per document: counts, digests of the pieces and of the decoded text, and piece_ids."""
 

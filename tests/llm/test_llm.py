@@ -332,6 +332,80 @@ def test_mix(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_keeps_clashing_columns(docs):
+    odd = docs.selectExpr("doc_id", "text", "source", "1 AS target", "2 AS limit", "3 AS whole", "4 AS source_size", "5 AS draw", "6 AS repeats", "7 AS copy", "8 AS plan_source", "9 AS size", "null AS `a.b`")
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns and {tuple(r)[3:12] for r in out.collect()} == {tuple(range(1, 10))}
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.repeats
+    assert collections.Counter(r.doc_id for r in out.collect()) == +want
+
+
+@needs_model
+def test_copies_have_samples_of_their_own(spark):
+    text = "the international understanding of remarkable circumstances " * 10
+    rows = spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, text), (None, text), (3, None)], "doc_id long, text string")
+    out = pieces.encode_copies(rows).collect()
+    assert len(out) == 7 and all(r.lossless for r in out) and sorted(r.copy for r in out if r.doc_id == 1) == [0, 1, 2]
+    assert len({r.piece_sha256 for r in out if r.doc_id == 1}) == 3
+    first = {r.doc_id: r.piece_sha256 for r in pieces.encode(rows).collect()}
+    assert all(first[r.doc_id] == r.piece_sha256 for r in out if r.copy == 0)
+
+
+# -- the pipeline
+
+
+@needs_model
+def test_pipeline_stages(docs, spark, tmp_path):
+    """Every stage against what it should keep, judged on its own input; then run() as a whole."""
+    import corpus_pipeline
+
+    marks = [(i, int(i % 4 > 0), 0) for i in range(100, 400)]
+    more = [(i, (" " if i % 4 else " | ").join(f"wort{x}" for x in np.random.default_rng(i).integers(0, 5000, 60)), "de", f"s{i % 3}", 0) for i in range(100, 400)]
+    table = docs.unionByName(spark.createDataFrame(more, DOCS))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage, before = dict(corpus_pipeline.STAGES), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    for n, (name, step) in enumerate(corpus_pipeline.STAGES):
+        after = step(spark, before, str(tmp_path))
+        had = rows(before)
+        if n < 4:
+            assert after.columns == docs.columns, name
+            got = rows(after)
+        if name == "quality":
+            good = {(r.doc_id, r.predicted) for r in quality.score_quality(before, labels).collect()}
+            assert got == collections.Counter({k: v for k, v in had.items() if (k[0], 1) in good})
+            assert all((i, 1) in good for i, q, _ in marks if q)
+        elif name == "near_duplicates":
+            comp = {}
+            for k, size, _, c in brute_links(list(had.elements())):
+                comp.setdefault(k, set()).add((c, size))
+            kept = [k for k in got if k[1] and k[1].strip()]
+            assert sum(1 for k in got.elements() if not (k[1] or "").strip(" \t\n")) == sum(1 for k in had.elements() if not (k[1] or "").strip(" \t\n"))
+            assert not got - had and len({c for c, _ in set().union(*comp.values())}) >= len(kept) > 0
+            assert {n for _, _, n, _ in brute_links(list(got.elements()))} == {0}
+        elif name == "repeated_passages":
+            whole = repeats([(t or "").encode() for _, t in had.elements()])
+            assert sum(len((t or "").encode()) for _, t in got.elements()) == sum(a - b for a, b, _, _ in whole)
+        elif name == "mixture":
+            want = collections.Counter()
+            for r in mixing.mix(before).collect():
+                want[r.doc_id] += r.repeats
+            assert collections.Counter(k for k, _ in got.elements()) == +want
+        else:
+            out = after.collect()
+            assert collections.Counter(r.doc_id for r in out) == collections.Counter(k for k, _ in had.elements()) and all(r.lossless for r in out)
+        if n < 4:
+            path = str(tmp_path / f"stage{n}")
+            after.write.parquet(path)
+            before = spark.read.parquet(path)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
+    assert stage["pieces"](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 # -- media
 
 
