@@ -1,4 +1,4 @@
-"""M2: the weighted distance of many pairs at once.
+"""M2: the weighted distance of many pairs at once, and with it M7: what two words share at their ends.
 
 Pairs of like lengths form a block. What a letter costs that is missing, too many or another one is
 set down for the whole block first, as arrays; the table of distances is then pulled cell by cell
@@ -11,7 +11,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import constants as K
 
@@ -163,3 +163,28 @@ def weighted_distance(typed: pd.Series, meant: pd.Series) -> pd.Series:
     if good.any():
         out[good] = weighted_pairs(typed[good].tolist(), meant[good].tolist())
     return pd.Series(out).astype("float64").where(good, None)
+
+
+SOUNDS_ALIKE = [("k", "c"), ("c", "k"), ("ph", "f"), ("f", "ph"), ("v", "f"), ("f", "v")]
+
+
+def shared_ends(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """M7: letters shared at the beginning (a first sound that is only written in another way counts 0.7) and at the end."""
+    def heads(x: list[str], y: list[str]) -> np.ndarray:
+        p, q = letters(x, -1), letters(y, -2)
+        width = min(p.shape[1], q.shape[1])
+        return np.cumprod(p[:, :width] == q[:, :width], axis=1).sum(1) if width else np.zeros(len(x), np.int64)
+
+    head = heads(a, b).astype(float)
+    rest = heads([w[1:] for w in a], [w[1:] for w in b])
+    alike = np.array([any(x.startswith(p) and y.startswith(q) for p, q in SOUNDS_ALIKE) for x, y in zip(a, b)], bool)
+    head = np.where((head == 0) & alike & (rest >= 1), rest + 1 - 0.3, head)
+    return head, heads([w[::-1] for w in a], [w[::-1] for w in b]).astype(float)
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("m2", "prefix", "tail")]))
+def pair_measures(typed: pd.Series, meant: pd.Series) -> pd.DataFrame:
+    """M2 and both numbers of M7 for lower-cased words, which are not null."""
+    a, b = typed.tolist(), meant.tolist()
+    head, tail = shared_ends(a, b)
+    return pd.DataFrame({"m2": weighted_pairs(a, b), "prefix": head, "tail": tail})

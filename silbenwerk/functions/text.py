@@ -133,7 +133,7 @@ def local_context(text: Column, start: Column, end: Column, radius: int = 280) -
     """struct(text, start, end): the slice around a token up to the nearest terminators."""
     hard = F.greatest(F.lit(0), start - radius)
     before = F.substring(text, (hard + 1).cast("int"), (start - hard).cast("int"))
-    left = F.regexp_extract(before, r"([^.!?…\r\n]*)$", 1)
+    left = F.element_at(F.split(before, r"[.!?…\r\n]"), -1)
     after = F.substring(text, (end + 1).cast("int"), F.lit(radius))
     right = F.regexp_extract(after, r"^([^.!?…\r\n]*[.!?…\r\n]?)", 1)
     word = F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))

@@ -33,14 +33,15 @@ def fuzzy_join(words: DataFrame, lexicon: DataFrame, d: int, n: int | None = Non
     """K1: word, cand, distance: lexicon words within restricted edit distance d, first letter in any case.
 
     Two strings within distance d share a key with at most d letters of their beginnings deleted, and
-    their lengths differ by d at most, so an equi-join on key and length finds all pairs: a busy
-    beginning is split by length. The built-in distance thins them before the exact test.
+    their lengths differ by d at most, so an equi-join on key and a class of d + 1 lengths finds all
+    pairs: a busy beginning is split by length. The built-in distance thins them before the exact test.
     """
-    lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("word") - d), F.length("word") + d)).alias("size")
+    classed = lambda n: F.floor(n / (d + 1)).cast("int")
+    lengths = F.explode(F.sequence(classed(F.length("word") - d), classed(F.length("word") + d))).alias("size")
     left = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), d)).alias("key")).select("word", "key", lengths)
-    right = lexicon.select(F.col("word").alias("cand")).distinct().select("cand", F.length("cand").alias("size"), F.explode(deletion_keys(F.col("cand"), d)).alias("key"))
+    right = lexicon.select(F.col("word").alias("cand")).distinct().select("cand", classed(F.length("cand")).alias("size"), F.explode(deletion_keys(F.col("cand"), d)).alias("key"))
     # a swap counts as two built-in edits, another case of the first letter as one
-    near = F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d + 1) >= 0
+    near = (F.abs(F.length("word") - F.length("cand")) <= d) & (F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d + 1) >= 0)
     pairs = left.join(right, ["key", "size"]).where(near).select("word", "cand").distinct()
     found = pairs.withColumn("distance", osa_any("word", "cand")).where(F.col("distance") <= d)
     if n is None:

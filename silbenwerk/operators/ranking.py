@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.scalars import cologne_phonetic, common_prefix_len, common_suffix_len, is_caps, is_title, key_bounce, title, upper_first, weighted_distance
+from ..functions.distance import pair_measures
+from ..functions.scalars import cologne_phonetic, is_caps, is_title, key_bounce, title, upper_first
 from ..sharing import cut
 from .context import Scorer, fuse_scores, score_in_context
 from .corpus import log_prior
@@ -13,30 +14,36 @@ from .detect import must_be_capitalized
 
 
 def log_likelihood(pairs: DataFrame) -> DataFrame:
-    """pairs(word, is_first, noun_signal, cand, cost, rewritten, known, must_cap) with `prefix` and `log_error`."""
+    """pairs(word, is_first, noun_signal, cand, cost, rewritten, known, must_cap) with `prefix` and `log_error`.
+
+    Distances and shared ends are found once for each pair in lower case, sounds once for each word.
+    """
     w, c = F.col("word"), F.col("cand")
     q, k = F.lower(w), F.lower(c)
     acronym = (F.length(c) >= 2) & (c == F.upper(c))
     caps = is_caps(w) & (F.length(w) > 1)
-    pairs = pairs.withColumn("m2", F.when(q == k, F.lit(0.0)).otherwise(weighted_distance(q, k)))
+    sounds = pairs.select(q.alias("low")).union(pairs.select(k)).distinct().select("low", cologne_phonetic(F.col("low")).alias("sound"))
+    measured = pairs.select(q.alias("q"), k.alias("k")).distinct().withColumn("m", pair_measures("q", "k"))
+    measured = measured.join(sounds.toDF("q", "pq"), "q").join(sounds.toDF("k", "pk"), "k").select("q", "k", "m.*", "pq", "pk")
+    pairs = pairs.withColumn("q", q).withColumn("k", k).join(measured, ["q", "k"])
     ends = lambda a, b: F.endswith(k, F.lit(a)) & F.endswith(q, F.lit(b))
     missing = (F.length(k) > F.length(q)) & (k.rlike(r"(.)\1") | (F.contains(k, F.lit("ch")) & ~F.contains(q, F.lit("ch"))) | ends("nung", "ung") | ends("en", "n") | ends("el", "l") | ends("er", "r"))
     add = lambda condition, x: F.when(condition, x).otherwise(0.0)
-    pq, pk = cologne_phonetic(q), cologne_phonetic(k)
+    pq, pk = F.col("pq"), F.col("pk")
     same = F.when(acronym & ~caps, -2.5).otherwise(0.5)
     other = (-2.2 * F.least("cost", "m2") + add(F.col("rewritten"), 0.5) + add(F.col("known"), 8.0) + add(missing, 0.8)
              + add((F.length(q) > F.length(k)) & key_bounce(q, k), 0.8) + add(~acronym & (pq != "") & (pq == pk), 0.9) - add(acronym & ~caps, 3.5))
-    out = pairs.withColumn("prefix", common_prefix_len(q, k)).withColumn("log_error", F.when(q == k, same).otherwise(other))
+    out = pairs.withColumn("log_error", F.when(q == k, same).otherwise(other))
     p, longest = F.col("prefix"), F.greatest(F.length(q), F.length(k))
     ratio, gap = p / F.greatest(F.lit(1), longest), F.abs(F.length(q) - F.length(k))
-    s = common_suffix_len(q, k, p, F.length(c))
+    s = F.when(p + F.col("tail") > F.length(c), F.greatest(F.lit(0.0), F.length(c) - p)).otherwise(F.col("tail"))
     ends_score = F.when(s >= 2, F.when(p > 0, F.least(s * 0.15, F.lit(0.60))).otherwise(F.least(s * 0.08, F.lit(0.25)))).otherwise(0.0)
     first = F.substring(c, 1, 1)
     upper = first == F.upper(first)
     case = (F.when(F.col("must_cap"), F.when(upper, 0.3).otherwise(-0.2)).when(is_title(w), F.when(upper, 0.3).otherwise(-0.3))
             .when(~F.col("is_first") & (first == F.lower(first)), 0.2).otherwise(0.0))
     total = F.col("log_error") + add(p >= 2, p * 0.25) + add((p >= 2) & (ratio >= 0.55), (ratio - 0.5) * 2) + F.when((gap == 0) & (p >= 3), 0.35).when(gap > 3, -(gap - 3) * 0.30).otherwise(0.0) + ends_score + case
-    return out.withColumn("log_error", total).drop("m2")
+    return out.withColumn("log_error", total).drop("q", "k", "m2", "tail", "pq", "pk")
 
 
 def log_posterior(pairs: DataFrame) -> DataFrame:
@@ -77,8 +84,9 @@ def rank_candidates(scored: DataFrame, limit: int = 5, keep_case: bool = False)
 
 def score_candidates(occurrences: DataFrame, candidates: DataFrame, lexicon: DataFrame, freq: DataFrame, keep_case: bool = False) -> DataFrame:
     """R1 and R2 for occurrences(word, is_first, noun_signal) and their candidates."""
+    candidates = cut(candidates)  # used three times
     pairs = occurrences.select("word", "is_first", "noun_signal").distinct().join(candidates, ["word", "is_first"])
-    cands = candidates.select(F.col("cand").alias("word")).distinct()
+    cands = cut(candidates.select(F.col("cand").alias("word")).distinct())
     caps = must_be_capitalized(cands, lexicon, freq).withColumnRenamed("word", "cand")
     nouns = lexicon.where(F.col("flags").bitwiseAND(K.NOUN) != 0).select(F.col("word").alias("noun")).distinct().withColumn("is_noun", F.lit(True))
     prior = log_prior(cands, freq).withColumnRenamed("word", "cand")

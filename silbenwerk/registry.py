@@ -759,7 +759,7 @@ def _(spark, d):
 
 def ranked(spark, d) -> DataFrame:
     lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
-    rows = rare(spark, d)
+    rows = cut(rare(spark, d))
     found = C.collect_candidates(rows, lex, fr, cut(corpus_typos(spark, d)), cut(user_words(spark, d)))
     return R.score_candidates(rows.withColumn("noun_signal", F.lit(False)), found, lex, fr)
 
