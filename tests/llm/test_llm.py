@@ -344,7 +344,7 @@ def test_mixed_keeps_clashing_columns(docs):
 
 @needs_model
 def test_copies_have_samples_of_their_own(spark):
-    text = "the international understanding of remarkable circumstances " * 10
+    text = "the international understanding of remarkable circumstances " * 200
     rows = spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, text), (None, text), (3, None)], "doc_id long, text string")
     out = pieces.encode_copies(rows).collect()
     assert len(out) == 7 and all(r.lossless for r in out) and sorted(r.copy for r in out if r.doc_id == 1) == [0, 1, 2]
