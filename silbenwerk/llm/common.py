@@ -17,10 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one only where none is configured (tests)."""
+    """The folder that all machines share; a local one only on a local master where none is configured (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -29,7 +31,9 @@ ROWS_A_FILE = 200_000
 
 
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder until nothing refers to them.
+    """The rows of df, computed once and kept in the shared folder.
+
+    Spark removes them there when nothing refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is set.
 
     most_rows, where a bound is known: small tables then fill a few files, not one per task.
     """
