@@ -16,38 +16,73 @@ from ..sharing import cut
 from .context import viable_head
 from .detect import compound_prefixes, lookup_words, valid_compounds
 
-PREFIX = 7  # letters of a word from which deletion keys are made
 
+def _without_one(part: Column) -> Column:
+    """The part with one of its letters left out, in all ways; an empty part stays."""
+    ways = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), lambda i: F.concat(F.substring(part, F.lit(1), i - 1), F.substring(part, i + 1, F.length(part))))
+    return F.array_distinct(ways)
 
-def deletion_keys(w: Column, d: int) -> Column:
-    """All strings that arise from the first letters by deleting up to d of them."""
-    start = F.array(F.substring(F.lower(w), 1, PREFIX))
-    out, last = start, start
-    for _ in range(d):
-        last = F.array_distinct(F.flatten(F.transform(last, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), (i - 1).cast("int")), F.substring(s, (i + 1).cast("int"), F.lit(PREFIX)))))))
-        out = F.concat(out, last)
-    return F.array_distinct(out)
+
+def typed_keys(words: DataFrame, d: int) -> DataFrame:
+    """low -> low, size, side, key: what a half of a word of `size` letters within distance d may look like.
+
+    Cut the meant word in two: one half is reached with d // 2 edits at most. A swap across the cut
+    changes a letter in either half, so for odd d the left half is also tried with the swap made.
+    """
+    spare = d // 2
+    low, m, size, half = F.col("low"), F.length("low"), F.col("size"), F.floor(F.col("size") / 2).cast("int")
+    rows = words.select("low", F.explode(F.sequence(F.greatest(F.lit(1), m - d), m + d)).alias("size"))
+    tries = []
+    for off in range(-spare, spare + 1):
+        left, right = half + off, size - half + off
+        fits = lambda taken, rest, edits: (taken >= 0) & (taken <= m) & (F.abs(m - taken - rest) <= edits)
+        keys = lambda part: _without_one(part) if spare and off >= 0 else F.array(part)
+        tried = lambda side, part: F.struct(F.lit(side).alias("side"), keys(part).alias("keys"))
+        tries.append(F.when(fits(left, size - half, d - abs(off)), tried("l", F.substring(low, F.lit(1), left))))
+        tries.append(F.when(fits(right, half, d - abs(off)), tried("r", F.substring(low, m - right + 1, right))))
+        if d % 2:
+            swapped = F.concat(F.substring(low, F.lit(1), left - 1), F.substring(low, left + 1, F.lit(1)))
+            tries.append(F.when(fits(left, size - half, d - 1 - abs(off)) & (left >= 1) & (left < m), tried("l", swapped)))
+    rows = rows.select("low", "size", F.inline(F.array_compact(F.array(*tries))))
+    return rows.select("low", "size", "side", F.explode("keys").alias("key")).distinct()
+
+
+def meant_keys(lexicon: DataFrame, d: int) -> DataFrame:
+    """cand, meant (its lower-cased form) -> cand, meant, size, side, key."""
+    w, half = F.col("meant"), F.floor(F.length("meant") / 2).cast("int")
+    keys = lambda part: F.array_distinct(F.concat(F.array(part), _without_one(part))) if d > 1 else F.array(part)
+    sides = [F.struct(F.lit(side).alias("side"), keys(part).alias("keys")) for side, part in (("l", F.substring(w, F.lit(1), half)), ("r", F.substring(w, half + 1, F.length(w))))]
+    rows = lexicon.select("cand", "meant", F.length(w).alias("size"), F.inline(F.array(*sides)))
+    return rows.select("cand", "meant", "size", "side", F.explode("keys").alias("key"))
+
+
+def _letter_set(low: str) -> Column:
+    """Bits of the letters of a word: an edit adds one of them and takes one away at the most."""
+    return F.expr(f"aggregate(split({low}, ''), 0L, (bits, c) -> bits | shiftleft(1L, ascii(c) % 64))")
 
 
 def fuzzy_join(words: DataFrame, lexicon: DataFrame, d: int, n: int | None = None) -> DataFrame:
-    """K1: word, cand, distance: lexicon words within restricted edit distance d, first letter in any case.
+    """K1: word, cand, distance: lexicon words within restricted edit distance d (1 to 3), first letter in any case.
 
-    Two strings within distance d share a key with at most d letters of their beginnings deleted, and
-    their lengths differ by d at most, so an equi-join on key and a class of d + 1 lengths finds all
-    pairs: a busy beginning is split by length. The built-in distance thins them before the exact test.
+    An equi-join on the length and one half of the meant word, with a letter left out where a half may
+    hold an edit, finds all pairs; letter sets and the built-in distance thin them before the exact
+    test. Words that differ in the case of their first letter are compared once.
     """
-    classed = lambda n: F.floor(n / (d + 1)).cast("int")
-    lengths = F.explode(F.sequence(classed(F.length("word") - d), classed(F.length("word") + d))).alias("size")
-    left = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), d)).alias("key")).select("word", "key", lengths)
-    right = lexicon.select(F.col("word").alias("cand")).distinct().select("cand", classed(F.length("cand")).alias("size"), F.explode(deletion_keys(F.col("cand"), d)).alias("key"))
-    # a swap counts as two built-in edits, another case of the first letter as one
-    near = (F.abs(F.length("word") - F.length("cand")) <= d) & (F.levenshtein(lower_first(F.col("word")), lower_first(F.col("cand")), 2 * d + 1) >= 0)
-    pairs = left.join(right, ["key", "size"]).where(near).select("word", "cand").distinct()
-    found = pairs.withColumn("distance", osa_any("word", "cand")).where(F.col("distance") <= d)
-    if n is None:
-        return found
-    rank = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.abs(F.length("cand") - F.length("word")), "cand"))
-    return found.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+    if not 1 <= d <= 3:
+        raise ValueError("d is 1, 2 or 3")
+    typed = words.select("word", lower_first(F.col("word")).alias("typed")).distinct()
+    once = typed.select("typed", F.lower("typed").alias("low")).distinct()
+    left = typed_keys(once.select("low").distinct(), d).withColumn("has", _letter_set("low"))
+    right = meant_keys(lexicon.select(F.col("word").alias("cand")).distinct().withColumn("meant", F.lower("cand")), d).withColumn("wants", _letter_set("meant"))
+    more = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) <= d
+    # a swap counts as two built-in edits
+    near = more("has", "wants") & more("wants", "has") & (F.levenshtein("low", "meant", 2 * d) >= 0)
+    pairs = left.join(right, ["size", "side", "key"]).where(near).select("low", "cand").distinct()
+    found = once.join(pairs, "low").select("typed", "cand").withColumn("distance", osa_any("typed", "cand")).where(F.col("distance") <= d)
+    if n is not None:
+        rank = F.row_number().over(Window.partitionBy("typed").orderBy("distance", F.abs(F.length("cand") - F.length("typed")), "cand"))
+        found = found.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+    return typed.join(found, "typed").select("word", "cand", "distance")
 
 
 def search_forms(words: DataFrame) -> DataFrame:
@@ -170,7 +205,7 @@ def synthesize_compounds(words: DataFrame, lexicon: DataFrame, freq: DataFrame,
 def user_list_candidates(words: DataFrame, listed: DataFrame) -> DataFrame:
     """K7: words of the user's list: same word in another case 0.1, one edit 0.35, two 1.10.
 
-    Deletion keys stand for comparing every word with the whole list.
+    The fuzzy join stands for comparing every word with the whole list.
     """
     w = F.col("word")
     entries = listed.select(F.col("word").alias("entry"), F.lower("word").alias("low")).distinct()

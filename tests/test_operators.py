@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -90,6 +91,28 @@ def test_fuzzy_join_equals_brute_force(spark):
         assert {(r.word, r.cand) for r in got.collect()} == want
 
 
+def test_fuzzy_join_finds_swaps_across_halves(spark):
+    from silbenwerk.functions.scalars import restricted
+
+    draw = random.Random(3)
+    words, lex = {"", "ß", "Äab"}, set()
+    for _ in range(200):
+        w = "".join(draw.choice("abcÄäß") for _ in range(draw.randint(1, 9)))
+        words.add(w)
+        other = list(w)
+        for _ in range(draw.randint(1, 3)):
+            i = draw.randrange(len(other) + 1)
+            other[i:i + 2] = draw.choice([other[i:i + 2][::-1], other[i + 1:i + 2], ["x", *other[i:i + 2]], ["y"]])
+        lex.add("".join(other))
+    lex = sorted(lex - {""})
+    pairs = list(itertools.product(sorted(words), lex))
+    distance = restricted([w for w, _ in pairs], [c for _, c in pairs], blind_first=True)
+    for d in (1, 2, 3):
+        got = C.fuzzy_join(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(c,) for c in lex], "word string"), d)
+        want = sorted((w, c, int(x)) for (w, c), x in zip(pairs, distance) if x <= d)
+        assert rows(got, "word", "cand", "distance") == want
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
