@@ -56,27 +56,27 @@ def meant_keys(lexicon: DataFrame, d: int) -> DataFrame:
     return rows.select("cand", "meant", "size", "side", F.explode("keys").alias("key"))
 
 
-def _letter_set(low: str) -> Column:
-    """Bits of the letters of a word: an edit adds one of them and takes one away at the most."""
-    return F.expr(f"aggregate(split({low}, ''), 0L, (bits, c) -> bits | shiftleft(1L, ascii(c) % 64))")
+def _letter_bag(low: str) -> Column:
+    """Bits of the letters that a word holds once and twice: an edit sets one of them and clears one at the most."""
+    return F.expr(f"aggregate(transform(split({low}, ''), c -> shiftleft(1L, ascii(c) % 32)), 0L, (bits, bit) -> bits | if(bits & bit = 0, bit, shiftleft(bit, 32)))")
 
 
 def fuzzy_join(words: DataFrame, lexicon: DataFrame, d: int, n: int | None = None) -> DataFrame:
     """K1: word, cand, distance: lexicon words within restricted edit distance d (1 to 3), first letter in any case.
 
     An equi-join on the length and one half of the meant word, with a letter left out where a half may
-    hold an edit, finds all pairs; letter sets and the built-in distance thin them before the exact
-    test. Words that differ in the case of their first letter are compared once.
+    hold an edit, finds all pairs; bags of letters thin them before the exact test. Words that differ in the case of their first letter are compared once.
     """
     if not 1 <= d <= 3:
         raise ValueError("d is 1, 2 or 3")
     typed = words.select("word", lower_first(F.col("word")).alias("typed")).distinct()
     once = typed.select("typed", F.lower("typed").alias("low")).distinct()
-    left = typed_keys(once.select("low").distinct(), d).withColumn("has", _letter_set("low"))
-    right = meant_keys(lexicon.select(F.col("word").alias("cand")).distinct().withColumn("meant", F.lower("cand")), d).withColumn("wants", _letter_set("meant"))
+    left = typed_keys(once.select("low").distinct(), d).withColumn("has", _letter_bag("low"))
+    right = meant_keys(lexicon.select(F.col("word").alias("cand")).distinct().withColumn("meant", F.lower("cand")), d).withColumn("wants", _letter_bag("meant"))
     more = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) <= d
-    # a swap counts as two built-in edits
-    near = more("has", "wants") & more("wants", "has") & (F.levenshtein("low", "meant", 2 * d) >= 0)
+    near = more("has", "wants") & more("wants", "has")
+    if d == 1:  # a swap counts as two built-in edits; beyond one edit this bound thins too little to pay
+        near &= F.levenshtein("low", "meant", 2) >= 0
     pairs = left.join(right, ["size", "side", "key"]).where(near).select("low", "cand").distinct()
     found = once.join(pairs, "low").select("typed", "cand").withColumn("distance", osa_any("typed", "cand")).where(F.col("distance") <= d)
     if n is not None:
