@@ -9,12 +9,14 @@ Equal vectors of a label are one class, so only different vectors enter the grap
    reverse neighbours the local join compares all of them with each other and offers each one its
    best; lists keep the best `k`. Rounds end when few entries change. Reverse lists are bounded by
    drawing from them with a hash, as the method has it; what is lost there only delays a pair.
-3. Enlarging: a list full of links (cosine >= threshold) may hide more. Saturated classes become a
-   stated query set that is compared with all classes of their label, in blocks, exactly; a block
-   sends back numbers of links and a spanning forest, never the pairs.
-4. Audit: a fixed share of the classes is compared exactly the same way, and the recall of the
-   graph's links on it is reported. If it is below `least_recall`, lists are doubled and the
-   descent goes on; after `max_rounds` such steps every class becomes a query.
+3. Enlarging: a list full of links (cosine >= threshold) may hide more. Such saturated lists are
+   doubled and the descent goes on around them alone, until no list is saturated or lists hold
+   `widest` entries. Classes saturated even then have more links than a list should hold: they
+   become a stated query set that is compared with all classes of their label, in blocks, exactly;
+   a block sends back numbers of links and a spanning forest, never the pairs.
+4. Audit: one class in `audit` is compared exactly the same way, and the recall of the graph's
+   links on it, enlarged lists included, is reported. If it is below `least_recall`, all lists are
+   doubled and the descent goes on; after `max_rounds` such steps every class becomes a query.
 5. Links are the graph's edges at or above the threshold, from either side, in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
@@ -82,22 +84,51 @@ def _start(k: int, block: int):
 
 
 def _local_join(k: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """The centre's neighbours, both ways, meet each other."""
-        group = group.drop_duplicates("node").sort_values("node")
-        ids, x = group["node"].to_numpy(), _unit(group["unit"].tolist())
-        if len(ids) < 2:
-            return no_rows("u", "v", "sim")
-        u, v, s = _best(x @ x.T, ids, max(2, k // 2))
-        return pd.DataFrame({"u": u, "v": v, "sim": s})
+    """Rows (u, node, unit, wide), sorted by u: the neighbours of a centre u, both ways, meet each other.
+
+    wide: how many a class with an enlarged list is offered; -1 in all rows while no list is enlarged.
+    """
+
+    def offers(ids: np.ndarray, units: list[bytes], wide: np.ndarray) -> tuple | None:
+        most = int(wide.max())
+        if len(ids) < 2 or most == 0:
+            return None
+        x = _unit(units)
+        if most < 0:
+            return _best(x @ x.T, ids, max(2, k // 2))
+        u, v, s = _best(x @ x.T, ids, most)
+        mine = np.repeat(wide > 0, min(most, len(ids) - 1))
+        return u[mine], v[mine], s[mine]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, units = [np.zeros(0, np.int64)] * 3, []
+
+        def meet(bounds) -> Iterator[pa.RecordBatch]:
+            found = [offers(held[1][i:j], units[i:j], held[2][i:j]) for i, j in bounds]
+            found = [x for x in found if x is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["u", "v", "sim"])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("u", "node", "wide"))]
+            units = units + batch.column("unit").to_pylist()
+            at = [0, *(np.flatnonzero(np.diff(held[0])) + 1).tolist()]
+            yield from meet(zip(at, at[1:]))
+            held, units = [h[at[-1]:] for h in held], units[at[-1]:]  # the last centre may go on
+        if units:
+            yield from meet([(0, len(units))])
 
     return run
 
 
-def _keep_best(edges: DataFrame, k: int) -> DataFrame:
+def _keep_best(edges: DataFrame, k: int, wide: DataFrame | None = None) -> DataFrame:
+    """The k best entries of each list; of those in wide(u, wide) as many as stand there."""
     edges = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    most = F.lit(k)
+    if wide is not None:
+        edges, most = edges.join(wide, "u", "left"), F.coalesce("wide", F.lit(k))
+    return edges.withColumn("r", rank).where(F.col("r") <= most).select("u", "v", "sim")
 
 
 def _exact(queries: DataFrame, base: DataFrame, threshold: float, rows: int = 1024) -> DataFrame:
@@ -106,10 +137,12 @@ def _exact(queries: DataFrame, base: DataFrame, threshold: float, rows: int = 10
     Rows (u, n, v): query u has n links (rows counted by class size, itself excluded) in a block;
     (u, 0, v): an edge of the forest.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
+    def parts(df: DataFrame) -> DataFrame:
         n = df.groupBy("group").agg(F.count("*").alias("rows"))
-        parts = df.join(n, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / rows)))
-        return parts.groupBy("group", "part").agg(F.collect_list(F.struct("node", "size", "unit")).alias(name)).drop("part")
+        return df.join(n, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / rows)))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("group", F.col("part").alias(f"{name}_part")).agg(F.collect_list(F.struct("node", "size", "unit")).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,8 +174,13 @@ def _exact(queries: DataFrame, base: DataFrame, threshold: float, rows: int = 10
                     u.append(f[:, 0]), n.append(np.zeros(len(f), np.int64)), v.append(f[:, 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, n, v)], ["u", "n", "v"])
 
-    pairs = blocks(queries, "q").join(blocks(base, "b"), "group").select("q", "b")
-    return pairs.repartition(F.xxhash64("q"), F.xxhash64("b")).mapInArrow(run, "u long, n long, v long")
+    asked, held = parts(queries), parts(base)
+    # numbers of blocks are paired first; the blocks themselves meet in a task for each pair
+    dealt = asked.select("group", F.col("part").alias("q_part")).distinct().join(held.select("group", F.col("part").alias("b_part")).distinct(), "group")
+    dealt = dealt.repartition("group", "q_part", "b_part")
+    pairs = dealt.join(blocks(asked, "q"), ["group", "q_part"]).join(blocks(held, "b"), ["group", "b_part"])
+    spread = F.xxhash64("group", "q_part", "b_part")
+    return pairs.select("q", "b", spread.alias("h")).repartition("h").select("q", "b").mapInArrow(run, "u long, n long, v long")
 
 
 def neighbour_graph(nodes: DataFrame, k: int, rounds: int, tables: int, block: int, start: DataFrame | None = None, seed: int = 11) -> DataFrame:
@@ -172,15 +210,28 @@ def neighbour_graph(nodes: DataFrame, k: int, rounds: int, tables: int, block: i
         # crowded groups are dealt to blocks by hash, differently in each table
         placed = placed.withColumn("part", F.pmod(F.xxhash64("node", "table"), F.ceil(F.col("m") / block)))
         start = placed.groupBy("group", "table", "code", "part").applyInPandas(_start(k, block), FOUND)
-    edges = cut(_keep_best(start, k))
+        start = _keep_best(start, k)
+    return descend(cut(start), nodes, k, rounds)
+
+
+def descend(edges: DataFrame, nodes: DataFrame, k: int, rounds: int, wide: DataFrame | None = None) -> DataFrame:
+    """Better lists from neighbours' neighbours; with wide(u, wide) only the lists named there change, and hold that many."""
     vectors = nodes.select("node", "unit")
     for i in range(rounds):
         back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.xxhash64("u", "v", F.lit(i)).alias("h"))
         back = back.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("h"))).where(F.col("r") <= k).select("u", "v")
         around = edges.select("u", "v").union(back).union(edges.select("u", F.col("u").alias("v"))).distinct()
-        local = around.join(vectors.withColumnRenamed("node", "v"), "v").select("u", F.col("v").alias("node"), "unit")
-        offers = local.groupBy("u").applyInPandas(_local_join(k), FOUND)
-        better = cut(_keep_best(edges.union(offers), k))
+        if wide is not None:
+            # centres without an enlarged list around them have nothing to offer
+            named = wide.withColumnRenamed("u", "v")
+            around = around.join(around.join(named, "v", "left_semi").select("u").distinct(), "u", "left_semi").join(named, "v", "left")
+            most = F.coalesce("wide", F.lit(0))
+        else:
+            most = F.lit(-1)
+        local = around.withColumn("wide", most.cast("long")).join(vectors.withColumnRenamed("node", "v"), "v")
+        local = local.select("u", F.col("v").alias("node"), "unit", "wide").repartition("u").sortWithinPartitions("u", "node")
+        offers = local.mapInArrow(_local_join(k), FOUND)
+        better = cut(_keep_best(edges.union(offers), k, wide))
         changed, total = better.join(edges, ["u", "v"], "left_anti").count(), better.count()
         edges = better
         if changed <= 0.002 * total:
@@ -188,7 +239,22 @@ def neighbour_graph(nodes: DataFrame, k: int, rounds: int, tables: int, block: i
     return edges
 
 
-def near_vector_classes(table: DataFrame, threshold: float = 0.93, k: int = 16, rounds: int = 4, tables: int = 6, block: int = 128, least_recall: float = 0.95, max_rounds: int = 2, audit: int = 50) -> DataFrame:
+def enlarge(edges: DataFrame, nodes: DataFrame, k: int, widest: int, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Double saturated lists up to `widest`: the edges, and (u) of the lists that are full of links even then."""
+    wide, most = None, k
+    while True:
+        links = edges.where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("m"))
+        full = cut(links.where(F.col("m") >= most).select("u"))
+        if most >= widest or full.isEmpty():
+            return edges, full
+        most *= 2
+        now = full.withColumn("wide", F.lit(most))
+        # lists that were enlarged before and are no longer full keep their length
+        wide = cut(now if wide is None else now.union(wide.join(full, "u", "left_anti")))
+        edges = descend(edges, nodes, k, rounds, wide)
+
+
+def near_vector_classes(table: DataFrame, threshold: float = 0.93, k: int = 16, rounds: int = 4, tables: int = 6, block: int = 128, least_recall: float = 0.95, max_rounds: int = 2, audit: int = 20, widest: int = 128) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, recall (of the audited classes)."""
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -209,13 +275,13 @@ def near_vector_classes(table: DataFrame, threshold: float = 0.93, k: int = 16,
         graph, recall = None, 0.0
         for i in range(max_rounds + 1):
             graph = neighbour_graph(nodes, k, rounds, tables, block, graph)
+            graph, full = enlarge(graph, nodes, k, widest, threshold, rounds)
             links = graph.where(F.col("sim") >= threshold)
-            full = links.groupBy("u").agg(F.count("*").alias("m")).where(F.col("m") >= k).select(F.col("u").alias("node"))
-            saturated = cut(nodes.join(full, "node", "left_semi"))
+            saturated = cut(nodes.join(full.withColumnRenamed("u", "node"), "node", "left_semi"))
             both = links.select("u", "v").union(links.select("v", "u")).distinct()
             sizes = nodes.select(F.col("node").alias("v"), "size")
             have = both.join(sizes, "v").groupBy("u").agg(F.sum("size").alias("have"))
-            want = truth.groupBy("u").agg(F.sum("n").alias("want")).where("want > 0").join(full.withColumnRenamed("node", "u"), "u", "left_anti")
+            want = truth.groupBy("u").agg(F.sum("n").alias("want")).where("want > 0").join(full, "u", "left_anti")
             got = want.join(have, "u", "left").agg(F.sum(F.coalesce("have", F.lit(0))).alias("have"), F.sum("want").alias("want")).first()
             recall = 1.0 if not got.want else got.have / got.want
             if recall >= least_recall:
