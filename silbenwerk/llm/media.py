@@ -4,13 +4,14 @@
 media), text (for media its caption) and reference. `resolve` joins the references to stored
 payloads by digest; positions and captions stay with their item. `store_media` makes the payload
 of a text: its UTF-8 bytes, filled with 255 to a positive multiple of `UNIT`, kept losslessly as
-an 8-bit grey PNG of `WIDTH` columns and addressed by the SHA-256 of the stored form.
+an 8-bit grey PNG of `WIDTH` columns and addressed by the SHA-256 of the text.
 
-`media_features` writes the media table to the shared folder, builds each document's sequence by
-way of its HTML, joins references and stored payloads by digest, and describes what it reads back.
-Only digests and features are shuffled, never payloads; a payload is decoded where it is read. A
-digest may be referred to by any share of the documents: features are grouped to one row per
-digest before the join, with a combine on the map side.
+`media_features` writes the media table to the shared folder. A document's page is its lines as
+paragraphs with the figure of its payload in their middle; it is parsed into a sequence, whose
+reference is joined with what the stored payload holds when it is read back. Only digests and
+features are shuffled, never payloads or pages; a payload is decoded where it is read. A digest
+may be referred to by any share of the documents: features are grouped to one row per digest
+before the join, with a combine on the map side.
 
 Defined results: a null text is an empty one and gets one unit of fill; equal texts share a
 payload; rows that repeat are answered each; broken HTML gives what the parser can read; a
@@ -20,7 +21,6 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -155,43 +155,46 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """sequences(page_id, sequence), media(digest, ...): one row per media item with its payload's columns, null if there is none."""
-    items = sequences.select("page_id", F.inline("sequence")).where("kind = 'media'")
+    items = sequences.select("page_id", F.size("sequence").alias("n_items"), F.inline("sequence")).where("kind = 'media'")
     digest = F.when(F.startswith("ref", F.lit("sha256:")), F.substring("ref", 8, 64))
-    items = items.select("page_id", "pos", F.col("text").alias("caption"), digest.alias("digest"))
+    items = items.select("page_id", "n_items", "pos", F.col("text").alias("caption"), digest.alias("digest"))
     return items.join(media, "digest", "left")
 
 
-def document_page(n_bytes: int, digest: str) -> str:
-    """A document's page: a figure that refers to the stored payload, captioned with its length."""
-    return f'<html><body><article><figure><img src="sha256:{html.escape(digest)}"><figcaption>{n_bytes}</figcaption></figure></article></body></html>'
+def document_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, html: the lines of the text as paragraphs, halfway a figure that refers to the payload, captioned with its length in bytes."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(text.cast("binary"), 256), F.lit('"><figcaption>'), F.octet_length(text).cast("string"), F.lit("</figcaption></figure>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), figure.alias("figure"))
+    half = F.ceil(F.size("lines") / 2).cast("int")
+    body = F.concat(F.array_join(F.slice("lines", F.lit(1), half), ""), "figure", F.array_join(F.slice("lines", half + 1, F.size("lines")), ""))
+    return rows.select("doc_id", F.concat(F.lit("<html><body><article>"), body, F.lit("</article></body></html>")).alias("html"))
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, html (which refers to the payload), digest, media."""
+    """One row per document: digest (of its text), media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, pages, digests, media, held = [], [], [], [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1)):
+            digests, media, held = [], [], 0
+            for text in batch.column(0):
                 text = text.as_py() or b""
-                png = to_png(payload_of(text))
-                ids.append(key.as_py())
-                sizes.append(len(text))
-                digests.append(hashlib.sha256(png).hexdigest())
-                pages.append(document_page(len(text), digests[-1]))
-                media.append(png)
-                held += len(png)
+                digests.append(hashlib.sha256(text).hexdigest())
+                media.append(to_png(payload_of(text)))
+                held += len(media[-1])
                 if held > 8_000_000:
-                    yield _stored(ids, sizes, pages, digests, media)
-                    ids, sizes, pages, digests, media, held = [], [], [], [], [], 0
-            if ids:
-                yield _stored(ids, sizes, pages, digests, media)
+                    yield _stored(digests, media)
+                    digests, media, held = [], [], 0
+            if digests:
+                yield _stored(digests, media)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "digest string, media binary")
 
 
-def _stored(ids, sizes, pages, digests, media) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "html", "digest", "media"])
+def _stored(digests: list[str], media: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -212,13 +215,16 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_pos, n_items.
+
+    n_bytes is the figure's caption, media_pos its place among the n_items of the document's sequence.
+    """
     scratch = Scratch(docs.sparkSession)
     try:
         stored = scratch.keep(store_media(docs))
         found = describe(stored).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
-        items = resolve(interleave(stored, "doc_id"), found)
-        out = items.select(F.col("page_id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        items = resolve(interleave(document_pages(docs), "doc_id"), found)
+        out = items.select(F.col("page_id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("media_pos"), "n_items")
         return cut(out)
     finally:
         scratch.drop()
