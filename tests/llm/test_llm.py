@@ -3,9 +3,11 @@ import collections
 import hashlib
 import math
 import os
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,15 +411,34 @@ def test_pipeline_stages(docs, spark, tmp_path):
 # -- media
 
 
-def test_media_features(docs):
-    got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_features(docs).collect())
+def png_samples(stored):
+    width, height = struct.unpack(">II", stored[16:24])
+    at = stored.index(b"IDAT")
+    raw = zlib.decompress(stored[at + 4:at + 4 + struct.unpack(">I", stored[at - 4:at])[0]])
+    return b"".join(raw[i * (width + 1) + 1:(i + 1) * (width + 1)] for i in range(height))
+
+
+def test_media_features(docs, spark):
+    more = spark.createDataFrame([(900, "a < b & c\n\n&amp;amp; <p>\n \nlast"), (901, "\n"), (902, "x" * 575), (903, "y" * 576), (904, "z" * 577)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(more)
+    got = collections.Counter(tuple(r) for r in media.media_features(rows).collect())
     want = collections.Counter()
-    for r in docs.collect():
+    for r in rows.collect():
         b = (r.text or "").encode()
-        p = media.payload_of(b)
-        want[(r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))] += 1
-        assert media.from_png(media.to_png(p)) == p
+        p = b
+        while not p or len(p) % 576:
+            p += b"\xff"
+        stored = media.to_png(p)
+        assert png_samples(stored) == p and media.from_png(stored) == p
+        n = collections.Counter(p)
+        bits = -sum(c / len(p) * math.log2(c / len(p)) for c in n.values())
+        feature = f"576x{len(p) // 576};mean={sum(p) / len(p):.4f};white={n[255] / len(p):.4f};bits={bits:.4f}"
+        lines = [bool(x.split()) for x in (r.text or "").split("\n")]
+        before = sum(lines[:-(-len(lines) // 2)])
+        want[(r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, before, sum(lines) + 1)] += 1
     assert got == want
+    clash = more.withColumn("html", F.lit(1)).withColumn("figure", F.lit(2)).withColumn("lines", F.lit(3)).withColumn("digest", F.lit(4))
+    assert media.media_features(clash).count() == 5 and media.media_features(clash.limit(0)).count() == 0
 
 
 def test_sequences(spark):
@@ -485,7 +506,8 @@ def test_near_vector_classes(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(150, 16))
     rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(base)]
-    rows += [(200 + i, (base[0] + 0.05 * rng.normal(size=16)).tolist(), 0) for i in range(60)] + [(300, base[1].tolist(), 1), (301, base[1].tolist(), 1), (302, base[1].tolist(), 2)]
+    rows += [(200 + i, (base[0] + 0.05 * rng.normal(size=16)).tolist(), 0) for i in range(60)]
+    rows += [(280 + i, (base[2] + 0.05 * rng.normal(size=16)).tolist(), 2) for i in range(12)] + [(300, base[1].tolist(), 1), (301, base[1].tolist(), 1), (302, base[1].tolist(), 2)]
     rows += [(400, None, 1), (401, [], 1), (402, [0.0] * 16, 1), (403, [float("nan")] * 16, 1), (404, [None] + [1.0] * 15, 1), (405, base[1].tolist(), None), (None, base[2].tolist(), 2)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     good = [(k, np.array(v) / np.linalg.norm(v), l) for k, v, l in rows if l is not None and v and None not in v and np.isfinite(v).all() and any(v)]
@@ -500,7 +522,31 @@ def test_near_vector_classes(spark):
                 for g in group:
                     link[g] = group
     want = {k: (n[i], min(good[g][0] for g in link[i] if good[g][0] is not None)) for i, (k, _, _) in enumerate(good) if k is not None}
-    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vector_classes(table, k=8, block=32).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vector_classes(table, k=8, block=32, widest=32).collect()}
     assert {k: got[k] for k in want} == want
     assert all(got[k] == (0, k) for k in (400, 401, 402, 403, 404, 405))
     assert nn_descent.near_vector_classes(table.limit(0)).count() == 0
+
+
+def test_local_join_across_batches():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(u, int(n), x[n].tobytes()) for u in range(6) for n in sorted(rng.choice(40, size=(1, 2, 9, 30, 3, 12)[u], replace=False))]
+
+    def batches(size, wide):
+        for i in range(0, len(rows), size):
+            u, n, b = zip(*rows[i:i + size])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.binary()), pa.array([wide(k) for k in n], pa.int64())], ["u", "node", "unit", "wide"])
+
+    for wide in (lambda n: -1, lambda n: 5 if n % 7 == 0 else 0, lambda n: 0):
+        want = []
+        for u in range(6):
+            ids = [n for c, n, _ in rows if c == u]
+            most = max(map(wide, ids))
+            for n in ids:
+                near = sorted((-float(x[n] @ x[m]), m) for m in ids if m != n)
+                want += [(n, m) for _, m in near[:3 if most < 0 else wide(n) and most]]
+        for size in (1, 7, 100):
+            got = [(r["u"], r["v"]) for b in nn_descent._local_join(6)(batches(size, wide)) for r in b.to_pylist()]
+            assert sorted(got) == sorted(want)
