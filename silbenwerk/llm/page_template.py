@@ -1,10 +1,10 @@
 """Main text of web pages by templates deduced from equivalence classes of tokens.
 
-A page is a sequence of tokens: start and end tags of block elements and words, each told apart by the path of
+A page is a sequence of tokens: start and end tags of block elements and the texts between them, each told apart by the path of
 the block elements around it. The occurrence vector of a token counts it in every page of its host. Tokens with equal vectors
-form a class; classes that enough pages share and that hold enough tokens are candidates. A class is valid if its tokens keep
+form a class; classes that enough pages share and that hold enough tags, or a text, are candidates. A class is valid if its tokens keep
 one order in all pages and its occurrences nest with those of the other classes, like brackets. The valid classes are the template:
-words in them are the host's fixed text, elements in them its skeleton, and what lies between is a slot.
+texts in them are the host's fixed text, elements in them its skeleton, and what lies between is a slot.
 
 1. Count: each task adds, for every (host, token), the pages, the occurrences and two sums of count * random number of the page
    modulo a prime. Equal vectors have equal sums; others meet by chance once in 2^62. Sums are combined before the
@@ -13,12 +13,12 @@ words in them are the host's fixed text, elements in them its skeleton, and what
    average, so a template is of the size of a page.
 3. Validate: every page checks order and nesting, and tells how many words each element of the skeleton holds.
 4. Extract: text under menus, headers, footers, sidebars, notices, adverts, forms and comments goes, told by element, role,
-   or the names of class and id; so does a block of fixed words only. Of the rest, `article` is the main text, else
+   or the names of class and id; so does a block of fixed text. Of the rest, `article` is the main text, else
    `main`, else the slots in the element of the skeleton that holds most words in the host's pages, with the h1 beside it.
 
 Pages are read three times and never shuffled; templates reach them by a broadcast if their measured size is below
-`broadcast_bytes`, by a join on the host beyond. Fixed words go only where a host has `least_text_pages` different contents, half as many as pages at least, and most words of the
-page are no template: on hosts with few pages, or with copies of one page, a whole article is a constant. Where no template
+`broadcast_bytes`, by a join on the host beyond. Fixed text goes only where a host has `least_text_pages` different contents, half as many as pages at
+least, and only if it is the lesser part of the page: on hosts with few pages, or with copies of one page, a whole article is a constant. Where no template
 is found, the page's own containers stand in for the skeleton.
 
 Defined results: a null url has the host ""; null or empty html gives an empty text; unclosed elements end with their parents,
@@ -43,12 +43,11 @@ from .common import cut
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 BLOCK = frozenset("address article aside audio blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary svg table tbody td template tfoot th thead tr ul video".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; it ends at the end tag only.
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 #: An element of these closes an open p; what else a start tag closes, and where the search for it stops.
 ENDS_P = BLOCK - frozenset("body head html button object option optgroup svg video audio canvas tbody td tfoot th thead tr caption".split())
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
 ASIDE = frozenset("head nav aside footer form button select dialog menu search template svg object video audio canvas option".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog status menu menubar toolbar".split())
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
@@ -63,31 +62,32 @@ P1, P2 = (1 << 31) - 1, (1 << 31) - 19  # primes
 
 
 class Element:
-    """A block element: path, whether it or one around it is no main text, rank of the main element around it (article 2, main 1)."""
+    """A block element: path, whether it or one around it is no main text, rank of the main element around it (article 2, main 1).
 
-    __slots__ = ("name", "path", "parent", "aside", "rank", "start")
+    Elements are shared between pages: `below` holds those that were opened inside, by start tag.
+    """
+
+    __slots__ = ("name", "path", "parent", "aside", "rank", "start", "end", "below")
 
-    def __init__(self, name, path, parent, aside, rank, start):
-        self.name, self.path, self.parent, self.aside, self.rank, self.start = name, path, parent, aside, rank, start
+    def __init__(self, name, path, parent, aside, rank):
+        self.name, self.path, self.parent, self.aside, self.rank = name, path, parent, aside, rank
+        self.start, self.end, self.below = path << 1 & (1 << 63) - 1, (path << 1 | 1) & (1 << 63) - 1, {}
 
 
 def mark(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text, seed) >> 1
 
 
-def _described(name: str, attributes: str, known: dict = {}) -> tuple[str, frozenset, str, bool]:  # noqa: B006
-    """(name with class and id, parts of these names, role, hidden) of a start tag; remembered, as tags repeat."""
-    key = (name, attributes)
-    if key not in known:
-        if len(known) > 20_000:
-            known.clear()
-        has = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        names = f"{has.get('class', '')} {has.get('id', '')}"
-        parts = frozenset(x.lower() for x in NAME_PART.findall(names))
-        hidden = "hidden" in has or "display:none" in has.get("style", "").replace(" ", "")
-        role = "article" if has.get("itemprop") == "articleBody" else has.get("role", "").lower()
-        known[key] = (f"{name}.{re.sub(r'[0-9]+', '#', ' '.join(names.split()))}", parts, role, hidden)
-    return known[key]
+def _described(name: str, attributes: str) -> tuple[str, frozenset, str, bool]:
+    """(name with class and id, parts of these names, role, hidden) of a start tag."""
+    if not attributes.strip():
+        return name, frozenset(), "", False
+    has = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+    names = f"{has.get('class', '')} {has.get('id', '')}"
+    parts = frozenset(x.lower() for x in NAME_PART.findall(names))
+    hidden = "hidden" in has or "display:none" in has.get("style", "").replace(" ", "")
+    role = "article" if has.get("itemprop") == "articleBody" else has.get("role", "").lower()
+    return f"{name}.{re.sub(r'[0-9]+', '#', ' '.join(names.split()))}", parts, role, hidden
 
 
 def _open(name: str, attributes: str, parent: Element) -> Element:
@@ -100,104 +100,110 @@ def _open(name: str, attributes: str, parent: Element) -> Element:
     else:
         heads = (name == "header" or "header" in parts) and not rank and not parts & {"article", "entry", "post", "story", "content"}
         aside = hidden or heads or name in ASIDE or role in ASIDE_ROLES or bool(parts & ASIDE_NAMES)
-    path = mark(label, parent.path)
-    return Element(name, path, parent, aside or parent.aside, rank, mark("<", path))
+    return Element(name, mark(label, parent.path), parent, aside or parent.aside, rank)
 
 
-def scan(page: str) -> list[tuple[Element, int, str | None, int]]:
-    """The page as (element, token, None, 0) for tags and (element, 0, text, words in links) for blocks of text, in order."""
-    root = Element("", 1, None, False, 0, 0)
-    out, stack, opened, pieces, linked, in_link, at = [], [root], Counter(), [], 0, 0, 0
+class Tree:
+    """The elements that pages of a task share; begun anew when there are too many."""
+
+    def __init__(self, most: int = 50_000):
+        self.most, self.held, self.root = most, 0, Element("", 1, None, False, 0)
+
+    def open(self, name: str, attributes: str, parent: Element) -> Element:
+        e = parent.below.get((name, attributes))
+        if e is None:
+            self.held += 1
+            e = parent.below[name, attributes] = _open(name, attributes, parent)
+        return e
+
+    def page(self) -> Element:
+        if self.held > self.most:
+            self.held, self.root = 0, Element("", 1, None, False, 0)
+        return self.root
+
+
+TREE = Tree()
+RAW_END = {n: re.compile(f"</{n}(?=[\\s/>]|\\Z)", re.I) for n in RAW}
 
-    def text(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            raw = entities.unescape(raw) if "&" in raw else raw
-            pieces.append(raw)
-            if in_link:
-                linked += len(raw.split())
+
+def scan(page: str) -> list[tuple[Element, int, str | None, int]]:
+    """The page as (element, token, None, 0) for tags and (element, token, text, words in links) for blocks of text, in order."""
+    top = TREE.page()
+    out, stack, pieces, linked, in_link, at = [], [top], [], 0, False, 0
+    opened: dict[str, int] = {}
+    search, unescape = TAG.search, entities.unescape
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             joined = " ".join("".join(pieces).split())
             if joined:
-                out.append((stack[-1], 0, joined, linked))
+                out.append((stack[-1], mark(joined, stack[-1].path), joined, linked))
             pieces.clear()
         linked = 0
 
-    def close(names: set | frozenset, stop: set | frozenset = frozenset()) -> None:
+    def close(names: tuple, stop: tuple = ()) -> None:
         """Closes open elements down to the innermost of these names, unless one of `stop` stands before it."""
-        if not any(opened[n] for n in names):
-            return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
+            name = stack[i].name
+            if name in names:
                 for e in reversed(stack[i:]):
                     opened[e.name] -= 1
-                    out.append((e, mark(">", e.path), None, 0))
+                    out.append((e, e.end, None, 0))
                 del stack[i:]
                 return
-            if stack[i].name in stop:
+            if name in stop:
                 return
 
     while True:
-        m = TAG.search(page, at)
+        m = search(page, at)
+        raw = page[at:m.start() if m else len(page)]
+        if raw:
+            raw = unescape(raw) if "&" in raw else raw
+            pieces.append(raw)
+            if in_link:
+                linked += len(raw.split())
         if m is None:
-            text(page[at:])
             break
-        text(page[at:m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        name = m[2]
         if not name:
             continue
+        name = name.lower()
         if name in RAW:
             if m[1]:
                 continue
             flush()
-            end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             if end is None:
                 break
             at = page.find(">", end.end()) + 1 or len(page)
-        elif name in VOID:
-            if name == "hr":
-                flush()
-            elif name == "br":
-                pieces.append(" ")
-        elif name not in BLOCK:
-            if name == "a":
-                in_link = 0 if m[1] else 1
-        elif m[1]:
-            flush()
-            close({name})
-        else:
+        elif name in BLOCK:
             flush()
-            if name in ENDS_P:
-                close({"p"}, {"button", "td", "th", "table", "object"})
+            if m[1]:
+                if opened.get(name):
+                    close((name,))
+                continue
+            if name in ENDS_P and opened.get("p"):
+                close(("p",), ("button", "td", "th", "table", "object"))
             if name in CLOSES:
-                close(*CLOSES[name])
-            e = _open(name, m[3], stack[-1])
+                names, stop = CLOSES[name]
+                if any(opened.get(n) for n in names):
+                    close(names, stop)
+            e = TREE.open(name, m[3], stack[-1])
             stack.append(e)
-            opened[name] += 1
+            opened[name] = opened.get(name, 0) + 1
             out.append((e, e.start, None, 0))
+        elif name == "br":
+            pieces.append(" ")
+        elif name == "a":
+            in_link = not m[1]
+        elif name == "hr":
+            flush()
     flush()
     return out
 
 
-def words_of(item: tuple) -> list[int]:
-    return [mark(w, item[0].path) for w in item[2].split()]
-
-
-def tokens_of(items: list[tuple]) -> Iterator[tuple[int, int]]:
-    """(place, token): place 0 for tags, the path for words."""
-    for item in items:
-        if item[2] is None:
-            yield 0, item[1]
-        else:
-            place = item[0].path
-            for w in words_of(item):
-                yield place, w
-
-
 def _count(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[int]] = {}
@@ -214,7 +220,7 @@ def _count(most: int):
                 r = mark(page, 7)
                 a, b = r % P1, r // P1 % P2
                 items = scan(page)
-                counts = Counter(tokens_of(items))
+                counts = Counter((0 if x[2] is None else x[0].path, x[1]) for x in items)
                 counts[0, 0] = 1  # the page itself
                 counts[CONTENT, mark("\n".join(x[2] for x in items if x[2] is not None and not x[0].aside))] = 1
                 for (place, token), n in counts.items():
@@ -235,7 +241,7 @@ def _count(most: int):
 
 
 class Template:
-    """Classes of a host: tokens with their class, which classes hold words, which of those are fixed text."""
+    """Classes of a host: tokens with their class, which of the classes are fixed text."""
 
     def __init__(self, flat: list[int] | None):
         self.token: dict[int, int] = {}
@@ -307,7 +313,7 @@ def _validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: Counter = Counter()
         for host, page, flat in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             template, items = _held(known, host, flat), scan(page.as_py() or "")
-            for c, (order, faults) in check_nesting([t for _, t in tokens_of(items) if t in template.token], template).items():
+            for c, (order, faults) in check_nesting([x[1] for x in items if x[1] in template.token], template).items():
                 v = orders.setdefault((host, template.id[c]), [0, order, order, 0])
                 v[0], v[1], v[2], v[3] = v[0] + 1, min(v[1], order), max(v[2], order), v[3] + faults
             for e, _, text, linked in items:
@@ -340,11 +346,10 @@ def main_text(page: str, template: Template, region: int | None) -> str:
         beside = {x.parent.path for b in blocks if (x := inside(b[0])) is not None and x.parent is not None and x.parent.name not in ("", "html")}
         blocks = [b for b in blocks if inside(b[0]) is not None or b[0].name == "h1" and b[0].parent.path in beside]
     if template.fixed:
-        words = [set(words_of(b)) for b in blocks]
-        distinct = set().union(*words)
-        # where most words are the host's, its pages are copies of each other and nothing is a frame
-        if 2 * sum(w in template.token for w in distinct) <= len(distinct):
-            blocks = [b for b, own in zip(blocks, words) if any(template.token.get(w) not in template.fixed for w in own)]
+        free = [b for b in blocks if template.token.get(b[1]) not in template.fixed]
+        # where most is the host's, its pages are copies of each other and nothing is a frame
+        if 2 * sum(len(b[2]) for b in free) >= sum(len(b[2]) for b in blocks):
+            blocks = free
     return "\n".join(b[2] for b in blocks)
 
 
@@ -372,9 +377,9 @@ def extract_main_text(table: DataFrame, least_pages: int = 3, least_text_pages:
     counted = cut(counted.where((F.col("pages") > 1) | (F.col("token") == 0) | (F.col("place") == CONTENT)).withColumn("s1", F.col("s1") % P1).withColumn("s2", F.col("s2") % P2))
     hosts = counted.where((F.col("token") == 0) | (F.col("place") == CONTENT)).groupBy("host").agg(F.max(F.when(F.col("token") == 0, F.col("pages"))).alias("of"), F.sum((F.col("place") == CONTENT).cast("long")).alias("contents"))
     frequent = counted.where((F.col("token") != 0) & (F.col("place") != CONTENT)).join(hosts, "host").where((F.col("of") >= least_pages) & (F.col("pages") * 2 >= F.col("of")))
-    # words are classes of their own path; fixed text stands once in nearly every page
+    # texts are classes of their own path; fixed text stands once in nearly every page
     fixed = (F.col("place") != 0) & (F.col("contents") >= least_text_pages) & (F.col("contents") * 2 >= F.col("of")) & (F.col("pages") * 10 >= F.col("of") * 9) & (F.col("pages") == F.col("total"))
-    classes = frequent.groupBy("host", "place", "pages", "total", "s1", "s2").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.max(F.when(fixed, 2).when(F.col("place") != 0, 1).otherwise(0)).alias("kind")).where(F.size("tokens") >= least_size)
+    classes = frequent.groupBy("host", "place", "pages", "total", "s1", "s2").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.max(F.when(fixed, 2).when(F.col("place") != 0, 1).otherwise(0)).alias("kind")).where((F.size("tokens") >= least_size) | (F.col("kind") > 0))
     ident = F.xxhash64("place", "pages", "total", "s1", "s2")
     flat = F.concat(F.array(F.size("tokens").cast("long"), F.col("kind").cast("long"), ident), "tokens")
     classes = cut(classes.select("host", ident.alias("id"), flat.alias("flat")))

@@ -204,21 +204,21 @@ def test_classes_equal_exact_occurrence_vectors(spark):
     got, _ = extracted(spark, rows)
     for h in range(3):
         own = [(i, page_template.scan(text)) for i, u, text in rows if u == f"http://h{h}.example/"]
-        counts = [Counter(page_template.tokens_of(items)) for _, items in own]
+        counts = [Counter((0 if x[2] is None else x[0].path, x[1]) for x in items) for _, items in own]
         classes = defaultdict(list)
         for token in set().union(*counts):
             vector = tuple(c[token] for c in counts)
             if 2 * sum(n > 0 for n in vector) >= len(own):
-                classes[token[0] if token[0] else 0, vector].append(token[1])
+                classes[token[0], vector].append(token[1])
         flat = []
         for n, ((place, vector), tokens) in enumerate(sorted(classes.items())):
             fixed = place and set(vector) <= {0, 1} and 10 * sum(vector) >= 9 * len(own)
-            if len(tokens) >= 3:
+            if len(tokens) >= 3 or place:
                 flat.append([len(tokens), 2 if fixed else 1 if place else 0, n, *tokens])
         template = page_template.Template([x for f in flat for x in f])
         orders, faults, sizes = defaultdict(set), Counter(), Counter()
         for _, items in own:
-            for c, (order, bad) in page_template.check_nesting([t for _, t in page_template.tokens_of(items) if t in template.token], template).items():
+            for c, (order, bad) in page_template.check_nesting([x[1] for x in items if x[1] in template.token], template).items():
                 orders[c].add(order)
                 faults[c] += bad
             for e, _, text, linked in items:
