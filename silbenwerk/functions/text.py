@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,21 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+#: No protected span holds white space, and each holds one of these.
+_trigger = regex.compile(r"[@#\\_\p{N}]|://|\.\p{L}{2}|(?i:www\.)")
+_back, _forth = regex.compile(r"(?r)\s"), regex.compile(r"\s")
+
+
 def ranges_in(text: str) -> list[tuple[int, int]]:
-    return sorted({m.span() for p in _protected for m in p.finditer(text)})
+    """Only pieces between white space that hold a trigger are looked at by all patterns."""
+    out, at = set(), 0
+    while (m := _trigger.search(text, at)) is not None:
+        before, after = _back.search(text, at, m.start()), _forth.search(text, m.end())
+        first, last = before.end() if before else at, after.start() if after else len(text)
+        for p in _protected:
+            out.update(x.span() for x in p.finditer(text, first, last))
+        at = last
+    return sorted(out)
 
 
 @F.pandas_udf(RANGES)
@@ -76,6 +90,74 @@ def tokens_in(text: str) -> list[dict]:
     return out
 
 
+BLANK = " \t\n\x0b\f\r"
+_piece, _no_letter, _target, _hard_end = regex.compile(f"[^{BLANK}]+"), regex.compile(r"[^\p{L}]"), regex.compile(f"[^{BLANK}.,;:!?]*"), regex.compile(r"[.!?…\r\n]")
+#: Of longer words only the beginning and the end are kept: no listed word is that long.
+LONG = 64
+
+
+def _shorter(letters: str) -> str:
+    return letters if len(letters) <= LONG else letters[:2] + letters[2 - LONG:]
+
+
+def words_before(text: str, starts: list[int]) -> list[tuple[bool, str, str, str, bool, str]]:
+    """For each ascending start: (is nothing before it, first sign of the last piece before it, letters of that piece and of the one before,
+    are there two, letters of what begins there). One pass: a piece that many starts share is read once."""
+    bounds = [m.span() for m in _piece.finditer(text)]
+    letters = lambda x: _no_letter.sub("", x.lower())
+    out, i, read, held, previous, of = [], 0, 0, "", "", -1
+    for start in starts:
+        while i + 1 < len(bounds) and bounds[i + 1][0] < start:
+            i += 1
+        target = _shorter(letters(_target.match(text, start, min(len(text), start + 1000))[0]))
+        if not bounds or bounds[i][0] >= start:
+            out.append((True, "", "", "", False, target))
+            continue
+        first, end = bounds[i][0], min(bounds[i][1], start)
+        if of != i:
+            previous = _shorter(held + letters(text[read:bounds[i - 1][1]])) if i and of == i - 1 else _shorter(letters(text[slice(*bounds[i - 1])])) if i else ""
+            of, read, held = i, first, ""
+        held, read = _shorter(held + letters(text[read:end])), end
+        out.append((False, text[first], held, previous, i > 0 or first > 0, target))
+    return out
+
+
+def context_of(text: str, start: int, end: int, radius: int = 280) -> tuple[str, int, int]:
+    """T9 in place: (slice around a token up to the nearest terminators, its start and end in there)."""
+    hard = max(0, start - radius)
+    left = _hard_end.split(text[hard:start])[-1]
+    stop = _hard_end.search(text, end, min(len(text), end + radius))
+    return left + text[start:stop.end() if stop else end + radius], len(left), len(left) + end - start
+
+
+BEFORE = "struct<none:boolean,first:string,last:string,previous:string,two:boolean,target:string>"
+
+
+def tokens_in_place(docs: DataFrame, contexts: bool = True, text_col: str = "text", id_col: str = "doc_id", most: int = 5_000) -> DataFrame:
+    """T2, T4, T5 with what surrounds each token: tokens as from `tokenize`, `before` (see `words_before`) over the whole text, and
+    `context` (T9: text, start, end) if asked for. All is made where the text lies, in one pass, `most` rows at a time."""
+    kind = docs.schema[id_col].dataType
+    shape = f"doc_id {kind.simpleString()}, tok_ix int, word string, start int, end int, is_first boolean, before {BEFORE}" + ", context struct<text:string,start:int,end:int>" * contexts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                tokens = tokens_in(text)
+                before = words_before(text, [t["start"] for t in tokens])
+                for at in range(0, len(tokens), most):
+                    part = tokens[at:at + most]
+                    columns = [batch.column(0).take(pa.array([i] * len(part))), *(pa.array([t[c] for t in part], k) for c, k in (("tok_ix", pa.int32()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("is_first", pa.bool_())))]
+                    names = ["doc_id", "tok_ix", "word", "start", "end", "is_first", "before"]
+                    columns.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*before[at:at + most]), (pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()))], ["none", "first", "last", "previous", "two", "target"]))
+                    if contexts:
+                        names.append("context")
+                        columns.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*(context_of(text, t["start"], t["end"]) for t in part)), (pa.string(), pa.int32(), pa.int32()))], ["text", "start", "end"]))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape)
+
+
 @F.pandas_udf(TOKENS)
 def tokenize_column(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: tokens_in(t or ""))
@@ -120,10 +202,10 @@ def is_foreign(sents: DataFrame, detected: DataFrame | None = None) -> DataFrame
     return out.withColumn("foreign", (F.col("key") != "") & (not_latin(F.col("key")) | F.coalesce(sure, F.lit(False)))).drop("key", "best")
 
 
-def german_tokens(docs: DataFrame, detected: DataFrame | None = None) -> DataFrame:
-    """Tokens with a Latin letter outside foreign sentences."""
+def german_tokens(docs: DataFrame, detected: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """Tokens with a Latin letter outside foreign sentences; `tokens`: those of docs, if they are at hand."""
     foreign = is_foreign(sentences(docs), detected).where("foreign").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    tokens = tokenize(docs).where(F.col("word").rlike(r"\p{IsLatin}"))
+    tokens = (tokenize(docs) if tokens is None else tokens).where(F.col("word").rlike(r"\p{IsLatin}"))
     spans = foreign.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     inside = F.exists(F.coalesce("spans", F.array()), lambda x: (F.col("start") >= x["s"]) & (F.col("start") < x["e"]))
     return tokens.join(spans, "doc_id", "left").where(~inside).drop("spans")

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,17 @@ def noun_signal(context: Column, start: Column) -> Column:
     last, previous = letters(raw), letters(F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")))
     target = letters(F.regexp_extract(F.substring(context, (start + 1).cast("int"), F.lit(1000)), r"^\s*([^\s.,;:!?]*)", 1))
     none = context.isNull() | start.isNull() | (start < 0) | (raw == "")
-    has_two = F.size(words) >= 2
+    return _announced(none, F.substring(raw, 1, 1), last, previous, F.size(words) >= 2, target)
+
+
+def noun_signal_before(before: Column) -> Column:
+    """X1 of a token from `tokens_in_place`: what stands before it in the whole text."""
+    return _announced(before["none"], before["first"], before["last"], before["previous"], before["two"], before["target"])
+
+
+def _announced(none: Column, first: Column, last: Column, previous: Column, has_two: Column, target: Column) -> Column:
     infinitive = (last == "zu") & ((has_two & previous.isin(K.BEFORE_ZU)) | ((target != "") & ~target.isin(K.AFTER_ZU)))
     superlative = (last == "am") & target.rlike("(?:sten|stn|ten|tn)$") & ~target.isin(K.AFTER_AM)
-    first = F.substring(raw, 1, 1)
     adjective = has_two & (first == F.lower(first)) & ~participle_or_adverb(last)
     determined = previous.isin(K.DETERMINERS) & last.rlike("(?:em|en|er|es|e)$")
     signalled = previous.isin(K.NOUN_SIGNALS) & (last.rlike("(?:em|er|es)$") | (F.endswith(last, F.lit("en")) & (target != "") & ~target.rlike("(?:en|eln|ern)$")))
@@ -81,13 +90,17 @@ def pieces_of(word: str, vocab: dict[str, int], unknown: int) -> list[int]:
     return out
 
 
+def held_vocabulary(vocab: DataFrame, most_pieces: int = 200_000) -> dict[str, int]:
+    """piece -> id; tasks hold it, so its size is checked."""
+    rows = vocab.select("piece", "id").limit(most_pieces + 1).collect()
+    if len(rows) > most_pieces:
+        raise ValueError(f"a vocabulary of more than {most_pieces} pieces is not held in tasks")
+    return {r.piece: r.id for r in rows}
+
+
 def wordpiece_encode(words: DataFrame, vocab: DataFrame, most_pieces: int = 200_000, unknown: str = "[UNK]") -> DataFrame:
     """words(word) -> word, pieces. The vocabulary is held by each task; its size is checked."""
-    n = vocab.count()
-    if n > most_pieces:
-        raise ValueError(f"a vocabulary of {n} pieces; more than {most_pieces} are not held in tasks")
-    table = {r.piece: r.id for r in vocab.collect()}
-    shared = words.sparkSession.sparkContext.broadcast(table)
+    shared = words.sparkSession.sparkContext.broadcast(held_vocabulary(vocab, most_pieces))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
@@ -98,11 +111,35 @@ def wordpiece_encode(words: DataFrame, vocab: DataFrame, most_pieces: int = 200_
     return words.select("word").mapInPandas(run, "word string, pieces array<int>")
 
 
+#: Fixed value: what of a text is cut into pieces.
+BASIC = regex.compile(r"\[MASK\]|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")
+
+
+def text_pieces(shared, unknown: str = "[UNK]"):
+    """X5 for texts: a column function; shared: a broadcast vocabulary."""
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        own, seen = shared.value, {}
+
+        def pieces(word: str) -> list[int]:
+            if word not in seen:
+                seen[word] = [own[word]] if word == "[MASK]" and word in own else pieces_of(word, own, own.get(unknown, 0))
+            return seen[word]
+
+        return texts.map(lambda t: [p for w in BASIC.findall(t or "") for p in pieces(w)])
+
+    return run
+
+
 def masked_inputs(occurrences: DataFrame, mask_id: int, window: int = 510) -> DataFrame:
     """occurrences(occ_id, pieces_before, pieces_after, n) -> occ_id, n, input, mask_at.
 
     The word is n masks; of the pieces around them those within the window stay.
     """
+    return occurrences.select("occ_id", "n", *_masked(mask_id, window))
+
+
+def _masked(mask_id: int, window: int) -> tuple[Column, Column]:
     room = F.lit(window) - F.col("n")
     half = (room / 2).cast("int")
     before, after = F.size("pieces_before"), F.size("pieces_after")
@@ -110,7 +147,7 @@ def masked_inputs(occurrences: DataFrame, mask_id: int, window: int = 510) -> Da
     right = F.least(after, room - left)
     kept = F.slice("pieces_before", before - left + 1, left)
     masks = F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(mask_id))
-    return occurrences.select("occ_id", "n", F.concat(kept, masks, F.slice("pieces_after", F.lit(1), right)).alias("input"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i + left).alias("mask_at"))
+    return F.concat(kept, masks, F.slice("pieces_after", F.lit(1), right)).alias("input"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i + left).alias("mask_at")
 
 
 Scorer = Callable[[pd.DataFrame], "pd.Series"]
@@ -135,6 +172,85 @@ def score_in_context(pairs: DataFrame, scorer: Scorer | DataFrame) -> DataFrame:
     return pairs.join(scored, ["context", "start", "candidate"], "left")
 
 
+#: (inputs of any length, places of the masks: one row each, equally many) -> logits[input, mask, piece]
+PieceModel = Callable[[list[np.ndarray], np.ndarray], np.ndarray]
+_loaded: dict[str, PieceModel] = {}
+
+
+def mean_log_probabilities(logits: np.ndarray, wanted: list[list[int]]) -> list[float | None]:
+    """Of one input: for each candidate the mean of its pieces' log-probabilities at the masks; null unless finite."""
+    top = logits.max(1, keepdims=True)
+    logs = logits - (top + np.log(np.exp(logits - top).sum(1, keepdims=True)))
+    at = np.arange(logits.shape[0])
+    means = [float(logs[at, pieces].mean()) if max(pieces) < logs.shape[1] else -np.inf for pieces in wanted]
+    return [m if np.isfinite(m) else None for m in means]
+
+
+def score_pieces(pairs: DataFrame, vocab: DataFrame, load: Callable[[], PieceModel], name: str, window: int = 510, batch: int = 32, mask: str = "[MASK]", first: str = "[CLS]", last: str = "[SEP]") -> DataFrame:
+    """pairs(context, start, end, candidate, ...) with log_score, the mean log-probability of the candidate's pieces at as many masks.
+
+    Each (context, start, end) is masked once for each number of pieces that its candidates have. `load` makes a model on a worker, which keeps it
+    under `name` for all its tasks; the model gets up to `batch` inputs of one number of masks. Candidates without pieces, or
+    with pieces beyond the model's, have no score.
+    """
+    held = held_vocabulary(vocab)
+    shared = pairs.sparkSession.sparkContext.broadcast(held)
+    pieces = text_pieces(shared)
+    mask_id, ends = held.get(mask, 104), (held.get(first, 101), held.get(last, 102))
+    place = ["context", "start", "end"]
+    keys = pairs.select(*place, "candidate").where("start >= 0 and end > start and candidate is not null").distinct()
+    coded = keys.withColumn("pieces", pieces("candidate")).where(F.size("pieces") > 0)
+    grouped = coded.groupBy(*place, F.size("pieces").alias("n")).agg(F.collect_list("candidate").alias("candidates"), F.collect_list("pieces").alias("wanted"))
+    # several numbers of pieces share a context: it is cut into pieces once for each, where the group lies
+    sides = grouped.withColumn("pieces_before", pieces(F.substring("context", F.lit(1), F.col("start").cast("int")))).withColumn("pieces_after", pieces(F.expr("substring(context, end + 1)")))
+    inputs = sides.select(*place, "n", "candidates", "wanted", *_masked(mask_id, window)).sortWithinPartitions("n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if name not in _loaded:
+            _loaded[name] = load()
+        model = _loaded[name]
+
+        def scored(rows: pd.DataFrame) -> pd.DataFrame:
+            texts = [np.concatenate([[ends[0]], x, [ends[1]]]).astype(np.int64) for x in rows["input"]]
+            logits = model(texts, np.stack(rows["mask_at"].tolist()).astype(np.int64) + 1)
+            out = rows[["context", "start", "end"]].assign(candidate=rows["candidates"], log_score=[mean_log_probabilities(x, [list(p) for p in w]) for x, w in zip(logits, rows["wanted"])])
+            return out.explode(["candidate", "log_score"]).astype({"log_score": "float64"})
+
+        for frame in batches:
+            for _, same in frame.groupby("n", sort=False):
+                for at in range(0, len(same), batch):
+                    yield scored(same.iloc[at:at + batch])
+
+    scores = inputs.mapInPandas(run, "context string, start int, end int, candidate string, log_score double")
+    return pairs.join(scores, [*place, "candidate"], "left")
+
+
+class PairModel:
+    """A piece model of counts: the logit of a piece at a mask is ln(times it followed the piece before the mask + alpha)."""
+
+    def __init__(self, before: np.ndarray, piece: np.ndarray, n: np.ndarray, size: int, alpha: float):
+        order = np.argsort(before, kind="stable")
+        self.before, self.piece, self.logit = before[order], piece[order], np.log(n[order] + alpha)
+        self.size, self.rest = size, np.log(alpha)
+
+    def __call__(self, inputs: list[np.ndarray], mask_at: np.ndarray) -> np.ndarray:
+        out = np.full((*mask_at.shape, self.size), self.rest)
+        for i, places in enumerate(mask_at):
+            for j, at in enumerate(places):
+                low, high = np.searchsorted(self.before, [inputs[i][at - 1], inputs[i][at - 1] + 1])
+                out[i, j, self.piece[low:high]] = self.logit[low:high]
+        return out
+
+
+def pair_model(counts: DataFrame, size: int, alpha: float = 1.0, most: int = 2_000_000) -> Callable[[], PairModel]:
+    """counts(before, piece, n) as a loader for `score_pieces`; tasks hold the table, so its size is checked."""
+    rows = counts.select("before", "piece", "n").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} pairs of pieces are not held in tasks")
+    shared = counts.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy(np.int64) for c in ("before", "piece", "n")))
+    return lambda: PairModel(*shared.value, size, alpha)
+
+
 def fuse_scores(pairs: DataFrame) -> DataFrame:
     """pairs(occ_id, word, edit_score, log_posterior, log_score, from_user[, rank]) -> occ_id, word, family_score, surface_score, rank.
 
@@ -167,16 +283,33 @@ def accepted_words(tokens: DataFrame, lists: DataFrame, check_case: bool = True)
     return tokens.join(lists.select(key(F.col("word")).alias("entry")).distinct(), key(F.col("word")) == F.col("entry"), "left_semi")
 
 
-def check_context(tokens: DataFrame, groups: DataFrame, scorer: Scorer | DataFrame, spelling: DataFrame, accepted: DataFrame) -> DataFrame:
+def check_context(tokens: DataFrame, groups: DataFrame, scorer: Scorer | DataFrame | Callable[[DataFrame], DataFrame], spelling: DataFrame | None = None, accepted: DataFrame | None = None) -> DataFrame:
     """tokens(doc_id, word, start, end, is_first, context, at) whose best alternative is ahead by the margin.
 
-    groups(word, alternative) as from X4; spelling errors (doc_id, start) and accepted tokens are left out.
+    groups(word, alternative) as from X4; spelling errors (doc_id, start) and accepted tokens are left out. A word without a score counts
+    as minus infinity if it is in its group, and is no error if it is not. scorer: as in X7, or a function of pairs(context, start, end,
+    candidate, ...) that adds log_score, as `score_pieces` does.
     """
-    rows = tokens.join(spelling.select("doc_id", "start"), ["doc_id", "start"], "left_anti").join(accepted.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
+    rows = tokens
+    for out in (spelling, accepted):
+        if out is not None:
+            rows = rows.join(out.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
     rows = rows.join(groups, "word").withColumn("candidate", match_case(F.col("alternative"), F.col("word"), F.col("is_first")))
-    pairs = rows.select("doc_id", F.col("start").alias("pos"), "end", "word", "is_first", "candidate", "context", F.col("at").alias("start"))
-    scored = score_in_context(pairs, scorer).where("log_score is not null")
+    pairs = rows.select("doc_id", F.col("start").alias("pos"), F.col("end").alias("until"), "word", "is_first", "candidate", "context", F.col("at").alias("start"), (F.col("at") + F.col("end") - F.col("start")).cast("int").alias("end"))
+    scored = scorer(pairs) if getattr(scorer, "of_pairs", False) else score_in_context(pairs, scorer)
     own = F.lower("candidate") == F.lower("word")
-    best = scored.groupBy("doc_id", "pos", "end", "word", "is_first").agg(F.max(F.struct("log_score", "candidate")).alias("best"), F.max(F.when(own, F.col("log_score"))).alias("own"))
-    hit = best.where((F.lower("best.candidate") != F.lower("word")) & (F.col("best.log_score") - F.col("own") >= K.CONTEXT_MARGIN))
-    return hit.select("doc_id", F.col("pos").alias("start"), "end", "word", "is_first", F.lit("context").alias("kind"), F.col("best.candidate").alias("suggestion"), F.array("best.candidate").alias("suggestions"))
+    least = F.lit(float("-inf"))
+    scored = scored.withColumn("log_score", F.coalesce("log_score", least))
+    best = scored.groupBy("doc_id", "pos", "until", "word", "is_first").agg(F.max(F.struct("log_score", "candidate")).alias("best"), F.max(F.when(own, F.col("log_score"))).alias("own"))
+    ahead = (F.col("best.log_score") > least) & F.col("own").isNotNull() & (F.col("best.log_score") - F.col("own") >= K.CONTEXT_MARGIN)
+    hit = best.where((F.lower("best.candidate") != F.lower("word")) & ahead)
+    return hit.select("doc_id", F.col("pos").alias("start"), F.col("until").alias("end"), "word", "is_first", F.lit("context").alias("kind"), F.col("best.candidate").alias("suggestion"), F.array("best.candidate").alias("suggestions"))
+
+
+def by_pieces(vocab: DataFrame, load: Callable[[], PieceModel], name: str, **options) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for X9 that works on pieces."""
+    def score(pairs: DataFrame) -> DataFrame:
+        return score_pieces(pairs, vocab, load, name, **options)
+
+    score.of_pairs = True
+    return score

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -497,9 +497,8 @@ def _(spark, d):
 
 @query("t09_local_context", f'WITH {ALL_TOKENS}, {CONTEXT_SQL} SELECT id AS doc_id, s AS start, e AS "end", word, context, "at" FROM local WHERE is_first')
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    rows = T.tokenize(docs).where("is_first").join(docs.select("doc_id", "text"), "doc_id")
-    return rows.withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end"))).select("doc_id", "start", "end", "word", F.col("c.text").alias("context"), F.col("c.start").alias("at"))
+    rows = T.tokens_in_place(table(spark, d, "documents")).where("is_first")
+    return rows.select("doc_id", "start", "end", "word", F.col("context.text").alias("context"), F.col("context.start").alias("at"))
 
 
 # ---- detection ---------------------------------------------------------------------------------
@@ -785,10 +784,9 @@ def _(spark, d):
 def _(spark, d):
     """Every unknown word of the German documents where it stands, with sixteen candidates scored in context."""
     lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
-    docs = german(spark, d)
-    unknown = T.tokenize(docs).join(lex.select("word"), "word", "left_anti").join(docs, "doc_id")
-    local = unknown.withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end")))
-    rows = cut(local.select(F.concat_ws(":", "doc_id", "tok_ix").alias("occ_id"), "word", "is_first", F.lit(False).alias("noun_signal"), F.col("c.text").alias("context"), F.col("c.start").alias("start"), F.col("c.end").alias("end")))
+    unknown = T.tokens_in_place(german(spark, d)).join(lex.select("word"), "word", "left_anti")
+    signal = X.noun_signal(F.col("context.text"), F.col("context.start"))
+    rows = cut(unknown.select(F.concat_ws(":", "doc_id", "tok_ix").alias("occ_id"), "word", "is_first", signal.alias("noun_signal"), F.col("context.text").alias("context"), F.col("context.start").alias("start"), F.col("context.end").alias("end")))
     found = cut(C.collect_candidates(rows, lex, fr, limit=16))
     pairs = rows.join(found.select("word", "is_first", F.explode(F.array("cand", S.upper_first(F.col("cand")))).alias("candidate")), ["word", "is_first"])
     known = pairs.select("context", "start", "candidate").distinct().join(scores(spark, d), F.lower("candidate") == F.col("key")).select("context", "start", "candidate", "log_score")
@@ -818,8 +816,8 @@ signals AS (SELECT *, CASE WHEN last_raw = '' THEN false
 
 @query("x01_noun_signal", f"WITH {GERMAN_TOKENS}, {CONTEXT_SQL}, {SIGNAL_SQL} SELECT id AS doc_id, s AS start, word, signal FROM signals")
 def _(spark, d):
-    rows = T.tokenize(german(spark, d)).join(german(spark, d), "doc_id").withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end")))
-    return rows.select("doc_id", "start", "word", X.noun_signal(F.col("c.text"), F.col("c.start")).alias("signal"))
+    rows = T.tokens_in_place(german(spark, d))
+    return rows.select("doc_id", "start", "word", X.noun_signal(F.col("context.text"), F.col("context.start")).alias("signal"))
 
 
 @query("x02_participle_or_adverb", f"WITH {LEX} SELECT word, word IN ({quoted(K.NO_ADJECTIVES)}) OR (starts_with(word, 'ge') AND regexp_matches(word, '(?:en|t|et)$') AND NOT regexp_matches(word, '(?:enes|enem|ener|ene|enen|etes|etem|eter|ete|eten)$')) AS excluded FROM (SELECT DISTINCT lower(word) AS word FROM cnt)")
@@ -894,6 +892,59 @@ def _(spark, d):
     return X.score_in_context(pairs, known).select("context", "start", "candidate", F.round("log_score", 6).alias("log_score"))
 
 
+def dense_vocabulary(spark, d) -> DataFrame:
+    """Pieces with the numbers that a model's logits have; four special ones first."""
+    special = spark.createDataFrame([("[UNK]", 0), ("[MASK]", 1), ("[CLS]", 2), ("[SEP]", 3)], "piece string, id int")
+    own = piece_vocabulary(spark, d).select("piece").distinct()  # some thousand rows
+    return special.union(own.select("piece", (F.row_number().over(Window.orderBy("piece")) + 3).cast("int").alias("id")))
+
+
+def piece_pairs(spark, d, vocab: DataFrame) -> DataFrame:
+    """How often a word that ends in a piece is followed by one that begins with a piece, and a mask (1) by a piece inside a word."""
+    w = german(spark, d).select(T.words_of(F.col("text")).alias("w")).where(F.size("w") >= 2)
+    pairs = w.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    coded = cut(X.wordpiece_encode(words(spark, d).select("word").distinct(), vocab))
+    first, last = coded.select(F.col("word").alias("b"), F.get("pieces", F.lit(0)).alias("piece")), coded.select(F.col("word").alias("a"), F.element_at("pieces", -1).alias("before"))
+    inner = words(spark, d).groupBy("word").agg(F.count("*").alias("n")).join(coded, "word").select(F.lit(1).alias("before"), F.explode(F.slice("pieces", 2, 1000)).alias("piece"), "n")
+    return pairs.join(last, "a").join(first, "b").select("before", "piece", "n").union(inner).groupBy("before", "piece").agg(F.sum("n").alias("n"))
+
+
+def pair_scorer(spark, d):
+    vocab = cut(dense_vocabulary(spark, d))
+    return X.by_pieces(vocab, X.pair_model(piece_pairs(spark, d, vocab), vocab.count(), alpha=0.01), f"pairs of {d}")
+
+
+#: Needs need(word), the basic parts that are encoded; gives enc(word, pieces) and follow(before, piece, n), times(before, n), size(v).
+PAIR_SQL = """pv AS (SELECT piece, (row_number() OVER (ORDER BY piece) + 3)::INT AS id FROM (SELECT DISTINCT unnest([word[1:2], word[1], '##' || word[2], '##' || word[3:4]]) AS piece FROM lex) WHERE piece NOT IN ('', '##')),
+size AS (SELECT count(*) + 4 AS v FROM pv),
+pwalk AS (SELECT word, 0 AS at_, []::INT[] AS pieces FROM need
+UNION ALL SELECT w.word, CASE WHEN two.id IS NOT NULL THEN at_ + 2 WHEN one.id IS NOT NULL THEN at_ + 1 ELSE 999999 END, CASE WHEN two.id IS NOT NULL THEN list_append(pieces, two.id) WHEN one.id IS NOT NULL THEN list_append(pieces, one.id) ELSE [0] END
+FROM pwalk w LEFT JOIN pv two ON two.piece = CASE WHEN at_ > 0 THEN '##' ELSE '' END || w.word[at_ + 1:at_ + 2] AND at_ + 2 <= length(w.word) LEFT JOIN pv one ON one.piece = CASE WHEN at_ > 0 THEN '##' ELSE '' END || w.word[at_ + 1] WHERE at_ < length(w.word)),
+enc AS (SELECT word, pieces FROM pwalk WHERE at_ >= length(word)),
+seqs AS (SELECT regexp_extract_all(text, '[\\p{L}\\p{M}]+(?:[-''‘’][\\p{L}\\p{M}\\d]+)*') AS w FROM documents WHERE lang = 'de'),
+nexts AS (SELECT unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM seqs WHERE len(w) >= 2),
+follow AS (SELECT ea.pieces[-1] AS before, eb.pieces[1] AS piece, count(*) AS n FROM nexts JOIN enc ea ON ea.word = a JOIN enc eb ON eb.word = b GROUP BY 1, 2
+UNION ALL SELECT 1, piece, sum(n)::BIGINT FROM (SELECT unnest(pieces[2:]) AS piece, n FROM cnt JOIN enc USING (word)) GROUP BY piece),
+times AS (SELECT before, sum(n) AS n FROM follow GROUP BY 1),
+parts AS (SELECT candidate, flatten(list(pieces ORDER BY k)) AS pieces FROM (SELECT candidate, unnest(b) AS word, unnest(range(1, len(b) + 1)) AS k FROM (SELECT DISTINCT candidate, regexp_extract_all(candidate, '[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{Z}\\p{L}\\p{M}\\p{N}]') AS b FROM pairs)) JOIN enc USING (word) GROUP BY candidate),
+ends AS (SELECT DISTINCT lft, regexp_extract_all(lft, '[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{Z}\\p{L}\\p{M}\\p{N}]')[-1] AS word FROM pairs),
+inside AS (SELECT candidate, sum(ln((coalesce(f.n, 0) + 0.01::DOUBLE) / (t.n + 0.01::DOUBLE * v))) AS log_p FROM (SELECT candidate, unnest(pieces[2:]) AS inner_piece FROM parts) LEFT JOIN follow f ON f.before = 1 AND f.piece = inner_piece CROSS JOIN size JOIN times t ON t.before = 1 GROUP BY candidate),
+scored AS (SELECT p.*, (ln((coalesce(f.n, 0) + 0.01::DOUBLE) / (coalesce(t.n, 0) + 0.01::DOUBLE * size.v)) + coalesce(inside.log_p, 0)) / len(parts.pieces) AS log_score
+FROM pairs p LEFT JOIN inside USING (candidate) CROSS JOIN size JOIN parts USING (candidate) JOIN ends ON ends.lft = p.lft LEFT JOIN enc ON enc.word = ends.word LEFT JOIN times t ON t.before = coalesce(enc.pieces[-1], 2) LEFT JOIN follow f ON f.before = coalesce(enc.pieces[-1], 2) AND f.piece = parts.pieces[1])"""
+NEED_SQL = """need AS (SELECT word FROM cnt UNION SELECT unnest(regexp_extract_all(candidate, '[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{Z}\\p{L}\\p{M}\\p{N}]')) FROM pairs UNION SELECT regexp_extract_all(lft, '[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{Z}\\p{L}\\p{M}\\p{N}]')[-1] FROM pairs)"""
+
+
+@query("x07_piece_scores", f"""WITH RECURSIVE {LEX}, {KEYED}, {GERMAN_TOKENS}, {CONTEXT_SQL}, near AS MATERIALIZED (SELECT r.word, l.word AS cand FROM rk r JOIN lk l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1),
+pairs AS MATERIALIZED (SELECT id AS doc_id, s AS start, word, lft, candidate FROM local JOIN (SELECT word, cand AS candidate FROM near UNION SELECT word, word FROM near) USING (word)), {NEED_SQL}, {PAIR_SQL}
+SELECT doc_id, start, candidate, round(log_score, 6) AS log_score FROM scored""")
+def _(spark, d):
+    """Rare words where they stand, against their neighbours in the lexicon, scored piece by piece."""
+    near = C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1).select("word", F.explode(F.array("word", "cand")).alias("candidate")).distinct()
+    rows = T.tokens_in_place(german(spark, d)).join(near, "word")
+    pairs = rows.select("doc_id", F.col("start").alias("pos"), F.col("context.text").alias("context"), F.col("context.start").alias("start"), F.col("context.end").alias("end"), "candidate")
+    return pair_scorer(spark, d)(cut(pairs)).select("doc_id", F.col("pos").alias("start"), "candidate", F.round("log_score", 6).alias("log_score"))
+
+
 @query("x08_fuse_scores", f"""WITH {LEX}, {KEYED}, p AS (SELECT r.word AS occ_id, l.word AS word, {EDIT} AS dist FROM rk r JOIN lk l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} <= 1),
 q AS (SELECT p.*, lower(p.word) AS fam, 1.0 / (1 + dist) AS es, CASE WHEN length(p.word) % 5 > 0 THEN -2.2 * dist ELSE -3 * greatest(0.1, 1 / (1.0 / (1 + dist)) - 1) END AS lp, CASE WHEN length(p.word) % 3 > 0 AND length(p.occ_id) % 4 > 0 THEN ln(f.n::DOUBLE) END AS ls, CASE WHEN length(p.word) % 7 = 0 THEN 0.35 ELSE 0 END AS bonus FROM p LEFT JOIN fr f ON lower(p.word) = f.word),
 n AS (SELECT *, row_number() OVER (PARTITION BY occ_id ORDER BY lp DESC, word) AS came FROM q),
@@ -908,15 +959,26 @@ def _(spark, d):
     return X.fuse_scores(occurrences(spark, d)).select("occ_id", "word", F.round("family_score", 6).alias("family_score"), F.round("surface_score", 6).alias("surface_score"), "rank")
 
 
-@query("x09_context_errors")
-def _(spark, d):
-    tokens = T.tokenize(german(spark, d)).join(german(spark, d), "doc_id").withColumn("c", T.local_context(F.col("text"), F.col("start"), F.col("end"))).select("doc_id", "word", "start", "end", "is_first", F.col("c.text").alias("context"), F.col("c.start").alias("at"))
-    lex = lexicon(spark, d)
-    groups = C.fuzzy_join(lex.where("flags = 2"), lex, 1).where("distance = 1").select("word", F.explode(F.array("word", "cand")).alias("alternative")).distinct()
-    none = spark.createDataFrame([], "doc_id long, start int")
-    pairs = tokens.join(groups, "word").select("context", F.col("at").alias("start"), S.match_case(F.col("alternative"), F.col("word"), F.col("is_first")).alias("candidate")).distinct()
-    known = pairs.join(scores(spark, d), F.lower("candidate") == F.col("key")).select("context", "start", "candidate", "log_score")
-    return X.check_context(tokens, groups, known, none, none)
+@query("x09_context_errors", f"""WITH RECURSIVE {LEX}, {GERMAN_TOKENS}, {CONTEXT_SQL}, lexlow AS (SELECT lower(word) AS low, word AS correction FROM lex),
+typo AS (SELECT lower(r.word) AS typo, min(l.correction) AS correction FROM rare r JOIN lexlow l ON l.low = regexp_replace(lower(r.word), '(?:en|er|es|e|n|s)$', '') WHERE l.low <> lower(r.word) GROUP BY 1),
+fixed AS (SELECT DISTINCT c.word, v.alternative FROM cnt c JOIN (VALUES {PAIRS_SQL}) v(key, alternative) ON lower(c.word) = v.key),
+more AS (SELECT DISTINCT c.word, t.correction FROM cnt c JOIN typo t ON t.typo = lower(c.word) WHERE c.word NOT IN (SELECT word FROM fixed) AND lower(t.correction) <> t.typo AND replace(lower(t.correction), 'ß', 'ss') <> replace(t.typo, 'ß', 'ss') AND lower(c.word) NOT IN (SELECT word FROM fr WHERE n >= 3)),
+rl AS (SELECT word, {BYTES.format("lower(word[1]) || word[2:]")} AS a, {BYTES.format("upper(word[1]) || word[2:]")} AS b FROM lex WHERE flags = 2), lk AS (SELECT word, {BYTES.format("word")} AS t FROM lex),
+close AS (SELECT r.word, l.word AS cand FROM rl r JOIN lk l ON abs(length(r.word) - length(l.word)) <= 1 WHERE {EDIT} = 1),
+groups AS (SELECT * FROM fixed UNION SELECT word, unnest([word, correction]) FROM more UNION SELECT word, unnest([word, cand]) FROM close),
+wrong AS (SELECT id, s FROM toks WHERE word NOT IN (SELECT word FROM lex) AND lower(word) NOT IN (SELECT typo FROM typo)), taken AS (SELECT word FROM cnt WHERE n = 2),
+open_ AS (SELECT l.* FROM local l WHERE NOT EXISTS (SELECT 1 FROM wrong x WHERE x.id = l.id AND x.s = l.s) AND l.word NOT IN (SELECT word FROM taken)),
+pairs AS MATERIALIZED (SELECT DISTINCT id, s, e, o.word, is_first, lft, CASE WHEN o.word = upper(o.word) AND o.word <> lower(o.word) THEN upper(alternative) WHEN is_first THEN upper(alternative[1]) || alternative[2:] ELSE alternative END AS candidate FROM open_ o JOIN groups g ON g.word = o.word), {NEED_SQL}, {PAIR_SQL},
+best AS (SELECT id, s, e, word, is_first, max(log_score) AS top, arg_max(candidate, (log_score, candidate)) AS candidate, max(log_score) FILTER (lower(candidate) = lower(word)) AS own FROM scored GROUP BY id, s, e, word, is_first)
+SELECT id AS doc_id, s AS start, e AS "end", word, is_first, 'context' AS kind, candidate AS suggestion, [candidate] AS suggestions FROM best WHERE lower(candidate) <> lower(word) AND top - own >= {K.CONTEXT_MARGIN}""")
+def _(spark, d):
+    """Groups of X4 with a typo table, and words in -en with their neighbours, scored by pieces. Spelling errors are words that neither lexicon nor typo table has, accepted ones occur twice."""
+    typed, lex = cut(corpus_typos(spark, d)), lexicon(spark, d)
+    tokens = cut(T.tokens_in_place(german(spark, d)).select("doc_id", "word", "start", "end", "is_first", F.col("context.text").alias("context"), F.col("context.start").alias("at")))
+    close = C.fuzzy_join(lex.where("flags = 2"), lex, 1).where("distance = 1").select("word", F.explode(F.array("word", "cand")).alias("alternative"))
+    groups = cut(X.confusion_group(tokens, typed, full_freq(spark, d)).union(close).distinct())
+    spelling = tokens.join(lex.select("word"), "word", "left_anti").join(typed, F.lower("word") == F.col("typo"), "left_anti")
+    return X.check_context(tokens, groups, pair_scorer(spark, d), spelling, X.accepted_words(tokens, user_words(spark, d)))
 
 
 @query("x10_accepted_words", f"WITH {TOK} SELECT word, count(*) AS n FROM tok WHERE lower(word) IN (SELECT lower(word) FROM tok GROUP BY word HAVING count(*) >= 50) GROUP BY word")
@@ -1046,7 +1108,7 @@ def _(spark, d):
     lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
     made = synth.mutate(lex).join(lex.select(F.col("word").alias("typo")), "typo", "left_anti")
     rows = made.select(F.col("typo").alias("word"), F.lit(False).alias("is_first")).distinct()
-    found = R.suggest(rows.withColumn("noun_signal", F.lit(False)), C.collect_candidates(rows, lex, fr), lex, fr)
+    found = R.suggest(rows.withColumn("noun_signal", F.lit(False)), C.collect_candidates(rows, lex, fr, limit=10), lex, fr)
     rank = found.select(F.col("word").alias("typo"), F.lower("suggestion").alias("low"), "rank").groupBy("typo", "low").agg(F.min("rank").alias("rank"))
     return synth.suggestion_hit_rate(made.withColumn("low", F.lower("word")).join(rank, ["typo", "low"], "left"))
 
