@@ -1162,9 +1162,8 @@ def drained(writer, path: str | None = None):
 def _(spark, d):
     """The last revision that was handed on of each text."""
     out = scratch_path(spark, "handed")
-    drained(live.latest_revisions(replayed(spark, revisions(spark, d)), scratch_path(spark, "state"), scratch_path(spark, "log"), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")))
-    handed = spark.read.parquet(out)
-    return handed.groupBy("doc_id").agg(F.max("revision").alias("revision"), F.max_by("text", "revision").alias("text"))
+    drained(live.latest_revisions(replayed(spark, revisions(spark, d)), "36500 days").writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "log")), out)
+    return spark.read.parquet(out).groupBy("doc_id").agg(F.max("revision").alias("revision"), F.max_by("text", "revision").alias("text"))
 
 
 @query("z02_quiet_revisions", f"""WITH r AS (SELECT conv_id, turn, text, {TURN_MS} AS ms FROM conversations), m AS (SELECT *, CASE WHEN ms - lag(ms) OVER o < 600 THEN 0 ELSE 1 END AS opens FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY ms)), b AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY ms) AS burst FROM m) SELECT conv_id AS doc_id, max(turn)::INT AS revision, arg_max(text, turn) AS text, min(ms)::BIGINT AS from_ms, (max(ms) + 600)::BIGINT AS to_ms FROM b GROUP BY conv_id, burst""")
@@ -1205,12 +1204,11 @@ def _(spark, d):
     """The lists after all changes, which come in batches in their order; the first adds the brands."""
     brands = table(spark, d, "part").select("p_brand").distinct().agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ";").alias("text"))  # some dozens
     first = brands.select(F.lit(-1).cast("long").alias("seq"), F.lit("add").alias("action"), "text")
-    path, lists = scratch_path(spark, "changes"), scratch_path(spark, "lists")
+    path, out = scratch_path(spark, "changes"), scratch_path(spark, "lists")
     events = list_events(spark, d)
     schema, log = events.schema, scratch_path(spark, "log")
-    stream = lambda: live.list_changes(spark.readStream.schema(schema).parquet(path), lists, log)
     half = events.agg(F.percentile_approx("seq", 0.5).alias("half")).first().half or 0
     for part in (first, events.where(F.col("seq") <= half), events.where(F.col("seq") > half)):
         part.write.mode("append").parquet(path)
-        drained(stream())
-    return spark.read.schema("word string, list_type string").parquet(f"{lists}/2")
+        drained(live.list_changes(spark.readStream.schema(schema).parquet(path)).writeStream.format("parquet").option("checkpointLocation", log), out)
+    return live.current_lists(spark.read.schema(live.CHANGE).parquet(out))
