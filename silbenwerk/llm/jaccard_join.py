@@ -568,6 +568,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     at = (F.col("own_hash") == F.col("kept_hash")) & F.col("own_id").eqNullSafe(F.col("kept_id"))
     found = keyed.where("some").join(kept, at)
     once = found.where("rows = 1").select("whole.*")
-    # a row that repeats as a whole: one of them
-    again = found.where("rows > 1").dropDuplicates(["own_id", "own_hash"]).select("whole.*")
-    return once.unionByName(again).unionByName(keyed.where("not some").select("whole.*")).select(docs.columns)
+    # of rows with one doc_id and text the least stays, so that reruns agree; a map column has no order and no part in it
+    ordered = F.struct(*[F.col(f"whole.`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().count("map<") and f.dataType.simpleString() not in ("variant", "interval")])
+    again = found.where("rows > 1").groupBy("own_id", "own_hash").agg(F.min_by("whole", ordered).alias("whole")).select("whole.*")
+    return once.unionByName(again).unionByName(keyed.where("not some").select("whole.*")).select([f"`{c}`" for c in docs.columns])

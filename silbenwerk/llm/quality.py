@@ -182,7 +182,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fo
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns.
+
+    Null and empty texts are scored as texts without passages; rows that repeat are judged alike; an empty table gives an empty
+    result. Without labels of both kinds there is no model, and all documents stay.
+    """
     model = fit_quality(docs, labels)
     if model is None:
         return docs

@@ -280,7 +280,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1_000_
     buckets = buckets_for(docs, bucket_bytes)
     text = F.coalesce(F.col("text"), F.lit(""))
     f1, f2 = F.xxhash64(text), F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id"), F.lit(-1)), text)
-    others = [F.col(c).alias(f"own_{c}") for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(f"`{c}`").alias(f"own_{c}".replace(".", "_dot_")) for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.select(f1.alias("f1"), f2.alias("f2"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *others)
     try:
         packed = scratch.keep(_anchors(keyed, buckets, span), "kind")
@@ -299,11 +299,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1_000_
     more = None
     if not hot.isEmpty():
         pieces = cut(pieces)
-        windows = cut(_windows(pieces.join(F.broadcast(hot), "anchor", "left_semi"), span))
+        # each has more than shard_runs contexts, so there are few; the planner broadcasts them if they are small enough
+        windows = cut(_windows(pieces.join(hot, "anchor", "left_semi"), span))
         # rows of equal documents share f1 and f2: their windows are repeated in any case
         twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
         more = windows.join(twice, "digest").select("f1", "f2", "lo", (F.col("lo") + span).cast("int").alias("hi"))
-        pieces = pieces.join(F.broadcast(hot), "anchor", "left_anti").select("f1", "f2", "anchor", "lo", "piece")
+        pieces = pieces.join(hot, "anchor", "left_anti").select("f1", "f2", "anchor", "lo", "piece")
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = pieces.groupBy("shard").applyInPandas(_sorted_shard(span, memory), "f1 long, f2 long, lo int, hi int")
     if more is not None:
@@ -355,11 +356,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents without their repeated strings, whole characters going where a span cuts one.
 
-    n_chars follows the text. Documents of which nothing is left go; those that were empty stay.
+    n_chars follows the text. Documents of which nothing is left go; those that were empty or null stay, as empty ones. Rows that repeat, and
+    rows with one doc_id and text, lose the same strings and are answered each; nulls and clashing or dotted names in other columns do not matter;
+    an empty table gives an empty result.
     """
     keyed, spans = repeated_spans(docs, span)
     schema = docs.schema
-    names = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"own_{c}" for c in docs.columns]
+    names = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"own_{c}".replace(".", "_dot_") for c in docs.columns]
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,3 +243,18 @@ def test_a_long_hostile_page_takes_linear_time(spark):
     html = "<article>" + "<p <a " * 200_000 + "<div>" * 20_000 + "word " * 500_000 + "</p>" * 100_000 + "< <" * 100_000
     got, _ = extracted(spark, [(1, "http://x.example", html), (2, "http://x.example", "<article>" + "long " * 1_000_000)])
     assert len(got[2, "http://x.example"]) == 4_999_999
+
+
+def test_stages_keep_dotted_and_clashing_columns(spark):
+    from silbenwerk.llm.jaccard_join import one_of_each
+    from silbenwerk.llm.suffix_dedup import without_repeats
+
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text, "x", 5, [1]), (1, text, "a", 7, None), (2, text + " end", None, 1, [2]), (3, "other words that stand alone", "z", 2, []), (4, None, "n", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, node int, bucket array<int>")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["a.b"]) for r in kept.collect()) == [(1, "a"), (3, "z"), (4, "n")]
+    left = without_repeats(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r["a.b"], r.text) for r in left.collect() if r.doc_id != 2) == [(3, "z", "other words that stand alone"), (4, "n", "")]
