@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -134,21 +135,24 @@ BEFORE = "struct<none:boolean,first:string,last:string,previous:string,two:boole
 
 
 def tokens_in_place(docs: DataFrame, contexts: bool = True, text_col: str = "text", id_col: str = "doc_id", most: int = 5_000) -> DataFrame:
-    """T2, T4, T5 with what surrounds each token: tokens as from `tokenize`, `before` (see `words_before`) over the whole text, and
-    `context` (T9: text, start, end) if asked for. All is made where the text lies, in one pass, `most` rows at a time."""
+    """T2, T4, T5 with what surrounds each token: tokens as from `tokenize`, `sent_ix` (T6), `before` (see `words_before`) over the whole text,
+    and `context` (T9: text, start, end) if asked for. All is made where the text lies, in one pass, `most` rows at a time."""
     kind = docs.schema[id_col].dataType
-    shape = f"doc_id {kind.simpleString()}, tok_ix int, word string, start int, end int, is_first boolean, before {BEFORE}" + ", context struct<text:string,start:int,end:int>" * contexts
+    shape = f"doc_id {kind.simpleString()}, tok_ix int, word string, start int, end int, is_first boolean, sent_ix int, before {BEFORE}" + ", context struct<text:string,start:int,end:int>" * contexts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 tokens = tokens_in(text)
-                before = words_before(text, [t["start"] for t in tokens])
+                starts = [t["start"] for t in tokens]
+                before = words_before(text, starts)
+                inside = np.searchsorted(np.array([lo for lo, _ in sentence_bounds(text)], np.int64), np.array(starts, np.int64), "right") - 1
                 for at in range(0, len(tokens), most):
                     part = tokens[at:at + most]
                     columns = [batch.column(0).take(pa.array([i] * len(part))), *(pa.array([t[c] for t in part], k) for c, k in (("tok_ix", pa.int32()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("is_first", pa.bool_())))]
-                    names = ["doc_id", "tok_ix", "word", "start", "end", "is_first", "before"]
+                    columns.append(pa.array(inside[at:at + most], pa.int32()))
+                    names = ["doc_id", "tok_ix", "word", "start", "end", "is_first", "sent_ix", "before"]
                     columns.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*before[at:at + most]), (pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()))], ["none", "first", "last", "previous", "two", "target"]))
                     if contexts:
                         names.append("context")
@@ -168,21 +172,29 @@ def tokenize(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.inline(tokenize_column(F.col(text_col))))
 
 
-def sentences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, sent_ix, text, start, end of spans up to a terminator that hold a letter.
+_sentence, _a_letter = regex.compile(SENTENCE.replace("$", r"\Z")), regex.compile(r"\p{L}")
 
-    Tiles of sentences and terminators cover the text, so starts are sums of lengths.
-    """
-    tiles = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"{SENTENCE}|[.!?…\\r\\n]"), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
-    def step(acc, tile):
-        end = acc["at"] + F.length(tile)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(tile.alias("text"), acc["at"].alias("start"), end.alias("end")))).alias("out"))
+def sentence_bounds(text: str) -> list[tuple[int, int]]:
+    """Spans up to a terminator that hold a letter, in order."""
+    return [m.span() for m in _sentence.finditer(text) if _a_letter.search(text, *m.span())]
+
 
-    spans = F.aggregate(tiles, empty, step)["out"]
-    spans = F.filter(spans, lambda s: s["text"].rlike(r"\p{L}"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(spans).alias("sent_ix", "s")).select("doc_id", "sent_ix", "s.text", "s.start", "s.end")
+def sentences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int = 5_000) -> DataFrame:
+    """doc_id, sent_ix, text, start, end of spans up to a terminator that hold a letter; in one pass, `most` rows at a time."""
+    shape = f"doc_id {docs.schema[id_col].dataType.simpleString()}, sent_ix int, text string, start int, end int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                bounds = sentence_bounds(text)
+                for at in range(0, len(bounds), most):
+                    part = bounds[at:at + most]
+                    columns = [batch.column(0).take(pa.array([i] * len(part))), pa.array(range(at, at + len(part)), pa.int32()), pa.array([text[lo:hi] for lo, hi in part], pa.string()), *(pa.array(c, pa.int32()) for c in zip(*part))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sent_ix", "text", "start", "end"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape)
 
 
 def not_latin(text: Column) -> Column:
@@ -203,12 +215,15 @@ def is_foreign(sents: DataFrame, detected: DataFrame | None = None) -> DataFrame
 
 
 def german_tokens(docs: DataFrame, detected: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
-    """Tokens with a Latin letter outside foreign sentences; `tokens`: those of docs, if they are at hand."""
-    foreign = is_foreign(sentences(docs), detected).where("foreign").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    tokens = (tokenize(docs) if tokens is None else tokens).where(F.col("word").rlike(r"\p{IsLatin}"))
-    spans = foreign.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    inside = F.exists(F.coalesce("spans", F.array()), lambda x: (F.col("start") >= x["s"]) & (F.col("start") < x["e"]))
-    return tokens.join(spans, "doc_id", "left").where(~inside).drop("spans")
+    """Tokens with a Latin letter outside foreign sentences; `tokens`: those of docs from `tokens_in_place`, if they are at hand.
+
+    A token knows the number of its sentence, so foreign sentences leave by an equi-join.
+    """
+    foreign = is_foreign(sentences(docs), detected).where("foreign").select("doc_id", "sent_ix")
+    plain = tokens is None
+    tokens = (tokens_in_place(docs, contexts=False) if plain else tokens).where(F.col("word").rlike(r"\p{IsLatin}"))
+    out = tokens.join(foreign, ["doc_id", "sent_ix"], "left_anti")
+    return out.select("doc_id", "tok_ix", "word", "start", "end", "is_first") if plain else out
 
 
 def local_context(text: Column, start: Column, end: Column, radius: int = 280) -> Column:

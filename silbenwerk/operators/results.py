@@ -1,8 +1,12 @@
 """Document-level results."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import shared_head
 
@@ -21,23 +25,35 @@ def error_still_matches(text: Column, start: Column, end: Column, word: Column)
     return (start >= 0) & inner & ~before.rlike(letter) & ~after.rlike(letter)
 
 
+def corrected(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """The text after edits in ascending order; one that begins before the last one's end is left out."""
+    at, parts = 0, []
+    for start, end, suggestion in edits:
+        if start >= at:
+            parts += [text[at:start], suggestion]
+            at = end
+    return "".join(parts) + text[at:]
+
+
 def apply_corrections(docs: DataFrame, errors: DataFrame) -> DataFrame:
     """docs(doc_id, text) with errors(doc_id, start, end, suggestion) replaced.
 
-    Of overlapping spans the one that begins first stays. A document's edits are put together from
-    left to right in one pass over its own list.
+    Of overlapping spans the one that begins first stays. The gaps between a document's edits are put together in one pass. Edits without place
+    or suggestion count for nothing.
     """
-    edits = errors.where("suggestion is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "suggestion"))).alias("edits"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, e):
-        done = F.struct(e["end"].cast("int").alias("at"), F.concat(acc["parts"], F.array(F.substring("text", acc["at"] + 1, (e["start"] - acc["at"]).cast("int")), e["suggestion"])).alias("parts"))
-        return F.when(e["start"] < acc["at"], acc).otherwise(done)
-
-    folded = F.aggregate("edits", empty, step)
-    out = docs.join(edits, "doc_id", "left").withColumn("f", folded)
-    fixed = F.concat(F.array_join("f.parts", ""), F.substring("text", F.col("f.at") + 1, F.length("text")))
-    return out.withColumn("text", F.coalesce(fixed, "text")).drop("edits", "f")
+    edits = errors.where("suggestion is not null and start is not null and end is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "suggestion"))).alias("edits"))
+    schema, at = docs.schema, docs.columns.index("text")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, texts = batch.column(batch.num_columns - 1), batch.column(at)
+            fixed = [text.as_py() if not e.is_valid or not text.is_valid else corrected(text.as_py(), [(x["start"], x["end"], x["suggestion"]) for x in e.as_py()]) for text, e in zip(texts, own)]
+            columns = [pa.array(fixed, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    joined = docs.join(edits, "doc_id", "left").select(*[docs[f"`{c}`"] for c in docs.columns], "edits")
+    return joined.mapInArrow(run, schema)
 
 
 def carry_errors(old: DataFrame, new: DataFrame, errors: DataFrame, old_sents: DataFrame | None = None, new_sents: DataFrame | None = None) -> DataFrame:

@@ -113,3 +113,17 @@ def test_check_text_gives_spelling_and_context_errors(spark):
     assert {(r.doc_id, r.word, r.start, r.suggestion) for r in plain} == {(1, "garden", 40, "Garten")}
     # accepted words have no context errors
     assert {r.kind for r in check_text(docs, lexicon, freq, listed=spark.createDataFrame([("Das",)], "word string"), check_case=False, scorer=lambda b: pd.Series(prefers(b))).collect()} == {"spelling"}
+
+
+def test_many_sentences_and_many_edits_in_one_text(spark):
+    from silbenwerk.operators.results import apply_corrections
+
+    text = "Ein Satz hier. Это другое. Ja!\n" * 40_000
+    docs = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "ab ab", "z")], "doc_id long, text string, `a.b` string")
+    assert T.sentences(docs).where("doc_id = 1").count() == 120_000
+    tokens = T.german_tokens(docs).where("doc_id = 1")
+    assert tokens.count() == 160_000 and tokens.where("word rlike '[а-я]'").count() == 0
+    edits = tokens.where("word = 'Satz'").select("doc_id", "start", "end", F.lit("Wort").alias("suggestion"))
+    more = spark.createDataFrame([(3, 3, 5, "c"), (3, 0, 2, "d"), (3, 1, 4, "never"), (3, 0, None, "n"), (3, 0, 2, None), (9, 0, 1, "q")], edits.schema)
+    out = {r.doc_id: r for r in apply_corrections(docs, edits.union(more)).collect()}
+    assert out[1].text == text.replace("Satz", "Wort") and out[2].text is None and out[3].text == "d c" and out[3]["a.b"] == "z"
