@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import crc_mod
 
@@ -190,15 +191,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     model = fit_quality(docs, labels)
     if model is None:
         return docs
+    at, arrow = [docs.columns.index(c) for c in ("doc_id", "text")], to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in ("doc_id", "text")]
             pair = pa.RecordBatch.from_arrays([batch.column(at[0]), batch.column(at[1]).cast(pa.binary())], ["doc_id", "text"])
             keep = []
             for _, texts in text_chunks(pair):
                 n, x = passages(texts)
                 keep.append(np.round(model.score(x.astype(np.float64), n), 9) >= threshold)
-            yield batch.filter(pa.array(np.concatenate(keep), pa.bool_())) if keep else batch
+            batch = batch.filter(pa.array(np.concatenate(keep), pa.bool_())) if keep else batch
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, docs.schema)
+    # plain names: Spark reads a dot in the names of what is mapped
+    return docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).mapInArrow(run, docs.schema)

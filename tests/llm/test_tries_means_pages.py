@@ -258,3 +258,11 @@ def test_stages_keep_dotted_and_clashing_columns(spark):
     left = without_repeats(docs)
     assert left.columns == docs.columns
     assert sorted((r.doc_id, r["a.b"], r.text) for r in left.collect() if r.doc_id != 2) == [(3, "z", "other words that stand alone"), (4, "n", "")]
+    from silbenwerk.llm.quality import keep_good
+
+    good = [(10 + i, "clean words in a calm order " * 9, "q", i, None) for i in range(30)] + [(50 + i, "### $$$ %%% *** " * 20, "r", i, None) for i in range(30)]
+    table = docs.union(spark.createDataFrame(good, docs.schema))
+    labels = spark.createDataFrame([(10 + i, 1) for i in range(30)] + [(50 + i, 0) for i in range(30)], "doc_id long, quality int")
+    kept = keep_good(table, labels)
+    assert kept.columns == docs.columns and {r["a.b"] for r in kept.where("doc_id >= 10").collect()} == {"q"}
+    assert keep_good(table, labels.where("quality = 1")).count() == table.count()
