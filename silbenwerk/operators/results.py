@@ -52,7 +52,8 @@ def apply_corrections(docs: DataFrame, errors: DataFrame) -> DataFrame:
             columns = [pa.array(fixed, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    joined = docs.join(edits, "doc_id", "left").select(*[docs[f"`{c}`"] for c in docs.columns], "edits")
+    # plain names: Spark reads a dot in the names of what is mapped
+    joined = docs.join(edits, "doc_id", "left").select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "edits")
     return joined.mapInArrow(run, schema)
 
 

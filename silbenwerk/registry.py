@@ -590,7 +590,11 @@ def _(spark, d):
     return detect.verdicts(rows, lexicon(spark, d))
 
 
-@query("d11_must_be_capitalized")
+@query("d11_must_be_capitalized", f"""WITH RECURSIVE {GERMAN_TOKENS}, {LEX}, ev AS (SELECT lower(word) AS word, bool_or(word = lower(word) AND NOT is_first) AS has_lower FROM toks GROUP BY 1),
+dw AS (SELECT DISTINCT word, lower(word) AS low, upper(word[1]) || lower(word[2:]) AS tit FROM cnt), inp AS (SELECT tit AS word FROM dw UNION SELECT low FROM dw), {COMPOUND_SQL}, ok AS ({COMPOUND_OK})
+SELECT dw.word, CASE WHEN dw.low IN ({quoted(K.NEVER_NOUNS)}) OR (l.word IS NOT NULL AND coalesce(ev.has_lower, false)) THEN false
+ ELSE (coalesce(t.flags & {K.NOUN} <> 0, false) AND coalesce(l.flags & {K.LOWER_COMPOUND} = 0, true)) OR (t.word IS NOT NULL AND l.word IS NULL) OR (dw.tit IN (SELECT word FROM ok) AND dw.low NOT IN (SELECT word FROM ok)) END AS must_cap
+FROM dw LEFT JOIN lex t ON t.word = dw.tit LEFT JOIN lex l ON l.word = dw.low LEFT JOIN ev ON ev.word = dw.low""")
 def _(spark, d):
     return detect.must_be_capitalized(words(spark, d).select("word").distinct(), lexicon(spark, d), full_freq(spark, d))
 

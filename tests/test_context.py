@@ -124,6 +124,36 @@ def test_many_sentences_and_many_edits_in_one_text(spark):
     tokens = T.german_tokens(docs).where("doc_id = 1")
     assert tokens.count() == 160_000 and tokens.where("word rlike '[а-я]'").count() == 0
     edits = tokens.where("word = 'Satz'").select("doc_id", "start", "end", F.lit("Wort").alias("suggestion"))
-    more = spark.createDataFrame([(3, 3, 5, "c"), (3, 0, 2, "d"), (3, 1, 4, "never"), (3, 0, None, "n"), (3, 0, 2, None), (9, 0, 1, "q")], edits.schema)
+    more = spark.createDataFrame([(3, 3, 5, "c"), (3, 0, 2, "d"), (3, 1, 4, "never"), (3, 0, None, "n"), (3, 0, 2, None), (9, 0, 1, "q")], "doc_id long, start int, end int, suggestion string")
     out = {r.doc_id: r for r in apply_corrections(docs, edits.union(more)).collect()}
     assert out[1].text == text.replace("Satz", "Wort") and out[2].text is None and out[3].text == "d c" and out[3]["a.b"] == "z"
+
+
+def test_what_announces_a_noun(spark):
+    single = "aus bei mit nach von im am beim zum zur ohne durch für vor in auf unter über trotz das der die ein eine kein mein dein ihr unser sein euer".split()
+    yes = [(f"{w} vergnügen", len(w) + 1) for w in single] + [(f"{a} {b} {c}", len(a) + len(b) + 2) for a, b, c in (
+        ("aus", "purem", "zufal"), ("mit", "warmer", "supe"), ("nach", "kurzem", "schlf"), ("ohne", "langen", "umwg"), ("für", "neues", "glük"), ("das", "alte", "haus"), ("ein", "leises", "lachn"))] + [("zu besuch", 3), ("Wir gehen zu tisch", 13)]
+    no = [("gut für gekauft haltn", 16), ("als gekocht meldn", 12), ("nur für immer gehn", 14), ("etwas für heute gebn", 16), ("nichts für zusammen spieln", 20), ("sie sollen gehn", 11), ("wir dürfen lesn", 11), ("ich muss gehn", 9), ("er war krnk", 7), ("sie können sehn", 11),
+          ("anfang", 0), ("", 0), (None, 5), ("aus vergnügen", -1), ("am schnellsten", 3), ("um zu gehn", 6)]
+    cases = spark.createDataFrame([(c, s, True) for c, s in yes] + [(c, s, False) for c, s in no], "c string, s int, want boolean")
+    assert [(r.c, r.s) for r in cases.withColumn("got", X.noun_signal(F.col("c"), F.col("s"))).collect() if r.got != r.want] == []
+
+
+def test_context_and_spelling_weigh_together(spark):
+    rows = [(i, w, e, lp, s, False) for i, scores in enumerate(((-16.0, -7.0, -14.0, -3.0, None), (-16.0, -7.0, -14.0, -3.0, -20.0), (None,) * 5)) for (w, e, lp), s in zip((("spiel", 0.71, -1.2), ("spielen", 0.58, -2.1), ("Spielen", 0.56, -2.3), ("spülen", 0.38, -4.9), ("Zaun", 0.1, -27.0)), scores) if not (i == 0 and w == "Zaun")]
+    out = X.fuse_scores(spark.createDataFrame(rows, "occ_id int, word string, edit_score double, log_posterior double, log_score double, from_user boolean")).collect()
+    order = {i: [r.word for r in sorted((r for r in out if r.occ_id == i), key=lambda r: r["rank"])] for i in range(3)}
+    assert order[0][0] == "spielen" and order[1][0] == "spielen" and order[2][0] == "spiel"
+    assert sum(w.lower() == "spielen" for w in order[0]) == 1
+
+
+def test_late_context_errors_are_found_too(spark):
+    import pandas as pd
+    docs = spark.createDataFrame([(1, "Das ist fein. " * 20 + "Ihr seit da.")], "doc_id long, text string")
+    tokens = T.tokens_in_place(docs).select("doc_id", "word", "start", "end", "is_first", F.col("context.text").alias("context"), F.col("context.start").alias("at"))
+
+    def scorer(batch):
+        return pd.Series([0.0 if (c == "seid" if "Ihr seit" in x else c.lower() == "das") else -5.0 for c, x in zip(batch["candidate"], batch["context"])])
+
+    got = X.check_context(tokens, X.confusion_group(tokens), scorer).collect()
+    assert [(r.word, r.start, r.suggestion) for r in got] == [("seit", 284, "seid")]
