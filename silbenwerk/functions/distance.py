@@ -17,9 +17,7 @@ from .. import constants as K
 
 APART = 999.0  # words whose lengths differ by more than MOST_APART
 MOST_APART, BLOCK = 3, 4096
-DOUBLED, SILENT_TYPED, SILENT_MEANT, LINK, SCHWA, HARDENED, SWAPPED = 0.35, 0.65, 0.28, 0.45, 0.30, 0.20, 0.45
-HARD_SOFT = ["bp", "dt", "gk"]
-ENDINGS = ["", "s", "e", "en", "er", "es"]
+HARD_SOFT = [ord(a) << 32 | ord(b) for a, b in K.HARD_SOFT]
 
 _derived, _not_derived = re.compile(K.DERIVED), re.compile(K.NOT_DERIVED)
 
@@ -68,7 +66,7 @@ def _wants_link(word: str, at: int) -> bool:
 
 def _too_many(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     before, after = _neighbours(x)
-    return np.select([(x == before) | (x == after), _silent(x, before, size)], [DOUBLED, SILENT_TYPED], 1.0)
+    return np.select([(x == before) | (x == after), _silent(x, before, size)], [K.DOUBLED, K.SILENT_TYPED], 1.0)
 
 
 def _missing(y: np.ndarray, size: np.ndarray, words: list[str]) -> np.ndarray:
@@ -77,7 +75,7 @@ def _missing(y: np.ndarray, size: np.ndarray, words: list[str]) -> np.ndarray:
     for i, j in zip(*np.nonzero(_is(y, "s"))):
         link[i, j] = _wants_link(words[i], int(j))
     schwa = _is(y, "e") & _is(before, "h") & _is(after, "n")
-    return np.select([(y == before) | (y == after), link, _silent(y, before, size), schwa], [DOUBLED, LINK, SILENT_MEANT, SCHWA], 1.0)
+    return np.select([(y == before) | (y == after), link, _silent(y, before, size), schwa], [K.DOUBLED, K.LINK, K.SILENT_MEANT, K.SCHWA], 1.0)
 
 
 def _another(x: np.ndarray, y: np.ndarray, typed: list[str], meant: list[str]) -> np.ndarray:
@@ -87,11 +85,16 @@ def _another(x: np.ndarray, y: np.ndarray, typed: list[str], meant: list[str]) -
     kx, ky = known[np.maximum(x, 0)], known[np.maximum(y, 0)]
     cost = KEY_COST[kx[:, :, None], ky[:, None, :]]
     cost[x[:, :, None] == y[:, None, :]] = 0.0
-    for k, (a, b) in enumerate(zip(typed, meant)):
-        for ending in ENDINGS:
-            i, j = len(a) - len(ending) - 1, len(b) - len(ending) - 1
-            if i >= 0 and j >= 0 and a[i] != b[j] and "".join(sorted(a[i] + b[j])) in HARD_SOFT and a.endswith(ending) and b.endswith(ending):
-                cost[k, i, j] = HARDENED
+    m, n = (np.array([len(w) for w in words]) for words in (typed, meant))
+    # a hard letter for a soft one at the end of a stem: both words go on alike behind it
+    for ending in K.STEM_ENDINGS:
+        rows = np.flatnonzero((m > len(ending)) & (n > len(ending)))
+        for k, c in enumerate(ending):
+            rows = rows[(x[rows, m[rows] - len(ending) + k] == ord(c)) & (y[rows, n[rows] - len(ending) + k] == ord(c))]
+        i, j = m[rows] - len(ending) - 1, n[rows] - len(ending) - 1
+        p, q = x[rows, i].astype(np.int64), y[rows, j].astype(np.int64)
+        hard = np.isin(np.minimum(p, q) << 32 | np.maximum(p, q), HARD_SOFT)
+        cost[rows[hard], i[hard], j[hard]] = K.HARDENED
     return cost
 
 
@@ -136,7 +139,7 @@ def weighted_block(typed: list[str], meant: list[str]) -> np.ndarray:
                 np.minimum(cell, table[i - 1, j - 1] + other[:, i - 1, j - 1], out=cell)
             if i > 1 and j > 1:
                 rows = np.flatnonzero((x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1]))
-                cell[rows] = np.minimum(cell[rows], table[i - 2, j - 2, rows] + SWAPPED)
+                cell[rows] = np.minimum(cell[rows], table[i - 2, j - 2, rows] + K.SWAPPED)
             for p, q, rows, cost in rules.get((i, j), ()):
                 cell[rows] = np.minimum(cell[rows], table[i - p, j - q, rows] + cost)
     out = table[m, n, np.arange(len(typed))]
@@ -165,9 +168,6 @@ def weighted_distance(typed: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series(out).astype("float64").where(good, None)
 
 
-SOUNDS_ALIKE = [("k", "c"), ("c", "k"), ("ph", "f"), ("f", "ph"), ("v", "f"), ("f", "v")]
-
-
 def shared_ends(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """M7: letters shared at the beginning (a first sound that is only written in another way counts 0.7) and at the end."""
     def heads(x: list[str], y: list[str]) -> np.ndarray:
@@ -177,7 +177,7 @@ def shared_ends(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     head = heads(a, b).astype(float)
     rest = heads([w[1:] for w in a], [w[1:] for w in b])
-    alike = np.array([any(x.startswith(p) and y.startswith(q) for p, q in SOUNDS_ALIKE) for x, y in zip(a, b)], bool)
+    alike = np.array([any(x.startswith(p) and y.startswith(q) for p, q in K.SOUNDS_ALIKE) for x, y in zip(a, b)], bool)
     head = np.where((head == 0) & alike & (rest >= 1), rest + 1 - 0.3, head)
     return head, heads([w[::-1] for w in a], [w[::-1] for w in b]).astype(float)
 
