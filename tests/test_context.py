@@ -157,3 +157,25 @@ def test_late_context_errors_are_found_too(spark):
 
     got = X.check_context(tokens, X.confusion_group(tokens), scorer).collect()
     assert [(r.word, r.start, r.suggestion) for r in got] == [("seit", 284, "seid")]
+
+
+def test_suggestions_follow_the_scorer_where_there_is_context(spark):
+    from silbenwerk.operators import candidates as C
+    from silbenwerk.operators import ranking as R
+
+    names = ["haus", "maus", "raus", "aus"]
+    lexicon = spark.createDataFrame([(w, 0) for w in names], "word string, flags int")
+    freq = spark.createDataFrame([(w, 5, True, False) for w in names], "word string, n long, has_lower boolean, has_title boolean")
+    contexts = {"a": ("das gaus da", 4), "b": ("eine gaus hier", 5), "c": ("gaus", 0), "d": ("12 gaus 3", 3), "e": ("sehr gaus", 5)}
+    rows = spark.createDataFrame([(i, "gaus", False, False, c, at, at + 4) for i, (c, at) in contexts.items()], "occ_id string, word string, is_first boolean, noun_signal boolean, context string, start int, end int")
+    found = C.collect_candidates(rows, lexicon, freq)
+    plain = [r.suggestion for r in R.suggest(rows, found, lexicon, freq).where("not noun_signal").orderBy("rank").collect()]
+    assert sorted(plain[:4]) == sorted(names)
+    liked = {"a": plain[-1], "b": plain[1]}
+    said = [(contexts[i][0], contexts[i][1], w, 0.0 if w == liked[i] else -30.0) for i in liked for w in plain] + [(contexts["c"][0], 0, plain[-1], 0.0)]
+    scorer = spark.createDataFrame(said, "context string, start int, candidate string, log_score double")
+    got = R.suggest_in_context(rows, found, lexicon, freq, scorer).collect()
+    order = {i: [r.suggestion for r in sorted((r for r in got if r.occ_id == i), key=lambda r: r["rank"])] for i in contexts}
+    assert order["a"][0] == liked["a"] and order["b"][0] == liked["b"]
+    # no letters around the word, or no score at all: the order by spelling stays
+    assert order["c"] == order["d"] == order["e"] == plain
