@@ -6,7 +6,7 @@ right, are found by a small helper that runs where the text lies.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,26 +134,29 @@ def context_of(text: str, start: int, end: int, radius: int = 280) -> tuple[str,
 BEFORE = "struct<none:boolean,first:string,last:string,previous:string,two:boolean,target:string>"
 
 
-def tokens_in_place(docs: DataFrame, contexts: bool = True, text_col: str = "text", id_col: str = "doc_id", most: int = 5_000) -> DataFrame:
+def tokens_in_place(docs: DataFrame, contexts: bool = True, before: bool = True, keep: Callable[[dict], bool] | None = None, text_col: str = "text", id_col: str = "doc_id", most: int = 5_000) -> DataFrame:
     """T2, T4, T5 with what surrounds each token: tokens as from `tokenize`, `sent_ix` (T6), `before` (see `words_before`) over the whole text,
-    and `context` (T9: text, start, end) if asked for. All is made where the text lies, in one pass, `most` rows at a time."""
+    and `context` (T9: text, start, end) if asked for; `keep` says of a token (a dict of its columns) whether it is wanted. All is made where the text lies, in one pass, `most` rows at a time."""
     kind = docs.schema[id_col].dataType
-    shape = f"doc_id {kind.simpleString()}, tok_ix int, word string, start int, end int, is_first boolean, sent_ix int, before {BEFORE}" + ", context struct<text:string,start:int,end:int>" * contexts
+    shape = f"doc_id {kind.simpleString()}, tok_ix int, word string, start int, end int, is_first boolean, sent_ix int" + f", before {BEFORE}" * before + ", context struct<text:string,start:int,end:int>" * contexts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 tokens = tokens_in(text)
+                tokens = tokens if keep is None else [t for t in tokens if keep(t)]
                 starts = [t["start"] for t in tokens]
-                before = words_before(text, starts)
+                ahead = words_before(text, starts) if before else []
                 inside = np.searchsorted(np.array([lo for lo, _ in sentence_bounds(text)], np.int64), np.array(starts, np.int64), "right") - 1
                 for at in range(0, len(tokens), most):
                     part = tokens[at:at + most]
                     columns = [batch.column(0).take(pa.array([i] * len(part))), *(pa.array([t[c] for t in part], k) for c, k in (("tok_ix", pa.int32()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("is_first", pa.bool_())))]
                     columns.append(pa.array(inside[at:at + most], pa.int32()))
-                    names = ["doc_id", "tok_ix", "word", "start", "end", "is_first", "sent_ix", "before"]
-                    columns.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*before[at:at + most]), (pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()))], ["none", "first", "last", "previous", "two", "target"]))
+                    names = ["doc_id", "tok_ix", "word", "start", "end", "is_first", "sent_ix"]
+                    if before:
+                        names.append("before")
+                        columns.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*ahead[at:at + most]), (pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()))], ["none", "first", "last", "previous", "two", "target"]))
                     if contexts:
                         names.append("context")
                         columns.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*(context_of(text, t["start"], t["end"]) for t in part)), (pa.string(), pa.int32(), pa.int32()))], ["text", "start", "end"]))
@@ -221,7 +224,7 @@ def german_tokens(docs: DataFrame, detected: DataFrame | None = None, tokens: Da
     """
     foreign = is_foreign(sentences(docs), detected).where("foreign").select("doc_id", "sent_ix")
     plain = tokens is None
-    tokens = (tokens_in_place(docs, contexts=False) if plain else tokens).where(F.col("word").rlike(r"\p{IsLatin}"))
+    tokens = (tokens_in_place(docs, contexts=False, before=False) if plain else tokens).where(F.col("word").rlike(r"\p{IsLatin}"))
     out = tokens.join(foreign, ["doc_id", "sent_ix"], "left_anti")
     return out.select("doc_id", "tok_ix", "word", "start", "end", "is_first") if plain else out
 

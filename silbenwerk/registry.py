@@ -497,7 +497,7 @@ def _(spark, d):
 
 @query("t09_local_context", f'WITH {ALL_TOKENS}, {CONTEXT_SQL} SELECT id AS doc_id, s AS start, e AS "end", word, context, "at" FROM local WHERE is_first')
 def _(spark, d):
-    rows = T.tokens_in_place(table(spark, d, "documents")).where("is_first")
+    rows = T.tokens_in_place(table(spark, d, "documents"), before=False, keep=lambda t: t["is_first"])
     return rows.select("doc_id", "start", "end", "word", F.col("context.text").alias("context"), F.col("context.start").alias("at"))
 
 
@@ -788,7 +788,7 @@ def _(spark, d):
 def _(spark, d):
     """Every unknown word of the German documents where it stands, with sixteen candidates scored in context."""
     lex, fr = cut(lexicon(spark, d)), cut(full_freq(spark, d))
-    unknown = T.tokens_in_place(german(spark, d)).join(lex.select("word"), "word", "left_anti")
+    unknown = T.tokens_in_place(german(spark, d), before=False).join(lex.select("word"), "word", "left_anti")
     signal = X.noun_signal(F.col("context.text"), F.col("context.start"))
     rows = cut(unknown.select(F.concat_ws(":", "doc_id", "tok_ix").alias("occ_id"), "word", "is_first", signal.alias("noun_signal"), F.col("context.text").alias("context"), F.col("context.start").alias("start"), F.col("context.end").alias("end")))
     found = cut(C.collect_candidates(rows, lex, fr, limit=16))
@@ -820,7 +820,7 @@ signals AS (SELECT *, CASE WHEN last_raw = '' THEN false
 
 @query("x01_noun_signal", f"WITH {GERMAN_TOKENS}, {CONTEXT_SQL}, {SIGNAL_SQL} SELECT id AS doc_id, s AS start, word, signal FROM signals")
 def _(spark, d):
-    rows = T.tokens_in_place(german(spark, d))
+    rows = T.tokens_in_place(german(spark, d), before=False)
     return rows.select("doc_id", "start", "word", X.noun_signal(F.col("context.text"), F.col("context.start")).alias("signal"))
 
 
@@ -944,7 +944,7 @@ SELECT doc_id, start, candidate, round(log_score, 6) AS log_score FROM scored"""
 def _(spark, d):
     """Rare words where they stand, against their neighbours in the lexicon, scored piece by piece."""
     near = C.fuzzy_join(rare(spark, d), lexicon(spark, d), 1).select("word", F.explode(F.array("word", "cand")).alias("candidate")).distinct()
-    rows = T.tokens_in_place(german(spark, d)).join(near, "word")
+    rows = T.tokens_in_place(german(spark, d), before=False).join(near, "word")
     pairs = rows.select("doc_id", F.col("start").alias("pos"), F.col("context.text").alias("context"), F.col("context.start").alias("start"), F.col("context.end").alias("end"), "candidate")
     return pair_scorer(spark, d)(cut(pairs)).select("doc_id", F.col("pos").alias("start"), "candidate", F.round("log_score", 6).alias("log_score"))
 
@@ -978,7 +978,7 @@ SELECT id AS doc_id, s AS start, e AS "end", word, is_first, 'context' AS kind,
 def _(spark, d):
     """Groups of X4 with a typo table, and words in -en with their neighbours, scored by pieces. Spelling errors are words that neither lexicon nor typo table has, accepted ones occur twice."""
     typed, lex = cut(corpus_typos(spark, d)), lexicon(spark, d)
-    tokens = cut(T.tokens_in_place(german(spark, d)).select("doc_id", "word", "start", "end", "is_first", F.col("context.text").alias("context"), F.col("context.start").alias("at")))
+    tokens = cut(T.tokens_in_place(german(spark, d), before=False).select("doc_id", "word", "start", "end", "is_first", F.col("context.text").alias("context"), F.col("context.start").alias("at")))
     close = C.fuzzy_join(lex.where("flags = 2"), lex, 1).where("distance = 1").select("word", F.explode(F.array("word", "cand")).alias("alternative"))
     groups = cut(X.confusion_group(tokens, typed, full_freq(spark, d)).union(close).distinct())
     spelling = tokens.join(lex.select("word"), "word", "left_anti").join(typed, F.lower("word") == F.col("typo"), "left_anti")
