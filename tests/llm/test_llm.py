@@ -550,3 +550,24 @@ def test_local_join_across_batches():
         for size in (1, 7, 100):
             got = [(r["u"], r["v"]) for b in nn_descent._local_join(6)(batches(size, wide)) for r in b.to_pylist()]
             assert sorted(got) == sorted(want)
+
+
+def test_local_join_offers_only_what_can_enter():
+    rng = np.random.default_rng(9)
+    x = np.ones(8) + 0.05 * rng.normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    def batch(wide, bound):
+        cols = [pa.array(np.full(200, 5)), pa.array(np.arange(200)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(200, wide)), pa.array(bound, pa.float64())]
+        return iter([pa.RecordBatch.from_arrays(cols, ["u", "node", "unit", "wide", "bound"])])
+
+    sim = x @ x.T
+    np.fill_diagonal(sim, -2)
+    order = np.argsort(-sim, axis=1)
+    bound = np.take_along_axis(sim, order, 1)[:, 1]  # only the two best can enter
+    got = {(r["u"], r["v"]) for b in nn_descent._local_join(16)(batch(-1, bound)) for r in b.to_pylist()}
+    assert got == {(i, int(j)) for i in range(200) for j in order[i, :2]}
+    # a crowd of copies: an enlarged list is offered k links, not as many as it holds
+    got = [(r["u"], r["v"]) for b in nn_descent._local_join(16, "<f8", 0.93)(batch(128, bound)) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) <= 200 * 16 and all(sim[i, j] >= 0.93 for i, j in got)
+    assert min(collections.Counter(i for i, _ in got).values()) >= 1
