@@ -13,8 +13,11 @@ by the shingles in which the two differ.
 3. `_rare_first`: a set with fewer than `needed` shared members has no partner and is skipped whole.
    The others put their members in the order of frequency and enter the index lists with the first
    ones only. An entry knows its position: how many shared members follow.
-4. `_families`: each list names a representative, drawn by hash; a set that is linked with the one
-   that most of its lists name joins its family and keeps the difference only. Equal sets are one
+   `_thinned`: the sets of the long lists are a crowd. A set with more than a quarter of members that
+   no other set of the crowd has cannot link there and leaves the long lists.
+4. `_families`: each list names a representative, the set with the least share of such members, of
+   several one drawn by hash; so the text that many near copies come from, where it is there, stands for them. A set that
+   is linked with the one that most of its lists name joins its family and keeps the difference only. Equal sets are one
    class from the start, so a family holds different texts.
 5. `_candidates`: pairs of families within a list. Short lists are joined; long ones are compared in
    pairs of blocks, and what leaves a block are pairs whose bitmaps do not rule out a link.
@@ -265,6 +268,39 @@ def _may_link(n: str, m: str):
     return (100 * F.least(F.col(n), F.col(m)) >= PERCENT * F.greatest(F.col(n), F.col(m)))
 
 
+def _thinned(entries: DataFrame, sets: DataFrame, turns: int = 3) -> DataFrame:
+    """The entries without those in long lists of sets that cannot link with any other set of a long list.
+
+    Sets that meet in a long list are all in the crowd of such sets, so members that no other set of the
+    crowd has are in no intersection there. A set with too many of them leaves the long lists, and those
+    that it leaves behind may then have too many as well. odd: percent of such members, 0 outside the crowd.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(m.as_py(), "<i8") for m in batch.column(1)]
+            for lo in range(0, len(parts), 256):
+                own = parts[lo:lo + 256]
+                node = np.repeat(batch.column(0).to_numpy()[lo:lo + 256], [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(own))], ["node", "member"])
+
+    size = lambda df: df.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LONG).select("key")
+    long = cut(entries.join(size(entries), "key", "left_semi"))
+    found = long
+    for _ in range(turns):
+        crowd = cut(found.select("node", "n").distinct())
+        rows = sets.join(crowd, "node", "left_semi").select("node", "members").mapInArrow(run, "node long, member long")
+        # counts only: members that a whole crowd has are combined before they are dealt
+        alone = rows.groupBy("member").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        odd = cut(crowd.join(alone, "node").select("node", F.floor(100 * F.col("alone") / F.col("n")).alias("odd")))
+        gone = odd.where(F.col("odd") > 100 - PERCENT)
+        if gone.isEmpty():
+            break
+        found = cut(found.join(gone, "node", "left_anti"))
+    out = entries.join(size(entries), "key", "left_anti").unionByName(found)
+    return out.join(odd, "node", "left").select("key", "node", "n", "left", F.coalesce("odd", F.lit(0)).alias("odd"))
+
+
 def _families(entries: DataFrame, sets: DataFrame, nodes: DataFrame, turns: int = 3) -> DataFrame:
     """Members of families: node, fam (their representative), d, delta, dropped. All other nodes are families of their own.
 
@@ -272,7 +308,8 @@ def _families(entries: DataFrame, sets: DataFrame, nodes: DataFrame, turns: int
     """
     found, rows = None, entries
     for turn in range(turns):
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n")).alias("rep")
+        # of a crowd, a set that has little of its own is near the others
+        drawn = F.min(F.struct("odd", F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n")).alias("rep")
         reps = rows.groupBy("key").agg(drawn, F.count("*").alias("m")).where(F.col("m") > (LONG if turn else 1))
         named = rows.join(reps.select("key", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")), "key").where(F.col("node") != F.col("rep")).where(_may_link("n", "rep_n"))
         votes = named.groupBy("node", "rep").agg(F.count("*").alias("votes"))
@@ -510,6 +547,7 @@ def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_00
         entries = scratch.keep(entries.join(busy, "key").select("key", "node", "n", (F.col("shared") - F.col("rank")).alias("left")))
         wanted = cut(lists.select("node", "doc_id", "text_hash", "s1", "s2", "n", "weight").join(entries.select("node").distinct(), "node", "left_semi"))
         sets = scratch.keep(_set_table(docs, wanted.select("node", "doc_id", "text_hash", "s1", "s2"), shingle))
+        entries = scratch.keep(_thinned(entries, sets))
         joined = _families(entries, sets, wanted.count())
         family = wanted.select("node", "n", "weight").join(joined, "node", "left")
         family = scratch.keep(family.select("node", F.coalesce("fam", "node").alias("fam"), "n", "weight", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("delta", F.lit(b"")).alias("delta"), F.coalesce("dropped", F.lit(0)).alias("dropped")))

@@ -499,6 +499,29 @@ def test_chain_marginals_equal_enumeration():
         at += n
 
 
+def test_crowds_leave_long_lists(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    base, passage = word(200), word(80)
+    # near copies, linked with the base but seldom with each other, and texts of their own that share a passage
+    texts = [base] + [[w if i % 40 != j % 40 else f"x{j}y{i}" for i, w in enumerate(base)] for j in range(80)]
+    texts += [word(60) + passage + word(60) for _ in range(80)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    longest, candidates = [], jaccard_join._candidates
+
+    def spy(entries, family, sets):
+        lists = entries.join(family.select("node", "fam"), "node").groupBy("key").agg(F.count_distinct("fam").alias("m"))
+        longest.append(lists.agg(F.max("m")).first()[0])
+        return candidates(entries, family, sets)
+
+    monkeypatch.setattr(jaccard_join, "_candidates", spy)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join.near_duplicate_classes(table).collect()}
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [sum(a is not b and 100 * len(a & b) >= 75 * len(a | b) for b in sets) for a in sets]
+    assert got == {i: (links[i], 0 if i < 81 else i) for i in range(len(texts))}
+    assert longest == [1] or longest[0] <= jaccard_join.LONG
+
+
 # -- embeddings
 
 
