@@ -19,6 +19,7 @@ import tempfile
 import numpy as np
 
 CAP = 255
+BLOCK = 1 << 17  # positions or pairs that a scan holds at once
 
 
 class RunQueue:
@@ -124,12 +125,21 @@ class Inducer:
 def suffix_types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is S type, length of the run of equal characters from each position). The last suffix falls."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1]) if n > 1 else np.zeros(0, np.int64)
-    ends = np.append(change, n - 1)  # last positions of the runs
-    end = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
-    after = np.minimum(end + 1, n - 1)
-    rises = (end + 1 < n) & (text[after] > text)
-    return rises, (end - np.arange(n) + 1).astype(np.int32)
+    rises, run = np.zeros(n, bool), np.zeros(n, np.int32)
+    end = n - 1  # last position of the run that goes on behind the block
+    for lo in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        own = text[lo:lo + BLOCK]
+        hi = lo + len(own)
+        stops = np.append(own[1:] != own[:-1], hi == n or text[min(hi, n - 1)] != own[-1])
+        stop = np.flatnonzero(stops)
+        ends = stop + lo
+        if not stops[-1]:
+            stop, ends = np.append(stop, len(own) - 1), np.append(ends, end)
+        ends = np.repeat(ends, np.diff(np.append(-1, stop)))
+        rises[lo:hi] = (ends + 1 < n) & (text[np.minimum(ends + 1, n - 1)] > own)
+        run[lo:hi] = ends - np.arange(lo, hi) + 1
+        end = int(ends[0])
+    return rises, run
 
 
 def induced_order(text: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, run: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +178,7 @@ def induced_order(text: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, run
                 pas.induce(at, lcp, lambda ch, c=c: ch <= c)
         rising, up = joined(parts)
         at, lcp = falling[c]
+        falling[c] = empty
         if len(at):
             edge = min(int(run[at[-1]]), int(run[rising[-1]]), CAP) if len(rising) else 0
             down = np.append(lcp[1:], np.uint8(edge))[::-1]
@@ -188,16 +199,18 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     """Common prefixes of pairs of suffixes, capped."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(CAP + 1, np.uint8)])
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    room = n - np.maximum(a, b)
-    for k in range(CAP):
-        same = (padded[a[live] + k] == padded[b[live] + k]) & (room[live] > k)
-        live = live[same]
-        if not len(live):
-            break
-        out[live] += 1
-    return out.astype(np.uint8)
+    out = np.zeros(len(a), np.uint8)
+    for lo in range(0, len(a), BLOCK):
+        x, y = a[lo:lo + BLOCK], b[lo:lo + BLOCK]
+        live = np.arange(lo, lo + len(x))
+        room = n - np.maximum(x, y)
+        for k in range(CAP):
+            same = (padded[x[live - lo] + k] == padded[y[live - lo] + k]) & (room[live - lo] > k)
+            live = live[same]
+            if not len(live):
+                break
+            out[live] += 1
+    return out
 
 
 def seed_order(text: np.ndarray, seeds: np.ndarray, run: np.ndarray, depth: int, memory: int) -> np.ndarray:
@@ -208,9 +221,11 @@ def seed_order(text: np.ndarray, seeds: np.ndarray, run: np.ndarray, depth: int,
     is_seed = np.zeros(len(text), bool)
     is_seed[seeds] = True
     first = sa[is_seed[sa]]  # ordered by their substrings up to the next S*
+    del sa, is_seed
     rank_of = np.zeros(len(text), np.int32)
     rank_of[seeds] = np.arange(m)
     place = rank_of[first]  # index in text order
+    del rank_of
     ends = np.append(seeds[1:], len(text) - 1)
     size = ends - seeds + 1
     # equal neighbours get one name: same length and same characters

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean_batches
 from .lattice import DEFAULT_MODEL, Lattice, Vocabulary, vocabulary
 
 UNIT = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
@@ -99,7 +100,7 @@ def encode_texts(texts: list[str], keys: list[int], vocab: Vocabulary, theta: fl
     return np.split(piece.astype(np.int32), ends[:-1]) if len(texts) else []
 
 
-def chunks(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def chunks(batch: pa.RecordBatch, most_bytes: int = 1_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) of some rows at a time; a text that alone is longer makes a chunk of its own."""
     keys, texts, size = [], [], 0
     for key, text in zip(batch.column(0), batch.column(1)):
@@ -149,7 +150,7 @@ def _encoded(rows: DataFrame, model: str, theta: float, seed: int) -> DataFrame:
                     pa.array([a == b for a, b in zip(raw, decoded)]),
                 ], ["doc_id", "copy", "n_pieces", "n_byte_pieces", "piece_sha256", "decoded_sha256", "lossless"])
 
-    return rows.mapInArrow(run, "doc_id long, copy int, n_pieces long, n_byte_pieces long, piece_sha256 string, decoded_sha256 string, lossless boolean")
+    return rows.mapInArrow(lean_batches(run), "doc_id long, copy int, n_pieces long, n_byte_pieces long, piece_sha256 string, decoded_sha256 string, lossless boolean")
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = 1.0, seed: int = 1, with_ids: bool = True) -> DataFrame:
@@ -174,7 +175,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = 1.0, seed
                     pa.array(found if with_ids else [None] * len(found), pa.list_(pa.int32())),
                 ], ["doc_id", "n_pieces", "n_byte_pieces", "piece_sha256", "decoded_sha256", "lossless", "piece_ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean_batches(run), SCHEMA)
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:

@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, buckets_for, cut, no_rows
+from .common import Scratch, buckets_for, cut, lean_batches, lean_group, no_rows
 from .induced import suffix_array
 from .pieces import mix64
 from .shingles import byte_chunks, powers
 
 SPAN, GRAM = 200, 96
 NARROW = 150_000  # runs in one packed batch
+CHUNK = 200_000  # bytes of text whose windows are hashed at once; a byte takes some 100 in arrays
+ROWS = 1_000  # whole texts that are rewritten at once
 PACKED = "kind int, batch string, bucket int, data binary, ids array<long>, f1 array<long>, f2 array<long>"
 SPANS = "array<struct<lo:int,hi:int>>"
 
@@ -110,7 +112,7 @@ def _anchors(docs: DataFrame, buckets: int, span: int) -> DataFrame:
         held, rows, runs = [], 0, 0
         for batch in batches:
             f1, f2, ids = (batch.column(i).to_pylist() for i in range(3))
-            for first, texts in byte_chunks(batch, 3, 1_000_000):
+            for first, texts in byte_chunks(batch, 3, CHUNK):
                 doc, h, g, lo, hi = runs_of(texts, span)
                 if held and runs + len(doc) > NARROW:
                     yield pack(held)
@@ -121,7 +123,7 @@ def _anchors(docs: DataFrame, buckets: int, span: int) -> DataFrame:
         if held:
             yield pack(held)
 
-    return docs.select("f1", "f2", "doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("f1", "f2", "doc_id", "text").mapInArrow(lean_batches(run), PACKED)
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +221,7 @@ def _contexts(rows: DataFrame, span: int) -> DataFrame:
             if out:
                 yield _context_rows(out)
 
-    return rows.mapInArrow(run, "f1 long, f2 long, anchor long, lo int, piece binary")
+    return rows.mapInArrow(lean_batches(run), "f1 long, f2 long, anchor long, lo int, piece binary")
 
 
 def _windows(pieces: DataFrame, span: int) -> DataFrame:
@@ -238,7 +240,7 @@ def _windows(pieces: DataFrame, span: int) -> DataFrame:
                 own += first
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((f1[own], f2[own], lo[own] + at, digests), kinds)], ["f1", "f2", "lo", "digest"])
 
-    return pieces.select("f1", "f2", "anchor", "lo", "piece").mapInArrow(run, "f1 long, f2 long, lo int, digest binary")
+    return pieces.select("f1", "f2", "anchor", "lo", "piece").mapInArrow(lean_batches(run), "f1 long, f2 long, lo int, digest binary")
 
 
 def _context_rows(out: list) -> pa.RecordBatch:
@@ -253,11 +255,13 @@ def _sorted_shard(span: int, memory: int):
         pieces = group["piece"].tolist()
         sizes = np.array([len(p) for p in pieces], np.int64)
         text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)  # 255 occurs in no UTF-8 text
+        del pieces
         sa, lcp = suffix_array(text, span, memory)
         twice = lcp >= span
         hit = np.zeros(len(text), bool)
         hit[sa[twice]] = True
         hit[sa[:-1][twice[1:]]] = True
+        del sa, lcp, twice
         at = np.flatnonzero(hit)
         start = np.cumsum(sizes + 1) - sizes - 1
         owner = np.searchsorted(start, at, "right") - 1
@@ -284,10 +288,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1_000_
     keyed = docs.select(f1.alias("f1"), f2.alias("f2"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *others)
     try:
         packed = scratch.keep(_anchors(keyed, buckets, span), "kind")
-        flags = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_compare, "batch string, bucket int, data binary")
+        flags = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(lean_group(_compare), "batch string, bucket int, data binary")
         none = F.lit(None).cast("array<long>")
         both = flags.select("batch", "bucket", "data", none.alias("f1"), none.alias("f2")).unionByName(packed.where("kind = 0").select("batch", "bucket", "data", "f1", "f2"))
-        marks = both.groupBy("batch").applyInPandas(_marks(span), MARKS)
+        marks = both.groupBy("batch").applyInPandas(lean_group(_marks(span)), MARKS)
         marks = cut(marks.groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("open")).alias("open")))
     finally:
         scratch.drop()
@@ -306,7 +310,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket_bytes: int = 1_000_
         more = windows.join(twice, "digest").select("f1", "f2", "lo", (F.col("lo") + span).cast("int").alias("hi"))
         pieces = pieces.join(hot, "anchor", "left_anti").select("f1", "f2", "anchor", "lo", "piece")
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = pieces.groupBy("shard").applyInPandas(_sorted_shard(span, memory), "f1 long, f2 long, lo int, hi int")
+    found = pieces.groupBy("shard").applyInPandas(lean_group(_sorted_shard(span, memory)), "f1 long, f2 long, lo int, hi int")
     if more is not None:
         found = found.union(more)
     more = found.groupBy("f1", "f2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -350,7 +354,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return keyed.join(spans, ["f1", "f2"], "left").select(*keyed.columns, "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return keyed.join(spans, ["f1", "f2"], "left").select(*keyed.columns, "spans").mapInArrow(lean_batches(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -366,7 +370,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts, sizes, keep = [], [], []
             for text, own in zip(batch.column(3), batch.column(batch.num_columns - 1)):
                 text, union = text.as_py() or b"", _union(own)
@@ -378,4 +382,4 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
             yield whole.filter(pa.array(keep, pa.bool_()))
 
-    return keyed.join(spans, ["f1", "f2"], "left").select(*keyed.columns, "spans").mapInArrow(run, schema)
+    return keyed.join(spans, ["f1", "f2"], "left").select(*keyed.columns, "spans").mapInArrow(lean_batches(run), schema)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from silbenwerk.llm import jaccard_join, media, mixing, nn_descent, pieces, quality, suffix_dedup, token_counts, toxicity, url_filter
+from silbenwerk.llm import induced, jaccard_join, media, mixing, nn_descent, pieces, quality, suffix_dedup, token_counts, toxicity, url_filter
 from silbenwerk.llm.induced import suffix_array
 from silbenwerk.llm.lattice import DEFAULT_MODEL, CountTrie, vocabulary
 from silbenwerk.llm.registry import RULES
@@ -57,6 +58,44 @@ def test_suffix_array_equals_sorting():
                 assert sa.tolist() == want and lcp.tolist()[1:] == pair
 
 
+def peak_bytes(run, *given):
+    """The most memory that arrays and objects take while run works, beyond what was there before."""
+    tracemalloc.start()
+    try:
+        run(*given)
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_types_across_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    for block in (1, 2, 7, 1 << 17):
+        monkeypatch.setattr(induced, "BLOCK", block)
+        for n in (1, 2, 7, 8, 60):
+            t = rng.integers(97, 99, n).astype(np.uint8)
+            b = bytes(t)
+            rises, run = induced.suffix_types(t)
+            assert rises.tolist() == [b[i:] < b[i + 1:] for i in range(n - 1)] + [False]
+            assert run.tolist() == [len(b[i:]) - len(b[i:].lstrip(b[i:i + 1])) for i in range(n)]
+
+
+def test_shards_and_windows_take_little_memory():
+    """Sorting takes a bounded number of bytes for each character, and windows are hashed some texts at a time."""
+    rng = np.random.default_rng(7)
+    text = rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 600_000)
+    assert peak_bytes(suffix_array, text) < 42 * len(text)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100))] * 3 + [pa.array([rng.choice(text, 10_000).tobytes() for _ in range(100)])], ["f1", "f2", "doc_id", "text"])
+    found = {}
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: found.update(run=run)
+
+    suffix_dedup._anchors(Docs(), 16, 200)
+    assert peak_bytes(lambda: list(found["run"](iter([batch])))) < 60_000_000
+
+
 def repeats(texts, span=200):
     count = collections.Counter(b[i:i + span] for b in texts for i in range(len(b) - span + 1))
     out = []
@@ -215,7 +254,6 @@ def test_common_members():
     assert jaccard_join._common(sets[:1], sets[:1]).tolist() == [[len(sets[0])]]
 
 
-
 # -- tokens and pieces
 
 
