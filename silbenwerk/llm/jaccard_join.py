@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, components, cut, no_rows
+from .common import Scratch, buckets_for, components, cut, lean_batches, lean_group, no_rows
 from .shingles import byte_chunks, shingle_sets, signatures
 
 PERCENT = 75
@@ -60,6 +60,8 @@ NARROW = 1_000_000  # prefix members in one packed batch
 LONG = 32  # families in a list that is compared in blocks
 LIST_BLOCK = 512  # families of one block of a list
 BLOCK_SETS, BLOCK_MEMBERS = 1_500, 400_000  # about so much of a family is compared at once
+CHUNK = 200_000  # bytes of text that become shingles at once
+PAIRS, COLUMNS, STRIP = 1 << 18, 1_024, 128  # of a block: pairs of members, columns and rows that are in memory at once
 INDEX = "kind int, doc_id long, text_hash long, s1 long, s2 long, n long, batch string, ix int, bucket int, data binary"
 
 
@@ -113,7 +115,7 @@ def _index(docs: DataFrame, buckets: int, shingle: int) -> DataFrame:
         held, rows, members = [], 0, 0
         for batch in batches:
             keys, th = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, texts in byte_chunks(batch, most=1_000_000):
+            for first, texts in byte_chunks(batch, most=CHUNK):
                 n, h = shingle_sets(texts, shingle)
                 a, b = signatures(n, h)
                 size = n - least_overlap(n) + extra(n)
@@ -128,7 +130,7 @@ def _index(docs: DataFrame, buckets: int, shingle: int) -> DataFrame:
         if held:
             yield from pack(held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("text_hash")).mapInArrow(run, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("text_hash")).mapInArrow(lean_batches(run), INDEX)
 
 
 def _rows(kind: int, rows: int, **given) -> pa.RecordBatch:
@@ -196,7 +198,7 @@ def _set_table(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, s1, s2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for first, texts in byte_chunks(batch, most=1_000_000):
+            for first, texts in byte_chunks(batch, most=CHUNK):
                 n, h = shingle_sets(texts, shingle)
                 a, b = signatures(n, h)
                 parts, marks = np.split(h, np.cumsum(n)[:-1]), _marks(n, h)
@@ -206,7 +208,7 @@ def _set_table(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(nodes, (texts.own_hash == nodes.text_hash) & texts.own_id.eqNullSafe(nodes.doc_id)).select("node", "text", "s1", "s2")
-    return rows.mapInArrow(run, "node long, n long, members binary, mark binary").dropDuplicates(["node"])
+    return rows.mapInArrow(lean_batches(run), "node long, n long, members binary, mark binary").dropDuplicates(["node"])
 
 
 def _marks(n: np.ndarray, h: np.ndarray) -> list[bytes]:
@@ -261,7 +263,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     schema = "a long, b long, common long, total long" + (", delta binary, dropped long" if differences else "")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean_batches(run), schema)
 
 
 def _may_link(n: str, m: str):
@@ -289,7 +291,7 @@ def _thinned(entries: DataFrame, sets: DataFrame, turns: int = 3) -> DataFrame:
     found = long
     for _ in range(turns):
         crowd = cut(found.select("node", "n").distinct())
-        rows = sets.join(crowd, "node", "left_semi").select("node", "members").mapInArrow(run, "node long, member long")
+        rows = sets.join(crowd, "node", "left_semi").select("node", "members").mapInArrow(lean_batches(run), "node long, member long")
         # counts only: members that a whole crowd has are combined before they are dealt
         alone = rows.groupBy("member").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
         odd = cut(crowd.join(alone, "node").select("node", F.floor(100 * F.col("alone") / F.col("n")).alias("odd")))
@@ -388,7 +390,7 @@ def _candidates(entries: DataFrame, family: DataFrame, sets: DataFrame) -> DataF
     sides = both.select("key", F.col("x_block").alias("block"), "x_block", "y_block", F.lit(0).alias("side"))
     sides = sides.union(both.where("x_block <> y_block").select("key", "y_block", "x_block", "y_block", F.lit(1)))
     dealt = rows.select("key", "block", "fam", "left", "low", "high", "rep_n", "radius", "mark").join(sides, ["key", "block"])
-    long = dealt.groupBy("key", "x_block", "y_block").applyInPandas(_list_block, "a long, b long")
+    long = dealt.groupBy("key", "x_block", "y_block").applyInPandas(lean_group(_list_block), "a long, b long")
     return _sieved(short, info, sets).union(long).distinct()
 
 
@@ -409,19 +411,23 @@ def _sieved(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
     marked = info.select("fam", "radius").join(sets.select(F.col("node").alias("fam"), "mark", "n"), "fam")
     left = marked.toDF("a", "xr", "x", "xn")
     right = marked.toDF("b", "yr", "y", "yn")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xn", "y", "yn", "xr", "yr").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "xn", "y", "yn", "xr", "yr").mapInArrow(lean_batches(run), "a long, b long")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set of a with every set of b, as a matrix."""
     n, m = len(a), len(b)
-    out = np.zeros((n, m), np.int64)
+    out = np.zeros((n, m), np.int32)
     if not sum(map(len, a)) or not sum(map(len, b)):
         return out
-    row = np.repeat(np.arange(n + m), [len(x) for x in a + b])
-    _, column = np.unique(np.concatenate(a + b), return_inverse=True)
+    row = np.repeat(np.arange(n + m, dtype=np.int32), [len(x) for x in a + b])
+    column = np.concatenate(a + b)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    new = np.ones(len(column), bool)
+    new[1:] = column[1:] != column[:-1]
+    column = np.cumsum(new) - 1
+    del order, new
     left = row < n
     held = np.bincount(column[left], minlength=column[-1] + 1), np.bincount(column[~left], minlength=column[-1] + 1)
     # members that few sets hold: their pairs one by one
@@ -431,17 +437,24 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     each, other = held[0][rare], held[1][rare]
     times = np.repeat(other, each)  # partners of each entry of x
     first = np.repeat(np.cumsum(other) - other, each)
-    partner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
-    out += np.bincount(np.repeat(x, times) * m + y[partner], minlength=n * m).reshape(n, m)
+    upto, lo = np.cumsum(times), 0
+    while lo < len(x):  # an entry has at most 64 partners
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right"))
+        many = times[lo:hi]
+        partner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[lo:hi], many)
+        at, add = np.unique(np.repeat(x[lo:hi].astype(np.int64), many) * m + y[partner], return_counts=True)
+        out.ravel()[at] += add.astype(np.int32)
+        lo = hi
     # the others: a product of matrices, some columns at a time
     number = np.cumsum(dense) - 1
     keep = dense[column]
     row, column = row[keep], number[column[keep]]
-    for lo in range(0, int(dense.sum()), 4096):
-        at = slice(*np.searchsorted(column, [lo, lo + 4096]))
-        held = np.zeros((n + m, int(min(4096, dense.sum() - lo))), np.float32)
+    for lo in range(0, int(dense.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        held = np.zeros((n + m, int(min(COLUMNS, dense.sum() - lo))), np.float32)
         held[row[at], column[at] - lo] = 1
-        out += (held[:n] @ held[n:].T).astype(np.int64)  # at most 4096: exact
+        for top in range(0, n, STRIP):
+            out[top:top + STRIP] += (held[top:min(n, top + STRIP)] @ held[n:].T).astype(np.int32)  # at most COLUMNS: exact
     return out
 
 
@@ -467,16 +480,22 @@ def _host_block(group: pd.DataFrame) -> pd.DataFrame:
             b = a
         if not len(a) or not len(b):
             continue
-        common = len(pivot) - lost[a][:, None] - lost[b][None, :] + _common([delta[k] for k in a], [delta[k] for k in b])
-        linked = 100 * common >= PERCENT * (size[a][:, None] + size[b][None, :] - common)
-        if j >= 0:  # two of the core are counted elsewhere
-            linked &= ~((2 * d[a] <= FAR)[:, None] & (2 * d[b] <= FAR)[None, :])
-        if same:
-            np.fill_diagonal(linked, False)
-            out.append(pd.DataFrame({"node": node[a], "others": linked @ weight[b], "fam": host, "to": host}))
-            continue
-        out.append(pd.DataFrame({"node": node[a], "others": linked @ weight[b], "fam": host, "to": host}))
-        out.append(pd.DataFrame({"node": node[b], "others": linked.T @ weight[a], "fam": np.where(linked.any(0), fam[b], host), "to": host}))
+        both = _common([delta[k] for k in a], [delta[k] for k in b])
+        mine, theirs, met = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
+        for lo in range(0, len(a), STRIP):
+            own = slice(lo, min(len(a), lo + STRIP))
+            common = len(pivot) - lost[a[own]][:, None] - lost[b][None, :] + both[own]
+            linked = 100 * common >= PERCENT * (size[a[own]][:, None] + size[b][None, :] - common)
+            if j >= 0:  # two of the core are counted elsewhere
+                linked &= ~((2 * d[a[own]] <= FAR)[:, None] & (2 * d[b] <= FAR)[None, :])
+            if same:
+                linked[np.arange(len(linked)), np.arange(own.start, own.stop)] = False
+            mine[own] = linked @ weight[b]
+            theirs += linked.T @ weight[a[own]]
+            met |= linked.any(0)
+        out.append(pd.DataFrame({"node": node[a], "others": mine, "fam": host, "to": host}))
+        if not same:
+            out.append(pd.DataFrame({"node": node[b], "others": theirs, "fam": np.where(met, fam[b], host), "to": host}))
     return pd.concat(out) if out else no_rows("node", "others", "fam", "to")
 
 
@@ -517,7 +536,7 @@ def _member_links(family: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataF
     rows = members.unionByName(guests).unionByName(pivots).join(kind, "host")
     single = F.col("alone").isNotNull()
     rows = rows.withColumn("place", F.coalesce("alone", F.pmod(F.xxhash64("host"), F.lit(groups)))).withColumn("gi", F.when(single, F.col("i")).otherwise(-9)).withColumn("gj", F.when(single, F.col("j")).otherwise(-9))
-    found = rows.groupBy("place", "gi", "gj").applyInPandas(_host_block, "node long, others long, fam long, to long")
+    found = rows.groupBy("place", "gi", "gj").applyInPandas(lean_group(_host_block), "node long, others long, fam long, to long")
     # the core: any two are linked by the triangle inequality
     core = family.where(2 * F.col("d") <= FAR)
     total = core.groupBy("fam").agg(F.sum("weight").alias("all"), F.count("*").alias("k")).where("k > 1")
@@ -538,9 +557,9 @@ def link_classes(docs: DataFrame, shingle: int = 5, bucket_bytes: int = 1_000_00
         lead = slim.groupBy("s1", "s2").agg(F.max("n").alias("n"), F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "batch", "ix", "text_hash")).alias("lead"))
         lead = cut(lead.select("s1", "s2", "n", "weight", "lead.doc_id", "lead.text_hash", F.monotonically_increasing_id().alias("node"), "lead.batch", "lead.ix"))
         members = cut(slim.select("doc_id", "text_hash", "s1", "s2", "n").join(lead.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "text_hash", "n", "node"))
-        shared = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(_frequencies, "batch string, bucket int, data binary")
+        shared = packed.where("kind = 1").select("batch", "bucket", "data").groupBy("bucket").applyInPandas(lean_group(_frequencies), "batch string, bucket int, data binary")
         sizes = packed.where("kind = 2").select("batch", "bucket", "data")
-        index = shared.union(sizes).groupBy("batch").applyInPandas(_rare_first, "batch string, ix int, shared long, keys array<long>")
+        index = shared.union(sizes).groupBy("batch").applyInPandas(lean_group(_rare_first), "batch string, ix int, shared long, keys array<long>")
         lists = scratch.keep(index.join(lead, ["batch", "ix"]).select("node", "doc_id", "text_hash", "s1", "s2", "n", "weight", "shared", "keys"))
         entries = lists.select("node", "n", "shared", F.posexplode("keys").alias("rank", "key"))
         busy = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")

@@ -8,6 +8,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +255,25 @@ def test_common_members():
     assert jaccard_join._common(sets[:1], sets[:1]).tolist() == [[len(sets[0])]]
 
 
+def test_blocks_take_little_memory():
+    """Two blocks of a family are compared some rows, columns and pairs at a time."""
+    rng = np.random.default_rng(4)
+    pivot, pool = (np.unique(rng.integers(0, 1 << 62, n)).astype("<u8") for n in (300, 5_000))
+    rows = []
+    for side in (0, 1):
+        for k in range(1_000):
+            d = np.unique(np.concatenate([rng.choice(pool[:40], 10), rng.choice(pool, 60)])).astype("<u8")
+            rows.append((1, 0, 1, side, 1_000 * side + k, 1, 1 + k % 3, 300 + len(d), 0.2, 0, d.tobytes()))
+    rows.append((1, 0, 1, 2, 1, 1, 0, 0, 0.0, 0, pivot.tobytes()))
+    group = pd.DataFrame(rows, columns=["host", "i", "j", "side", "node", "fam", "weight", "n", "d", "dropped", "members"])
+    assert peak_bytes(jaccard_join._host_block, group) < 45_000_000
+    found = jaccard_join._host_block(group).set_index("node")["others"]
+    sets = {r[4]: set(np.frombuffer(r[10], "<u8").tolist()) | set(pivot.tolist()) for r in rows[:-1]}
+    for node in (0, 127, 128, 999, 1_000, 1_500):
+        others = [r for r in rows[:-1] if (r[3] == 0) != (node < 1_000)]
+        assert found[node] == sum(r[6] for r in others if 100 * len(sets[node] & sets[r[4]]) >= 75 * len(sets[node] | sets[r[4]]))
+
+
 # -- tokens and pieces
 
 
