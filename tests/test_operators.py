@@ -113,6 +113,46 @@ def test_fuzzy_join_finds_swaps_across_halves(spark):
         assert rows(got, "word", "cand", "distance") == want
 
 
+def test_pairs_by_bits_equal_the_table():
+    from silbenwerk.functions.near import distances, near_pairs
+    from silbenwerk.functions.scalars import restricted
+
+    draw = random.Random(5)
+    made = lambda k: ["".join(draw.choice("aAbeEßsSäÄİi") for _ in range(draw.randint(0, 9))) for _ in range(k)]
+    long_ = [w * 16 for w in made(9)]
+    a, b = list(dict.fromkeys(made(150) + long_)), list(dict.fromkeys(made(200) + [w[:-1] + "ab" for w in long_]))
+    x, y = [w for w in a for _ in b], b * len(a)
+    for blind in (False, True):
+        assert (distances(x, y, blind) == restricted(x, y, blind)).all()
+    table = distances(x, y, True).reshape(len(a), len(b))
+    for d in (1, 2, 3):
+        got = [(int(i), int(j), int(k)) for part in near_pairs(a, b, d) for i, j, k in zip(*part)]
+        assert sorted(got) == [(i, j, int(table[i, j])) for i in range(len(a)) for j in range(len(b)) if table[i, j] <= d]
+
+
+def test_fuzzy_join_makes_no_rows_of_common_halves(spark):
+    """Words that share a half made a joined row for each pair; now only pairs within the distance leave a task."""
+    draw = random.Random(7)
+    words, lex = ([half + "".join(draw.choice("bdfgklmnprst") for _ in range(5)) for _ in range(400)] for half in ("unter", "unter"))
+    got = C.fuzzy_join(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(c,) for c in lex], "word string"), 2, 3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    from silbenwerk.functions.scalars import restricted
+
+    pairs = sorted({(w, c) for w in words for c in lex})
+    near = sorted((w, int(x), c) for (w, c), x in zip(pairs, restricted([w for w, _ in pairs], [c for _, c in pairs], True)) if x <= 2)
+    want = [(w, c, x) for _, group in itertools.groupby(near, lambda r: r[0]) for w, x, c in list(group)[:3]]
+    assert rows(got, "word", "cand", "distance") == sorted(want)
+
+
+def test_fuzzy_join_in_parts_of_the_lexicon(spark, monkeypatch):
+    words = spark.createDataFrame([("HAUS",), ("haus",), ("Huas",), (None,), ("",)], "word string")
+    lex = spark.createDataFrame([(c,) for c in ("Haus", "haus", "Maus", "aus", "Hauses", "HAUS", None)], "word string")
+    whole = [rows(C.fuzzy_join(words, lex, 2, 3), "word", "cand", "distance"), rows(C._searched(words.where("word <> ''"), lex, 2), "word", "cand", "cost")]
+    monkeypatch.setattr(C, "MOST_MEANT", 2)
+    assert [rows(C.fuzzy_join(words, lex, 2, 3), "word", "cand", "distance"), rows(C._searched(words.where("word <> ''"), lex, 2), "word", "cand", "cost")] == whole
+    assert ("HAUS", "HAUS", 0.0) in whole[1] and ("HAUS", "Haus", 0.0) in whole[1]
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
