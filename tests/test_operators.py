@@ -153,6 +153,14 @@ def test_fuzzy_join_in_parts_of_the_lexicon(spark, monkeypatch):
     assert ("HAUS", "HAUS", 0.0) in whole[1] and ("HAUS", "Haus", 0.0) in whole[1]
 
 
+SHARP = [("ẞlich", 1), ("SSlich", 1), ("ẞahne", 1), ("SSahne", 1), ("Haus", 1), ("SSeite", 1), ("ẞbahn", 1), ("Bach", 1)]
+
+
+def test_case_candidates_with_a_capital_sharp_s(spark):
+    lex = spark.createDataFrame(SHARP, "word string, flags int")
+    assert rows(C.case_candidates(spark.createDataFrame([("ßlich", False)], "word string, is_first boolean"), lex), "cand") == [("ẞlich",)]
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
