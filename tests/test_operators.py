@@ -161,6 +161,11 @@ def test_case_candidates_with_a_capital_sharp_s(spark):
     assert rows(C.case_candidates(spark.createDataFrame([("ßlich", False)], "word string, is_first boolean"), lex), "cand") == [("ẞlich",)]
 
 
+def test_umlaut_forms_with_a_capital_sharp_s(spark):
+    lex = spark.createDataFrame(SHARP, "word string, flags int")
+    assert rows(C.umlaut_candidates(spark.createDataFrame([("ssahne", False)], "word string, is_first boolean"), lex)[0], "cand") == [("ẞahne",)]
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
