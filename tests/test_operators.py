@@ -166,6 +166,11 @@ def test_umlaut_forms_with_a_capital_sharp_s(spark):
     assert rows(C.umlaut_candidates(spark.createDataFrame([("ssahne", False)], "word string, is_first boolean"), lex)[0], "cand") == [("ẞahne",)]
 
 
+def test_compounds_with_a_capital_sharp_s(spark):
+    lex = spark.createDataFrame(SHARP, "word string, flags int")
+    assert rows(detect.valid_compounds(spark.createDataFrame([("Hausßeite",), ("Hausßbahn",)], "word string"), lex), "word") == [("Hausßbahn",)]
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
