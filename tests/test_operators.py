@@ -171,6 +171,12 @@ def test_compounds_with_a_capital_sharp_s(spark):
     assert rows(detect.valid_compounds(spark.createDataFrame([("Hausßeite",), ("Hausßbahn",)], "word string"), lex), "word") == [("Hausßbahn",)]
 
 
+def test_verdicts_with_a_capital_sharp_s(spark):
+    lex = spark.createDataFrame(SHARP, "word string, flags int")
+    got = detect.verdicts(spark.createDataFrame([("Hausßeite", True), ("Hausßbahn", True)], "word string, is_first boolean"), lex)
+    assert rows(got, "word", "correct") == [("Hausßbahn", True), ("Hausßeite", False)]
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
