@@ -177,6 +177,13 @@ def test_verdicts_with_a_capital_sharp_s(spark):
     assert rows(got, "word", "correct") == [("Hausßbahn", True), ("Hausßeite", False)]
 
 
+def test_capitalized_with_a_capital_sharp_s(spark):
+    lex = spark.createDataFrame(SHARP[1:], "word string, flags int")
+    freq = spark.createDataFrame([], "word string, n long, has_lower boolean, has_title boolean")
+    got = detect.must_be_capitalized(spark.createDataFrame([("ßlich",), ("ßahne",)], "word string"), lex, freq)
+    assert rows(got, "word", "must_cap") == [("ßahne", True), ("ßlich", False)]
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
