@@ -114,3 +114,39 @@ def test_rewrites():
     forms = dict(rewrites_of("Filosofie"))
     assert round(forms["philosophie"], 6) == 0.96 and "filosofie" not in forms
     assert len(rewrites_of("eieieieieieieieieieiei")) <= 96
+
+
+def test_tokens_come_in_bounded_batches():
+    import pyarrow as pa
+
+    from silbenwerk.functions import text as T
+
+    texts = ["Das Haus. Es steht. " * 2000, None, "Ein Wort"]
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 5, 7], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = list(T.token_batches(iter([batch]), 1000))
+    assert max(b.num_rows for b in out) == 1000 and len(out) == 9
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(i, *t.values()) for i, text in zip((3, 5, 7), texts) for t in T.tokens_in(text or "")]
+
+
+def test_known_typos_are_read_whole_from_many_tasks(spark):
+    from silbenwerk import registry
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = registry.queries()["s09_known_typos"](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == registry.lexicon(spark, "/root/testdata/sf0.001").count()
+
+
+def test_common_prefix_by_halving_steps(spark):
+    pairs = [("haus", "hausboot"), ("haus", "haus"), ("", "x"), ("äöü", "äöx"), ("kaffee", "caffee"), ("x", "y"), ("a" * 700 + "b", "a" * 700 + "c"), ("a" * 1100 + "b", "a" * 1100 + "c"), ("unterweg", "unterwelt")]
+    df = S.with_common_prefix(spark.createDataFrame(pairs, "a string, b string"), "a", "b", "p")
+    got = {(r.a, r.b): (r.p, r.m7) for r in df.withColumn("m7", S.common_prefix_len(F.col("a"), F.col("b"), F.col("p"))).collect()}
+    import os
+
+    plain = {(a, b): len(os.path.commonprefix([a, b])) for a, b in pairs}
+    assert got == {k: (v, 5.7 if k == ("kaffee", "caffee") else float(v)) for k, v in plain.items()}
