@@ -111,7 +111,7 @@ def write_word_list(words: DataFrame, path: str) -> None:
 
 def read_known_typos(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of objects with a `typo`."""
-    return spark.read.schema("typo string").json(path, multiLine=True).where("typo is not null")
+    return spark.read.schema("typo string").json(path, multiLine=True).select("typo").where("typo is not null")
 
 
 def write_typo_corpus(corpus: DataFrame, path: str) -> None:
