@@ -184,6 +184,15 @@ def test_capitalized_with_a_capital_sharp_s(spark):
     assert rows(got, "word", "must_cap") == [("ßahne", True), ("ßlich", False)]
 
 
+def test_only_rewritten_forms_of_use_are_kept(spark):
+    words = spark.createDataFrame([("Fater", False), ("ssahne", False), ("thee", True)], "word string, is_first boolean")
+    lex = spark.createDataFrame([("Vater",), ("SSahne",)], "word string")
+    corrections, listed = (spark.createDataFrame([(w,)], f"{c} string") for w, c in (("Tee", "cand"), ("fATER", "word")))
+    got = C._forms_of_use(words, lex, corrections, listed)
+    assert rows(got.where("form not like 'ß%'"), "word", "form") == [("Fater", "vater"), ("thee", "tee")]
+    assert ("ssahne", "ßahne") in rows(got, "word", "form")  # SSahne is its capitalized form
+
+
 def test_candidates_and_ranks(spark):
     from silbenwerk.operators import ranking as R
 
